@@ -1,0 +1,29 @@
+"""Joins of a large side with hot keys against a side whose keys are unique or nearly so."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.01
+SALTS = 32
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys that may hold at least `share` of the rows: a superset of the true ones, a few times 1/share at most."""
+    row = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).stat.freqItems(["k"], share).first()
+    return [k for k in (row[0] or []) if k is not None] if row else []
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+    """Equi-join on one column of the same name in both. Rows of `big` under a hot key are
+    spread over `salts` partitions; only the hot rows of `small` are repeated. Null keys
+    never match. `how` is inner, left, left_semi or left_anti (seen from `big`)."""
+    hot = hot_keys(big, key, share)
+    if not hot:
+        return big.join(small, key, how)
+    spread = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if "map" not in dict(big.dtypes)[c] and dict(big.dtypes)[c] != "variant"]), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.withColumn("__salt", spread)
+    right = small.withColumn("__salt", F.explode(copies))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
