@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowstore.llm.clusters import describe_groups, similarity_groups
+from flowstore.llm.neighbours import nearest_neighbours
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -20,7 +21,13 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return describe_groups(similarity_groups(_read(spark, sf, "space_items"), "position_ids", "positions"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    sources = [(_read(spark, sf, "space_items"), "position_ids", "positions"), (_read(spark, sf, "export_items"), "vector_ids", "summaries_vectors")]
+    pairs = nearest_neighbours(sources).select("id", F.explode("neighbours.id").alias("other"))
+    return pairs.select(F.least("id", "other").alias("vec_id"), F.greatest("id", "other").alias("neighbour_id")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found}
 
 _USABLE = "v IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
 
@@ -31,4 +38,10 @@ WITH e AS (SELECT unnest(position_ids) AS id, unnest(positions) AS v FROM space_
 u AS (SELECT id, CAST(v AS DOUBLE[64]) AS v FROM e WHERE {_USABLE}),
 p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND array_cosine_similarity(a.v, b.v) >= 0.80)
 SELECT a AS vec_id, min(least(a, b)) AS group_id FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY a""",
+    "p5_found": f"""
+WITH e AS (SELECT unnest(position_ids) AS id, unnest(positions) AS v FROM space_items UNION ALL SELECT unnest(vector_ids), unnest(summaries_vectors) FROM export_items),
+u AS (SELECT id, CAST(v AS DOUBLE[64]) AS v FROM e WHERE {_USABLE}),
+p AS (SELECT a.id AS a, b.id AS b, round(array_cosine_similarity(a.v, b.v), 10) AS s FROM u a JOIN u b ON a.id < b.id AND array_cosine_similarity(a.v, b.v) >= 0.80),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM (SELECT a, b, s FROM p UNION ALL SELECT b, a, s FROM p))
+SELECT DISTINCT least(a, b) AS vec_id, greatest(a, b) AS neighbour_id FROM r WHERE k <= 5""",
 }
