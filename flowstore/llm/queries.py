@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowstore.llm.clusters import describe_groups, similarity_groups
+from flowstore.llm.mixing import mix_sources, mixture_report
 from flowstore.llm.neighbours import nearest_neighbours
+from flowstore.llm.packing import pack
+from flowstore.llm.splitting import split_oversized
+from flowstore.llm.tokens import token_counts
+from flowstore.plans.tables import cut
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -21,13 +26,47 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return describe_groups(similarity_groups(_read(spark, sf, "space_items"), "position_ids", "positions"))
 
 
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    spaces = _read(spark, sf, "spaces").select("kb_name", F.col("embedder").alias("default_embedder"))
+    profiles = _read(spark, sf, "embedder_profiles").select("embedder", "max_context_tokens", "overlap_tokens")
+    rows = _read(spark, sf, "mint_requests").select("request_id", "kb_name", "content", "embedder")
+    # both tables are fixed, of 40 and 5 rows
+    rows = rows.join(F.broadcast(spaces), "kb_name", "left").withColumn("embedder", F.coalesce("embedder", "default_embedder")).join(F.broadcast(profiles), "embedder")
+    pieces = split_oversized(rows, "request_id", "content", "max_context_tokens", "overlap_tokens")
+    return pieces.withColumnRenamed("key", "request_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Content is larger than its limit just if it came out in more than one piece."""
+    return p2_pieces(spark, sf).where("piece_no = 1").select("request_id").distinct()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     sources = [(_read(spark, sf, "space_items"), "position_ids", "positions"), (_read(spark, sf, "export_items"), "vector_ids", "summaries_vectors")]
     pairs = nearest_neighbours(sources).select("id", F.explode("neighbours.id").alias("other"))
     return pairs.select(F.least("id", "other").alias("vec_id"), F.greatest("id", "other").alias("neighbour_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found}
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    sized = token_counts(_read(spark, sf, "documents"), ["doc_id"], "text")
+    return pack(sized, "doc_id", "n_tokens").withColumnRenamed("key", "doc_id")
+
+
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = _read(spark, sf, "mix_targets")
+    sized = cut(token_counts(_read(spark, sf, "documents"), ["doc_id", "source"], "text"))
+    return mix_sources(sized, "doc_id", "source", "n_tokens", targets), targets
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf)[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture_report(*_mixture(spark, sf))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 _USABLE = "v IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
 
@@ -38,6 +77,9 @@ WITH e AS (SELECT unnest(position_ids) AS id, unnest(positions) AS v FROM space_
 u AS (SELECT id, CAST(v AS DOUBLE[64]) AS v FROM e WHERE {_USABLE}),
 p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND array_cosine_similarity(a.v, b.v) >= 0.80)
 SELECT a AS vec_id, min(least(a, b)) AS group_id FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY a""",
+    "p2_found": """
+SELECT DISTINCT m.request_id FROM mint_requests m LEFT JOIN spaces s ON m.kb_name = s.kb_name JOIN embedder_profiles e ON e.embedder = coalesce(m.embedder, s.embedder)
+WHERE len(regexp_extract_all(m.content, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]')) > e.max_context_tokens""",
     "p5_found": f"""
 WITH e AS (SELECT unnest(position_ids) AS id, unnest(positions) AS v FROM space_items UNION ALL SELECT unnest(vector_ids), unnest(summaries_vectors) FROM export_items),
 u AS (SELECT id, CAST(v AS DOUBLE[64]) AS v FROM e WHERE {_USABLE}),
