@@ -24,6 +24,8 @@ SAMPLE, CELL, SAMPLE_A_CELL = 65_536, 200, 8
 SPILL = 3
 #: Rows of a cell that one task compares with as many; larger cells are split, and every pair of the parts compared.
 BLOCK = 16_000
+#: Share of a block of pairs from which candidates are reranked by one product, not pair by pair.
+DENSE = 0.02
 #: Weight of the parallel error, entries of a table (4 bits), rows that fit the tables, rounds of fitting.
 PARALLEL, ENTRIES, FIT, ROUNDS = 8.0, 16, 8_192, 3
 
@@ -184,7 +186,14 @@ def best_within(ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndar
         if len(many) and n > k:
             kth = np.partition(table[many], n - k, axis=1)[:, n - k]
             floor[many] = np.maximum(floor[many], kth - 2 * slack)
-        i, j = np.nonzero(table >= floor[:, None])
+        close = table >= floor[:, None]
+        if np.count_nonzero(close) > DENSE * close.size:
+            # reranked as one product; only what ties with the k-th best at its precision is scored again
+            score = wide[rows] @ wide.T
+            score[~close] = -2
+            kth = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), least, np.float32)
+            close = score >= np.maximum(kth, least)[:, None] - 1e-5
+        i, j = np.divmod(np.flatnonzero(close), n)
         if not len(i):
             continue
         exact = np.concatenate([np.einsum("ij,ij->i", x[rows[i[c : c + 100_000]]], x[j[c : c + 100_000]]) for c in range(0, len(i), 100_000)])
