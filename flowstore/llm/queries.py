@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowstore.llm.clusters import describe_groups, similarity_groups
+from flowstore.llm.credentials import find_credentials
 from flowstore.llm.mixing import mix_sources, mixture_report
 from flowstore.llm.neighbours import nearest_neighbours
 from flowstore.llm.packing import pack
+from flowstore.llm.residue import LEAST, score_residue
 from flowstore.llm.splitting import split_oversized
 from flowstore.llm.tokens import token_counts
 from flowstore.plans.tables import cut
@@ -41,6 +43,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pieces(spark, sf).where("piece_no = 1").select("request_id").distinct()
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_credentials(_read(spark, sf, "config_files"), "file_id", "repo", "path", "content")
+    return found.select(F.col("key").alias("file_id"), "line_no").distinct()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     sources = [(_read(spark, sf, "space_items"), "position_ids", "positions"), (_read(spark, sf, "export_items"), "vector_ids", "summaries_vectors")]
     pairs = nearest_neighbours(sources).select("id", F.explode("neighbours.id").alias("other"))
@@ -66,7 +73,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture_report(*_mixture(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored = score_residue(_read(spark, sf, "documents"), "doc_id", "text")
+    return scored.where(F.col("score") >= LEAST).select(F.col("key").alias("doc_id")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p5_found": p5_found, "p8_packed": p8_packed, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 _USABLE = "v IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
 
