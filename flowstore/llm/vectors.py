@@ -58,10 +58,11 @@ def bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000, shift: int = 0) -> Iterator[pa.Table]:
     """Tables of at least `rows` rows (but for the last) that never cut a run of equal keys.
 
-    The batches must be sorted, or at least clustered, by the key.
+    The batches must be sorted, or at least clustered, by the key; of its bits the lowest
+    `shift` do not count.
     """
     held, n = [], 0
     for b in batches:
@@ -72,7 +73,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
         if n < rows:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
-        k = t.column(key).to_numpy()
+        k = t.column(key).to_numpy() >> shift
         last = np.flatnonzero(k != k[-1])
         done = int(last[-1]) + 1 if len(last) else 0
         if done:
