@@ -40,7 +40,7 @@ def resolve(columns: Sequence[str], name: str) -> str:
     if got is None:
         short = {c.rsplit(".", 1)[-1]: c for c in columns}
         near = difflib.get_close_matches(name.rsplit(".", 1)[-1], [*columns, *short], n=1, cutoff=0.6)
-        raise UnknownField(f"unknown field {name!r}" + (f", did you mean {near[0]!r}?" if near else "") + f" Known: {', '.join(columns)}")
+        raise UnknownField(f"unknown field {name!r}" + (f", did you mean {short.get(near[0], near[0])!r}?" if near else "") + f" Known: {', '.join(columns)}")
     return got
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from flowstore.plans.skew import skew_join
 from flowstore.plans.tables import cut, drop_cut
 
+#: States of a node's way up.
+OPEN, ROOT, CYCLE = 0, 1, 2
+
 
 def resolve_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", label_col: str | None = None, sep: str = "/") -> DataFrame:
     """(id, parent, root_id, depth, path, ancestors) of each distinct non-null id.
@@ -20,11 +23,12 @@ def resolve_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pa
     row of the smallest (parent, label) holds, a null parent last; callers pick the valid
     row before. An empty table gives no rows; other columns are ignored.
 
-    Each node keeps a pointer to an ancestor, the distance to it and the ids and labels on
-    the way. A round joins the pointers of the open nodes with those of their targets,
-    which doubles every distance. Nodes that reached a root leave the open set. A way that
-    is still open after as many steps as there are open nodes has run into a cycle; the
-    smallest id met on the way of a node of the cycle is then the cycle's.
+    Each node keeps a pointer to an ancestor and the ids and labels on the way. A round
+    joins the pointers of the open nodes with those of their targets, which doubles every
+    distance. Nodes that reached a root leave the open set, and so do those whose way
+    meets an id twice, or leads to such a node: they have run into a cycle. A way closes
+    after as many rounds as its length has binary digits, and no array grows beyond twice
+    its length. The nodes of a cycle close in one round, each with the smallest id of all.
     """
     col = lambda c: F.col(f"`{c}`").cast("string")
     nodes = rows.select(col(id_col).alias("id"), col(parent_col).alias("parent"), (col(label_col) if label_col else col(id_col)).alias("label")).where("id is not null")
@@ -36,39 +40,28 @@ def resolve_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pa
         "id",
         F.when(~is_root, F.col("parent")).alias("parent"),
         F.when(is_root, F.col("id")).otherwise(F.col("parent")).alias("anc"),
-        is_root.alias("done"),
+        F.when(is_root, ROOT).when(F.col("id") == F.col("parent"), CYCLE).otherwise(OPEN).alias("state"),
         F.when(is_root, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("ids"),
         F.array("label").alias("labels"),
         F.when(is_root, F.col("id")).otherwise(F.least("id", "parent")).alias("least"),
     )
-    state, steps = cut(start), 1
-    closed = []
-    while True:
-        # anc of an open node is `steps` levels up; that of a closed one is its root
-        n_open = state.where("not done").count()
-        if not n_open or steps > n_open:
-            break
-        target = state.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("done").alias("done2"), F.col("ids").alias("ids2"), F.col("labels").alias("labels2"), F.col("least").alias("least2"))
-        went = skew_join(state.where("not done"), target, "anc", "left").select(
-            "id",
-            "parent",
-            F.col("anc2").alias("anc"),
-            F.col("done2").alias("done"),
-            F.concat("ids2", "ids").alias("ids"),
-            F.concat("labels2", "labels").alias("labels"),
-            F.least("least", "least2").alias("least"),
-        )
-        after = cut(state.where("done").unionByName(went))
-        closed.append(state)
-        state, steps = after, steps * 2
-        for old in closed:
-            drop_cut(old)
-        closed.clear()
-    least = state.where("not done").select(F.col("id").alias("anc"), F.col("least").alias("cycle"))
-    looped = skew_join(state.where("not done").select("id", "parent", "anc"), least, "anc", "left")
+    now = cut(start)
+    while not now.where(F.col("state") == OPEN).isEmpty():
+        target = now.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("state").alias("state2"), F.col("ids").alias("ids2"), F.col("labels").alias("labels2"), F.col("least").alias("least2"))
+        went = skew_join(now.where(F.col("state") == OPEN), target, "anc", "left")
+        went = went.withColumn("ids", F.when(F.col("state2") != CYCLE, F.concat("ids2", "ids")))
+        twice = F.size(F.array_distinct(F.array_append("ids", F.col("id")))) <= F.size("ids")
+        state = F.when(F.col("state2") == OPEN, F.when(twice, CYCLE).otherwise(OPEN)).otherwise(F.col("state2"))
+        went = went.select("id", "parent", F.col("anc2").alias("anc"), state.alias("state"), "ids", F.when(F.col("state2") != CYCLE, F.concat("labels2", "labels")).alias("labels"), F.least("least", "least2").alias("least"))
+        after = cut(now.where(F.col("state") != OPEN).unionByName(went))
+        drop_cut(now)
+        now = after
+    looped = now.where(F.col("state") == CYCLE)
+    least = looped.select(F.col("id").alias("anc"), F.col("least").alias("cycle"))
+    looped = skew_join(looped.select("id", "parent", "anc"), least, "anc", "left")
     none = F.lit(None)
     return (
-        state.where("done")
+        now.where(F.col("state") == ROOT)
         .select("id", "parent", F.col("anc").alias("root_id"), F.size("ids").alias("depth"), F.array_join("labels", sep).alias("path"), F.col("ids").alias("ancestors"))
         .unionByName(looped.select("id", "parent", F.col("cycle").alias("root_id"), F.lit(-1).alias("depth"), none.cast("string").alias("path"), none.cast("array<string>").alias("ancestors")))
     )

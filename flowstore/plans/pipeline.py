@@ -223,7 +223,7 @@ def _scan(env: Env, s: Step, a: dict) -> DataFrame:
 
 def _join(env: Env, s: Step, a: dict) -> DataFrame:
     left = env.frame(s.input_var)
-    right = env.store(a["store"])
+    right = env.store(a.get("store") or a.get("target"))
     name = a.get("alias") or a.get("right_alias") or right.name
     if a.get("left_alias"):
         left = left.toDF(*[f"{a['left_alias']}.{c.rsplit('.', 1)[-1]}" for c in left.columns])
@@ -232,7 +232,7 @@ def _join(env: Env, s: Step, a: dict) -> DataFrame:
     if a.get("relation"):
         link = env.store(a["relation"])
         target = env.store(a.get("target") or a["store"])
-        key = next(c for c in left.columns if c.endswith(".key") or c == "key")
+        key = find(left.columns, "key") or next(c for c in left.columns if c.endswith(".key"))
         out = joins.bridge(left, link.df, target.df, key, "key", (left_name, link.name, target.name), how=a.get("type") or "inner")
     else:
         if on is None:
