@@ -49,7 +49,7 @@ PLACEHOLDERS = tuple(
         ("dollars", r"(?<![\w$])\$[A-Za-z]\w{1,40}\$(?!\w)"),
         ("single", r"(?<![{$#%\w\"'\]:])\{[A-Za-z]\w{1,40}\}(?![}\w])"),
         ("upper", r"<[A-Z][A-Z_]{2,40}>"),
-        ("asked", r"[<\[(](?:your|insert|enter|add|put|fill(?: in)?|type|votre|ihr[e]?|su|tu|à compléter|a completar|completar|einfügen|hier|bitte|insérer|insertar)\b[^\n<>\[\]()]{1,50}[>\])]|[<\[(][^\n<>\[\]()]{1,40} (?:goes here|here|ici|aquí|einfügen|einsetzen)[>\])]"),
+        ("asked", r"(?i:[<\[(](?:your|insert|enter|add|put|fill(?: in)?|type|votre|ihr[e]?|su|tu|à compléter|a completar|completar|einfügen|hier|bitte|insérer|insertar)\b[^\n<>\[\]()]{1,50}[>\])]|[<\[(][^\n<>\[\]()]{1,40} (?:goes here|here|ici|aquí|einfügen|einsetzen|eintragen)[>\])])"),
         ("object", r"\[object Object\]|<no value>"),
     )
 )
@@ -116,7 +116,8 @@ _PARTS = (("e", -2, None), ("f", -3, None), ("b", 0, 3))
 
 
 def features(passage: str) -> np.ndarray:
-    """Hashed features: words, pairs of words and word ends; of a passage with placeholders only these and what is beside them."""
+    """Hashed features: words, pairs of words, word ends and beginnings, and the trusted forms it has; of a passage with placeholders only these and what is beside them."""
+    forms = [f"t:{k}" for k, form in enumerate(TRUSTED) if form.search(passage)]
     marks = []
     for mark, form in PLACEHOLDERS:
         passage, n = form.subn(f" ⟦{mark}⟧ ", passage)
@@ -130,6 +131,7 @@ def features(passage: str) -> np.ndarray:
         every = ["m:any", *(f"m:{m}" for m in marks), *(f"{a} {b}" for a, b in pairs if a in held or b in held)]
     else:
         every = [*(f"w:{w}" for w in words), *(f"{a} {b}" for a, b in pairs), *(f"{k}:{w[a:b]}" for w in words if len(w) > 3 and w[0] != "⟦" for k, a, b in _PARTS)]
+    every += [*forms, "t:any"] if forms else []
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(f) % WIDTH for f in every), np.int64, len(every)))
 
 
@@ -222,7 +224,7 @@ def score_residue(rows: DataFrame, key: str, text: str, sample: int = SAMPLE) ->
     BOOST times as large a share of those with a trusted passage, never more than three
     times `sample` in all; the model that is broadcast has WIDTH weights at any size.
     """
-    whole = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and trim(text) <> ''")
+    whole = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).where("text rlike '\\\\S'")
     kind = dict(whole.dtypes)["key"]
     n = whole.count()
     hashed = whole.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30))
