@@ -131,7 +131,7 @@ def features(passage: str) -> np.ndarray:
         every = ["m:any", *(f"m:{m}" for m in marks), *(f"{a} {b}" for a, b in pairs if a in held or b in held)]
     else:
         every = [*(f"w:{w}" for w in words), *(f"{a} {b}" for a, b in pairs), *(f"{k}:{w[a:b]}" for w in words if len(w) > 3 and w[0] != "⟦" for k, a, b in _PARTS)]
-    every += [*forms, "t:any"] if forms else []
+    every += [*forms, "t:any"] if forms or marks else []
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(f) % WIDTH for f in every), np.int64, len(every)))
 
 
