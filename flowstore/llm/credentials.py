@@ -1,8 +1,9 @@
 """Credentials in source code and configuration files: found, confirmed over the corpus, redacted.
 
 A file's lines are read for literals in the places where credentials stand. All of them
-are indexed over the corpus with the number of their owners: what many owners share is a
-stand-in, what few have and is built like a credential is confirmed. Every file is then
+are indexed over the corpus with the number of their owners: what many owners share, in
+lines that differ, is a stand-in; what few have, or only copies of a line, and is built
+like a credential is confirmed. Every file is then
 scanned again for the confirmed values, wherever they stand.
 """
 
@@ -14,12 +15,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowstore.plans.tables import cut
 
-#: A value that more owners have than this is a stand-in.
+#: A value that more owners have than this, and in more lines that differ, is a stand-in.
 MAX_OWNERS = 12
 #: Confirmed values in one automaton; more are scanned for in further passes.
 AUTOMATON = 100_000
@@ -237,6 +239,13 @@ def redacted(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _context(text: str, offset: int, value: str) -> int:
+    """A hash of the line around a value."""
+    start = text.rfind("\n", 0, offset) + 1
+    end = text.find("\n", offset)
+    return xxhash.xxh64_intdigest(text[start : len(text) if end < 0 else end].replace(value, "").strip()) >> 1
+
+
 def _line(text: str, offset: int) -> int:
     return text.count("\n", 0, offset) + 1
 
@@ -246,8 +255,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, owner, path, text in zip(df["key"], df["owner"], df["path"], df["text"]):
             for offset, spans, value, named in literals(text, path):
-                rows.append((key, owner, _line(text, offset), offset, value, accept(value, named), [[int(a), int(b)] for a, b in spans]))
-        yield pd.DataFrame(rows, columns=["key", "owner", "line_no", "offset", "value", "fit", "spans"])
+                rows.append((key, owner, _line(text, offset), offset, value, accept(value, named), _context(text, offset, value), [[int(a), int(b)] for a, b in spans]))
+        yield pd.DataFrame(rows, columns=["key", "owner", "line_no", "offset", "value", "fit", "context", "spans"])
 
 
 def _rescan(values: list[str]):
@@ -289,9 +298,9 @@ def find_credentials(files: DataFrame, key: str, owner: str, path: str, text: st
     whole = files.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").cast("string").alias("text"))
     whole = whole.where("text is not null and length(text) > 0")
     kind = dict(whole.dtypes)["key"]
-    seen = cut(whole.mapInPandas(_extract, f"key {kind}, owner string, line_no int, offset int, value string, fit boolean, spans array<array<int>>"))
-    owners = seen.select("value", F.coalesce("owner", F.lit("")).alias("owner")).distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    shared = owners.where((F.col("owners") > max_owners) & ~F.col("value").startswith("-----BEGIN"))
+    seen = cut(whole.mapInPandas(_extract, f"key {kind}, owner string, line_no int, offset int, value string, fit boolean, context long, spans array<array<int>>"))
+    owners = seen.groupBy("value").agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count_distinct("context").alias("lines"))
+    shared = owners.where((F.col("owners") > max_owners) & (F.col("lines") > max_owners) & ~F.col("value").startswith("-----BEGIN"))
     good = cut(seen.where("fit").join(shared, "value", "left_anti").select("key", "line_no", "offset", "value", "spans"))
     sought = good.select("value").where((F.length("value") >= SOUGHT) & ~F.col("value").startswith("-----BEGIN")).distinct()
     sought = cut(sought.withColumn("no", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-2 * sought.count() // automaton))))))

@@ -220,7 +220,7 @@ def test_split_block_and_pem_values():
 
 
 def test_corpus_index_suppresses_and_rescans(spark):
-    shared = [(i, f"repo{i}", "a.env", "API_KEY=Everyone.has1234") for i in range(20)]
+    shared = [(i, f"repo{i}", "a.env", f"KEY{i}_API_KEY=Everyone.has1234") for i in range(20)] + [(50 + i, f"repo{i}", "a.env", "API_KEY=Copied.has1234") for i in range(20)]
     own = [
         (100, "r1", "a.env", "A=1\r\nAPI_KEY=Maple.walnut9734\r\n"),
         (101, "r2", "notes.txt", "first line\nseen Maple.walnut9734 in a log\n"),
@@ -231,9 +231,9 @@ def test_corpus_index_suppresses_and_rescans(spark):
     ]
     df = spark.createDataFrame(shared + own, "key int, owner string, path string, text string").selectExpr("key as file", "owner", "path as p", "text as value", "1 as line_no")
     found = credentials.find_credentials(df, "file", "owner", "p", "value", automaton=1)
-    assert sorted((r.key, r.line_no) for r in found.collect()) == [(100, 2), (101, 2), (103, 1)]
+    assert sorted((r.key, r.line_no) for r in found.collect()) == [*((50 + i, 1) for i in range(20)), (100, 2), (101, 2), (103, 1)]
     out = {r.key: r for r in credentials.redact_credentials(df, found, "file", "value").collect()}
-    assert out[101].text == "first line\nseen REDACTED in a log\n" and out[100].n_redacted == 1 and out[104].text is None and len(out) == 26
+    assert out[101].text == "first line\nseen REDACTED in a log\n" and out[100].n_redacted == 1 and out[104].text is None and len(out) == 46
     assert credentials.find_credentials(df.limit(0), "file", "owner", "p", "value").count() == 0
 
 
