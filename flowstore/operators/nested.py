@@ -66,4 +66,5 @@ def flatten_nested(rows: DataFrame, key_col: str, json_col: str, levels: int = L
         again = done.where("more")
         if again.isEmpty():
             return out
-        frontier = again.select("key", F.expr("array(named_struct('path', path, 'table', table, 'parent', parent, 'idx', idx, 'v', v))").alias("nodes"))
+        # elements of one record go to different tasks
+        frontier = again.repartition(F.xxhash64("key", "path")).select("key", F.expr("array(named_struct('path', path, 'table', table, 'parent', parent, 'idx', idx, 'v', v))").alias("nodes"))
