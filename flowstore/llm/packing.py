@@ -92,8 +92,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, lane:
     need no room and are left out; a null key is a key like others; repeated keys are
     items of their own. An empty table gives no rows; other columns are ignored.
 
-    Items are dealt to lanes of about `lane` by a hash of key and size, and each lane
-    packs online by the sum-of-squares rule. What a lane leaves in containers that are
+    Items are dealt to lanes of about `lane` by a hash of a number that each gets once,
+    so that repeated keys spread like others, and each lane packs online by the sum-of-squares rule. What a lane leaves in containers that are
     not full is dealt again to a sixteenth as many lanes, until one lane remains, which
     packs its rest by best fit, the largest first. So no task holds more than about `lane`
     items, or the rest of sixteen lanes. Container ids are unique, not consecutive.
@@ -101,8 +101,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, lane:
     rows = items.select(F.col(f"`{key}`").alias("key"), F.col(f"`{size}`").cast("long").alias("n")).where("n > 0")
     cap = F.lit(capacity).cast("long")
     pieces = rows.select("key", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / cap)), lambda i: F.least(cap, F.col("n") - i * cap)))).toDF("key", "piece_no", "size")
-    state = cut(pieces)
-    whole = state.where(F.col("size") == capacity).select("key", "piece_no", "size", F.concat(F.lit("f-"), F.hex(F.xxhash64("key", "piece_no")), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("container"))
+    state = cut(pieces.withColumn("seq", F.monotonically_increasing_id()))  # written once, so that it stays the same
+    whole = state.where(F.col("size") == capacity).select("key", "piece_no", "size", F.concat(F.lit("f-"), "seq").alias("container"))
     left = state.where(F.col("size") < capacity)
     kind = dict(rows.dtypes)["key"]
     out, level, lanes, old = whole, 0, None, None
@@ -112,16 +112,16 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, lane:
             return out
         lanes = max(1, -(-n // lane)) if lanes is None else max(1, min(lanes // 16, -(-n // lane)))
         last = lanes == 1 and level > 0
-        dealt = left.withColumn("lane", F.pmod(F.xxhash64("key", "piece_no", "size", F.lit(level)), F.lit(lanes)))
-        placed = dealt.select("key", "piece_no", "size", "lane").repartition(lanes, "lane").sortWithinPartitions("lane", F.xxhash64("key", "piece_no"))
-        done = cut(placed.mapInArrow(_lanes(capacity, last), f"key {kind}, piece_no int, size long, lane long, box long"))
+        dealt = left.withColumn("lane", F.pmod(F.xxhash64("seq", F.lit(level)), F.lit(lanes)))
+        placed = dealt.select("key", "piece_no", "size", "seq", "lane").repartition(lanes, "lane").sortWithinPartitions("lane", F.xxhash64("seq"))
+        done = cut(placed.mapInArrow(_lanes(capacity, last), f"key {kind}, piece_no int, size long, seq long, lane long, box long"))
         boxes = done.groupBy("lane", "box").agg((F.sum("size") >= FULL * capacity).alias("full"))
         done = done.join(boxes, ["lane", "box"])
         named = done.where(F.lit(True) if last else "full")
         out = out.unionByName(named.select("key", "piece_no", "size", F.concat(F.lit(f"{level}-"), "lane", F.lit("-"), "box").alias("container")))
         if last:
             return out
-        left, level = done.where("not full").select("key", "piece_no", "size"), level + 1
+        left, level = done.where("not full").select("key", "piece_no", "size", "seq"), level + 1
         drop_cut(old)
 
 
