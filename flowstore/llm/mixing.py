@@ -23,7 +23,8 @@ def mix_sources(rows: DataFrame, key: str, source: str, size: str, targets: Data
     and no row is used more than max_repeats times: the source with the least
     max_repeats * size / share sets the total. A source's budget is its share of the
     total; it gives all its rows as often as they fit, and once more the rows at the
-    head of its random order, cut at the budget: the last row is the last that fits.
+    head of its random order, cut at the budget: the row on which the budget ends is
+    used if most of it lies within, so that a source is off by half a row at most.
 
     Sources are compared in one spelling. Rows of a null or unlisted source, or of one
     with no share, and rows without a size or of size 0 or less, are not used. A source
@@ -59,7 +60,7 @@ def mix_sources(rows: DataFrame, key: str, source: str, size: str, targets: Data
     flat = joined.where("state <> 'cut'").select("key", "source", "size", (F.col("rounds") + F.when(F.col("state") == "all", 1).otherwise(0)).alias("uses"))
     # unsigned order within a range is signed order, as the top bits agree
     run = F.sum("size").over(Window.partitionBy("source").orderBy("rnd", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = joined.where("state = 'cut'").withColumn("run", run).select("key", "source", "size", (F.col("rounds") + (F.col("run") <= F.col("room")).cast("int")).alias("uses"))
+    edge = joined.where("state = 'cut'").withColumn("run", run).select("key", "source", "size", (F.col("rounds") + (2 * F.col("run") - F.col("size") < 2 * F.col("room")).cast("int")).alias("uses"))
     return flat.unionByName(edge).where("uses > 0")
 
 
