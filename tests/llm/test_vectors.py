@@ -53,6 +53,22 @@ def test_groups_of_copies_unusable_and_repeated(spark):
     assert clusters.similarity_groups(nulls, "ids", "vs").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [7, 20_000])
+def test_giant_components_are_split_in_blocks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(clusters, "CHUNK", chunk)
+    v, g = planted(3, (2, 60, 90), 50)
+    # a group with rows outside of its cone, and a chain of two groups
+    rng = np.random.default_rng(4)
+    c = np.eye(DIM)[5]
+    wide = np.array([c + 0.0 * c, *(c + 0.35 * w / np.linalg.norm(w) for w in rng.normal(size=(40, DIM)))])
+    rows = np.concatenate([v, wide.astype(np.float32)])
+    exact = {r.vec_id: r.group_id for r in clusters.similarity_groups(table(spark, rows), "ids", "vs").collect()}
+    got = {r.vec_id: r.group_id for r in clusters.similarity_groups(table(spark, rows), "ids", "vs", giant=20).collect()}
+    assert got == exact
+    left = [i for i in range(len(v)) if g[i] >= 0]
+    assert set(left) <= set(got)
+
+
 def test_typical_members_and_ties(spark):
     e = np.eye(DIM)[0]
     t = np.array([e, e, e + 0.2 * np.eye(DIM)[1]])
