@@ -14,8 +14,6 @@ from flowstore.operators import joins, mutations, scans
 from flowstore.plans import pipeline
 from flowstore.sources.catalog import Catalog, StoreMeta
 
-_RESERVED = {"store", "fields", "where", "filter", "key", "value", "limit", "order_by", "action", "values", "database", "direction"}
-
 
 class Session:
     """Queries by store name; every method gives a DataFrame."""
@@ -58,6 +56,11 @@ class Session:
     def script(self, steps: object, params: Mapping[str, object] | None = None) -> DataFrame:
         return pipeline.run(steps, self.catalog, params, collapse=True)
 
+    def stream(self, steps: object, params: Mapping[str, object] | None = None):
+        """The rows of a script one by one as dicts, partition by partition, so that the driver never holds them all."""
+        for row in self.script(steps, params).toLocalIterator(prefetchPartitions=True):
+            yield row.asDict(recursive=True)
+
     def bulk_add(self, store: str, rows: DataFrame) -> DataFrame:
         return self._keep(store, mutations.add(self.catalog.read(store), rows, self.catalog.meta(store).key_fields))
 

@@ -92,3 +92,52 @@ def import_json(lines: DataFrame, category_schema: str, item_schema: str) -> tup
     kind = F.get_json_object("value", "$.kind")
     read = lambda k, schema: lines.where(kind == k).select(F.from_json("value", schema).alias("r")).select("r.*")
     return read("category", category_schema), read("item", item_schema)
+
+
+def resolve_path(categories: DataFrame, targets: Sequence[Sequence[float]], breadth: int = 3) -> DataFrame:
+    """(category, distance): categories (category, parent, vector) reached by one vector a level, from the roots down.
+
+    At each level the `breadth` nearest children of each branch go on; distances add up;
+    only branches as deep as there are vectors survive, the nearest first. The levels are
+    as many as the vectors, each one join.
+    """
+    from flowstore.operators.vector_store import top_each
+
+    nodes = categories.select("category", "parent", "vector")
+    now = nodes.where("parent is null").withColumn("distance", euclidean("vector", targets[0])).withColumn("branch", F.lit(0))
+    now = top_each(now, "branch", breadth, [F.asc("distance"), F.asc("category")]).select("category", "distance")
+    for t in targets[1:]:
+        up = now.select(F.col("category").alias("parent"), F.col("distance").alias("before"))
+        below = nodes.join(up, "parent").withColumn("step", euclidean("vector", t))
+        now = top_each(below, "parent", breadth, [F.asc("step"), F.asc("category")]).select("category", (F.col("before") + F.col("step")).alias("distance"))
+    return now.orderBy("distance", "category")
+
+
+def ingest_thoughts(items: DataFrame, categories: DataFrame, thoughts: DataFrame, vector: str, key: str, category: str) -> DataFrame:
+    """The items with new ones, each in the nearest category (vectors of `categories` as centroids, numbered by name) unless it names one."""
+    from flowstore.operators.mutations import upsert
+    from flowstore.operators.vector_store import assign
+
+    names = [r[0] for r in categories.select("category").distinct().orderBy("category").limit(20_001).collect()]
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i + 1)]) if names else None
+    if number is None:
+        return upsert(items, thoughts, [key])
+    cents = categories.select(number[F.col("category")].alias("centroid_id"), "vector")
+    placed = assign(thoughts, vector, cents)
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("centroids")[0])
+    return upsert(items, placed.withColumn(category, F.coalesce(F.col(category), named)).select(*thoughts.columns), [key])
+
+
+def from_vectors(store: DataFrame, key: str, vector: str, payload: str, category: str) -> DataFrame:
+    """(id, category, text, vector): the rows of a vector store as items, by fields of their JSON payload; deleted ones are left out."""
+    from flowstore.functions.coercion import field
+
+    live = store.where(~F.coalesce(F.col("is_deleted"), F.lit(False))) if "is_deleted" in store.columns else store
+    return live.select(F.col(f"`{key}`").alias("id"), F.coalesce(field(payload, category), F.lit("general")).alias("category"), field(payload, "text").alias("text"), F.col(f"`{vector}`").alias("vector"))
+
+
+def vectorize(items: DataFrame, texts: Sequence[str], dim: int, stored: str, vector: str, embed) -> DataFrame:
+    """Items with vectors made anew where the stored hash is not that of the texts; `embed` gives a DataFrame its vector column."""
+    old = items.where(F.col(f"`{stored}`").eqNullSafe(vector_hash(dim, *[F.col(f"`{t}`") for t in texts])))
+    new = embed(stale(items, texts, dim, stored).drop(vector)).withColumn(stored, F.col("new_hash")).drop("new_hash")
+    return old.unionByName(new.select(*items.columns))

@@ -95,3 +95,21 @@ def optimize(store: DataFrame, vector: str, k: int | None = None, seed: int = 7)
 def top_each(scored: DataFrame, by: str, k: int, order: Sequence[Column]) -> DataFrame:
     """The first k rows of each group."""
     return scored.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
+
+
+def get(store: DataFrame, key: object, column: str = "id") -> DataFrame:
+    """The row of an id, unless it is marked as deleted."""
+    hit = store.where(F.col(column) == key)
+    return hit.where(~F.coalesce(F.col("is_deleted"), F.lit(False))) if "is_deleted" in store.columns else hit
+
+
+def count(store: DataFrame) -> DataFrame:
+    """(n): the rows that are not marked as deleted."""
+    live = store.where(~F.coalesce(F.col("is_deleted"), F.lit(False))) if "is_deleted" in store.columns else store
+    return live.agg(F.count("*").alias("n"))
+
+
+def consolidate(store: DataFrame, fresh: DataFrame, vector: str, centres: DataFrame, key: str = "id") -> DataFrame:
+    """The store with vectors that came in since, each under its nearest centroid."""
+    placed = assign(fresh, vector, centres).withColumn("centroid_id", F.col("centroids")[0]).drop("centroids")
+    return upsert(store, placed.select(*[c for c in store.columns if c in placed.columns]), key)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from flowstore.functions.names import collapsed, find, prefixed, quoted
 from flowstore.functions.predicates import condition, shorthand, validate
 from flowstore.functions.projections import project
-from flowstore.operators import aggregates, joins, mutations, scans
+from flowstore.functions.text import embed_by_hashing
+from flowstore.operators import aggregates, joins, knowledge, mutations, scans, search, vector_store
 from flowstore.sources.catalog import Catalog
 
 
@@ -416,6 +417,73 @@ def _group(env: Env, s: Step, a: dict) -> DataFrame:
     return aggregates.group(env.frame(s.input_var), [by] if isinstance(by, str) else by, a.get("aggregates") or a.get("aggs") or {"count": "count(*)"}, a.get("having"), a.get("kind", "plain"))
 
 
+def _space(env: Env, s: Step, a: dict) -> Opened:
+    return env.store(a.get("space") or a.get("store") or s.input_var)
+
+
+def _search_space(env: Env, s: Step, a: dict) -> DataFrame:
+    """Hits of a space by path, by vector or by words."""
+    space = _space(env, s, a)
+    key, text = a.get("key", "id"), a.get("text_field", "text")
+    if a.get("path"):
+        return knowledge.by_path(space.df, a.get("category_field", "category"), a["path"], text, a.get("prefix")).limit(a.get("limit", 10))
+    if a.get("vector"):
+        return knowledge.in_category(space.df, a["category_field"], a["category"], a.get("vector_field", "vector"), a["vector"], a.get("limit", 10), key) if a.get("category") else vector_store.exact(space.df, a.get("vector_field", "vector"), a["vector"], a.get("limit", 10), tie=key)
+    return search.search(search.build(space.df, key, text), a["query"], a.get("limit", 10))
+
+
+def _space_lists(items: bool) -> Callable:
+    def go(env: Env, s: Step, a: dict) -> DataFrame:
+        df, at, n = _space(env, s, a).df, a.get("page_offset", 0), a.get("page_size", 100)
+        field = a.get("category_field", "category")
+        return knowledge.list_items(df, field, a["category"], a.get("key", "id"), at, n) if items else knowledge.list_categories(df, field, at, n)
+
+    return go
+
+
+def _space_delete(field: str) -> Callable:
+    def go(env: Env, s: Step, a: dict) -> DataFrame:
+        space = _space(env, s, a)
+        name = a.get(f"{field}_field", "id" if field == "item" else "category")
+        return _save(env, space.name, mutations.delete(space.df, {name: {"$in": a["values"]}}))
+
+    return go
+
+
+def _space_upsert(env: Env, s: Step, a: dict) -> DataFrame:
+    space = _space(env, s, a)
+    new = env.catalog.spark.createDataFrame([tuple(r.get(c) for c in space.df.columns) for r in a["rows"]], space.df.schema)
+    return _save(env, space.name, mutations.upsert(space.df, new, [a.get("key", "id")]))
+
+
+def _vectorize(env: Env, s: Step, a: dict) -> DataFrame:
+    """Vectors of a space by hashed words, where the texts have changed."""
+    space, dim, vector = _space(env, s, a), int(a.get("dim", 64)), a.get("vector_field", "vector")
+    texts = a.get("texts") or ["text"]
+
+    def embed(df: DataFrame) -> DataFrame:
+        joined = embed_by_hashing(df.withColumn("__t", F.concat_ws(" ", *texts)), "__t", vector, dim)
+        return joined.drop("__t").withColumn(vector, F.col(vector).cast(dict(space.df.dtypes)[vector]))
+
+    return _save(env, space.name, knowledge.vectorize(space.df, texts, dim, a.get("hash_field", "vector_hash"), vector, embed))
+
+
+def _fetch(env: Env, s: Step, a: dict) -> DataFrame:
+    t = _target(env, s, a)
+    return scans.fetch(t.df, _keys(env, t)[0], a.get("key"), a.get("prefix"), a.get("condition"), a.get("limit", scans.LIMITS["fetch"]))
+
+
+def _command(env: Env, s: Step, a: dict) -> DataFrame:
+    from flowstore.api import Session
+
+    return Session(env.db).command(str(a["command"]))
+
+
+def _block_op(env: Env, s: Step, a: dict) -> object:
+    _block(env, a.get("body"))
+    return env.vars.get(env.last or "")
+
+
 def _sets(how: str) -> Callable:
     def go(env: Env, s: Step, a: dict) -> DataFrame:
         left = env.frame(s.input_var or env.last)
@@ -470,6 +538,19 @@ OPS: dict[str, Callable[[Env, Step, dict], object]] = {
     "list_new": lambda e, s, a: list(a.get("items") or []),
     "list_append": _list_append,
     "map_merge": _map_merge,
+    "set": _assign,
+    "say": lambda e, s, a: str(a.get("text", a.get("message", ""))),
+    "block": _block_op,
+    "fetch": _fetch,
+    "command": _command,
+    "search_space": _search_space,
+    "list_space_categories": _space_lists(False),
+    "list_space_items": _space_lists(True),
+    "upsert_space_items": _space_upsert,
+    "delete_space_items": _space_delete("item"),
+    "delete_space_categories": _space_delete("category"),
+    "vectorize_space": _vectorize,
+    "vectorize_space_items": _vectorize,
 }
 
 
@@ -482,7 +563,7 @@ def _rollback(env: Env) -> None:
 
 def _one(env: Env, s: Step) -> None:
     got = OPS[s.op](env, s, fill(dict(s.args), env))
-    if s.op not in ("if", "loop", "open_db", "begin_tx", "commit_tx", "rollback_tx", "defer", "return"):
+    if s.op not in ("if", "loop", "block", "open_db", "begin_tx", "commit_tx", "rollback_tx", "defer", "return"):
         env.vars[s.result_var] = got
         env.last = s.result_var
 

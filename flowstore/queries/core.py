@@ -645,3 +645,27 @@ def stream_sessions(spark, sf):
 @query("SELECT p_name AS text, 'Symptoms: ' || replace(p_brand, '_', ' ') || ', ' || replace(p_type, '_', ' ') AS description FROM part WHERE trim(p_name) <> ''")
 def etl_prepare(spark, sf):
     return etl.prepare(_t(spark, sf, "part"), "p_name", ["p_brand", "p_type"]).select("text", "description")
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def coerce_json_field(spark, sf):
+    from flowstore.functions import coercion
+
+    return _t(spark, sf, "events").select("event_id", coercion.to_number(coercion.field("props", "k")).alias("k"))
+
+
+@query("SELECT doc_id, title, source, CAST((SELECT count(*) FROM documents WHERE source = 'glossary') AS BIGINT) AS total_count FROM documents WHERE source = 'glossary' ORDER BY doc_id LIMIT 10 OFFSET 10")
+def space_items(spark, sf):
+    cat = catalog(spark, sf)
+    cat.register("space", _t(spark, sf, "documents").select("doc_id", "title", "source"))
+    return pipeline.run([{"op": "list_space_items", "space": "space", "category_field": "source", "category": "glossary", "key": "doc_id", "page_offset": 1, "page_size": 10}], cat)
+
+
+@query(f"""WITH c AS (SELECT label, list(x ORDER BY i) AS v FROM {_MEANS} GROUP BY label),
+a AS (SELECT label, list_distance(v, {_LIST}) AS d FROM c WHERE label < 4 ORDER BY d, label LIMIT 2),
+b AS (SELECT a.label AS parent, c.label, a.d + list_distance(v, {_LIST}) AS d, row_number() OVER (PARTITION BY a.label ORDER BY list_distance(v, {_LIST}), c.label) AS k FROM a JOIN c ON c.label >= 4 AND c.label % 4 = a.label)
+SELECT label AS category, round(d, 8) AS distance FROM b WHERE k <= 2""")
+def kb_resolve_path(spark, sf):
+    cents = vector_store.mean_vectors(_t(spark, sf, "embeddings"), "label", "embedding")
+    cats = cents.select(F.col("label").alias("category"), F.when(F.col("label") >= 4, F.col("label") % 4).alias("parent"), "vector")
+    return knowledge.resolve_path(cats, [_ONES, _ONES], 2).withColumn("distance", F.round("distance", 8))

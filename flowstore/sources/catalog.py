@@ -128,6 +128,10 @@ class Catalog:
             rows.append((s, [f"{c}:{label(t)}" for c, t in self.read(s).dtypes], list(m.key_fields), [f"{','.join(r.source_fields)}->{r.target_store}.{','.join(r.target_fields)}" for r in m.relations], m.unique))
         return self.spark.createDataFrame(rows, "store string, columns array<string>, key array<string>, relations array<string>, is_unique boolean")
 
+    def list_databases(self) -> DataFrame:
+        """(database, directory) of the current database and those known by name."""
+        return self.spark.createDataFrame([("current", self.directory), *sorted(self.databases.items())], "database string, directory string")
+
     def inspect(self, name: str) -> DataFrame:
         """(name, count, is_unique, description, schema: map of column to label) of one store."""
         df, m = self.read(name), self.meta(name)
