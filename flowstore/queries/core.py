@@ -292,10 +292,10 @@ def join_right(spark, sf):
     return _short(pipeline.run(steps, catalog(spark, sf)), c="customer.c_custkey", o="orders.o_orderkey")
 
 
-@query("SELECT c_custkey AS c, s_suppkey AS s FROM (SELECT * FROM customer WHERE c_custkey < 300) FULL JOIN supplier ON c_custkey = s_suppkey * 5")
+@query("SELECT c_custkey AS c, s_suppkey AS s FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 50")
 def join_full(spark, sf):
-    s = _t(spark, sf, "supplier").withColumn("k", F.col("s_suppkey") * 5)
-    return _short(joins.join(_t(spark, sf, "customer").where("c_custkey < 300"), s, {"c_custkey": "k"}, "full", "customer", "supplier"), c="customer.c_custkey", s="supplier.s_suppkey")
+    s = _t(spark, sf, "supplier").withColumn("k", F.col("s_suppkey") * 50)
+    return _short(joins.join(_t(spark, sf, "customer"), s, {"c_custkey": "k"}, "full", "customer", "supplier"), c="customer.c_custkey", s="supplier.s_suppkey")
 
 
 @query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -334,10 +334,10 @@ def join_relation_bridge(spark, sf):
     return _short(got, o="orders.o_orderkey", p="part.p_partkey")
 
 
-@query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT * FROM {_OUTER} WHERE c_custkey < 40) a JOIN (SELECT * FROM {_OUTER} WHERE c_custkey < 40) b ON a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice")
+@query(f"SELECT a.c_custkey AS c, b.n FROM {_OUTER} a JOIN (SELECT o_totalprice, count(*) AS n FROM {_OUTER} GROUP BY 1) b ON a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice")
 def join_null_safe(spark, sf):
-    x = _outer(spark, sf).where("c_custkey < 40")
-    return _short(joins.join(x, x, ["o_totalprice"], "inner", "a", "b", null_safe=True), a="a.c_custkey", b="b.c_custkey")
+    x = _outer(spark, sf)
+    return _short(joins.join(x, aggregates.group(x, ["o_totalprice"], {"n": "count(*)"}), ["o_totalprice"], "inner", "a", "b", null_safe=True), c="a.c_custkey", n="b.n")
 
 
 @query("SELECT c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
