@@ -86,6 +86,15 @@ found AS (
 SQL = {
     "p4_found": _P4 + "SELECT DISTINCT request_id, field_name, ref_id, reason, strftime(received_at, '%Y-%m') AS period FROM found WHERE reason IS NOT NULL",
     "p4_report": _P4 + "SELECT field_name AS table_name, strftime(received_at, '%Y-%m') AS period, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+    "p6_found": """
+WITH RECURSIVE n AS (
+  SELECT export_id, '' AS path, '$' AS parent, CAST(payload AS JSON) AS v, false AS elem FROM kb_exports WHERE payload IS NOT NULL AND payload <> '' AND json_valid(payload)
+  UNION ALL
+  SELECT n.export_id,
+         CASE WHEN json_type(n.v) = 'ARRAY' THEN n.path || '[' || e.key || ']' WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END,
+         CASE WHEN n.elem AND json_type(n.v) = 'OBJECT' THEN n.path ELSE n.parent END, e.value, json_type(n.v) = 'ARRAY'
+  FROM n, json_each(n.v) e WHERE json_type(n.v) IN ('ARRAY', 'OBJECT'))
+SELECT DISTINCT export_id, path AS node, parent FROM n WHERE elem AND json_type(v) = 'OBJECT'""",
     "p7_found": f"""
 WITH RECURSIVE rows_ AS (SELECT {_uuid('id')} AS id, {_ref('parent_id')} AS p, received_at, request_id FROM space_categories),
 newest AS (SELECT id, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST, request_id DESC) AS k FROM rows_ WHERE id IS NOT NULL) WHERE k = 1),
