@@ -72,17 +72,16 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     starts = np.fromiter((s for s, _ in spans), np.int64, n)
     pieces: list[tuple[int, int]] = []  # first own token, end
     for lo, hi in units(boundary_levels(text, starts), limit - overlap):
-        # the first piece has no overlap before it
-        if pieces and hi - pieces[-1][0] + (min(overlap, pieces[-1][0])) <= limit:
+        # before the first piece there is nothing to share
+        if pieces and hi - pieces[-1][0] + min(overlap, pieces[-1][0]) <= limit:
             pieces[-1] = (pieces[-1][0], hi)
         else:
             pieces.append((lo, hi))
     out = []
     for lo, hi in pieces:
-        # tokens before lo are at least those of the piece before, of which it has overlap or all
-        before = pieces[len(out) - 1] if out else None
-        shared = 0 if before is None else min(overlap, hi and lo - (before[0] - out[-1][3]))
-        begin = 0 if not out else int(starts[lo - shared])
+        # the last tokens of the piece before, all of it if it has fewer
+        shared = min(overlap, out[-1][2]) if out else 0
+        begin = int(starts[lo - shared]) if out else 0
         end = len(text) if hi == n else int(starts[hi])
         out.append((begin, end, hi - lo + shared, shared))
     return out
