@@ -21,7 +21,7 @@ from flowstore.llm.vectors import DIM, bytes_matrix, exploded, fixed, packed, ru
 K, MIN_COSINE = 5, 0.80
 #: Rows of the sample that fits the index, at most; vectors a cell; most cells for each row of the sample.
 SAMPLE, CELL, SAMPLE_A_CELL = 65_536, 200, 8
-SPILL = 3
+SPILL = 4
 #: Rows of a cell that one task compares with as many; larger cells are split, and every pair of the parts compared.
 BLOCK = 16_000
 #: Share of a block of pairs from which candidates are reranked by one product, not pair by pair.
