@@ -22,12 +22,16 @@ from flowstore.plans.skew import skew_join
 from flowstore.plans.tables import cut
 
 MIN_COSINE = 0.80
-#: Tokens of a vector, and the least Jaccard similarity of two sets: of pairs with a cosine of 0.80, over 99 % reach it.
-TOKENS, MIN_JACCARD = 40, 0.10
-#: Share of the pairs that the bands may miss if their chance of one equal token is AGREE: about 0.4 at a cosine of 0.80 to 0.85, 0.5 at 0.9, 0.6 at 0.95.
-MISS, AGREE = 0.005, 0.4
+#: Tokens of a vector that are folded and verified, and the least Jaccard similarity of two sets of them, 8 equal ones: of pairs with a cosine of 0.80, 99.95 % reach it.
+TOKENS, MIN_JACCARD = 60, 0.07
+#: Tokens from which the bands are drawn; the first TOKENS are those above. With fewer, chance leaves too many pairs with few equal ones.
+DRAWN = 120
+#: Share of the pairs with a cosine of MIN_COSINE that signs, bands and Jaccard similarity may miss together; their chance of one equal token in 64 dimensions (0.308 in a simulation; 0.37 at 0.85, 0.47 at 0.9).
+MISS, AGREE = 0.005, 0.305
+#: Share of the common buckets in which an unrelated vector with close signs may come before a pair.
+LOST = 0.05
 #: Signs of SIGNS random projections go with an id into its buckets; two that differ in more than FAR signs are not linked. A cosine of 0.80 differs in 6.6, deviation 2.3.
-SIGNS, FAR = 32, 12
+SIGNS, FAR = 32, 14
 #: Members of one bucket in one batch from which they are linked before the shuffle.
 HOT = 64
 #: Groups up to so many members are checked in one piece of memory, larger ones in blocks.
@@ -36,19 +40,35 @@ DENSE = 3000
 GIANT, CHUNK = 50_000, 20_000
 
 
-def band_plan(n: int) -> tuple[int, int]:
-    """Rows a band and bands: enough rows that unrelated vectors of n seldom share a bucket, enough bands that pairs are missed as seldom at any n."""
-    rows = max(3, math.ceil(math.log2(max(n, 2)) / 7))
-    return rows, math.ceil(math.log(MISS) / math.log(1 - AGREE**rows))
+def binomial(n: int, p: float) -> np.ndarray:
+    """The chances of 0 to n hits."""
+    return np.array([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+
 
+def band_plan(n: int) -> tuple[int, int]:
+    """Rows a band and bands: enough rows that unrelated vectors of n seldom share a bucket, enough bands that as few pairs are missed at any n.
 
-def band_tokens(rows: int, bands: int) -> np.ndarray:
+    Bands share their tokens, so their chance is taken for each number of equal tokens and
+    averaged over the binomial of it. What signs and Jaccard similarity miss comes first.
+    """
+    rows = max(3, math.ceil((math.log2(max(n, 2)) + 1) / 7))
+    least = math.ceil(2 * TOKENS * MIN_JACCARD / (1 + MIN_JACCARD))
+    left = MISS - binomial(SIGNS, math.acos(MIN_COSINE) / math.pi)[FAR + 1 :].sum() - binomial(TOKENS, AGREE)[:least].sum()
+    weight = binomial(DRAWN, AGREE)
+    hit = (1 - LOST) * np.array([math.comb(k, rows) / math.comb(DRAWN, rows) for k in range(DRAWN + 1)])
+    bands = 1
+    while weight @ (1 - hit) ** bands > left:
+        bands += 1
+    return rows, bands
+
+
+def band_tokens(rows: int, bands: int, tokens: int = TOKENS) -> np.ndarray:
     """The tokens of each band. Permutations of all tokens are cut into bands, so that every token is in as many and few bands overlap."""
-    rng, each = np.random.default_rng(5), TOKENS // rows
-    return np.concatenate([rng.permutation(TOKENS)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))])[:bands]
+    rng, each = np.random.default_rng(5), tokens // rows
+    return np.concatenate([rng.permutation(tokens)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))])[:bands]
 
 
-def rotations(tokens: int = TOKENS, dim: int = DIM, seed: int = 11) -> np.ndarray:
+def rotations(tokens: int = DRAWN, dim: int = DIM, seed: int = 11) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(tokens)], axis=1).astype(np.float32)
 
@@ -127,24 +147,24 @@ def _tokens(dim: int):
             ids, raw = usable(b, dim)
             if len(ids):
                 v = unit(raw).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sign_sketch(v)), fixed(token_sets(v, turns))], ["id", "signs", "tokens"])
+                sets = token_sets(v, turns)
+                both = [fixed(np.ascontiguousarray(x)) for x in (sets[:, :TOKENS], sets[:, TOKENS:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sign_sketch(v)), *both], ["id", "signs", "tokens", "more"])
 
     return step
 
 
 def _bands(rows: int, bands: int):
-    picks = band_tokens(rows, bands)
+    picks = band_tokens(rows, bands, DRAWN)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sets = b.column(0).to_numpy(), bytes_matrix(b.column(2), TOKENS).astype(np.int64)
+            ids, sets = b.column(0).to_numpy(), np.hstack([bytes_matrix(b.column(2), TOKENS), bytes_matrix(b.column(3), DRAWN - TOKENS)]).astype(np.int64)
             signs = b.column(1).to_numpy()
             for k, pick in enumerate(picks):
                 key = np.full(len(ids), k, np.int64)
                 for t in pick:
                     key = key * 128 + sets[:, t]
-                # four tokens or more no longer fit beside the signs
-                key = key if rows < 4 else (key * np.int64(0x9E3779B97F4A7C1)) >> np.int64(33) & np.int64(0x7FFFFFFF)
                 # many members of one bucket in one batch are linked here and need not meet again: a hot bucket shrinks to a few rows a batch
                 order = np.lexsort((ids, key))
                 hub = _hubs(key[order])
@@ -157,8 +177,8 @@ def _bands(rows: int, bands: int):
                 hot = np.zeros(len(ids), bool)
                 hot[order] = np.repeat(np.diff(np.r_[start, len(ids)]) >= HOT, np.diff(np.r_[start, len(ids)]))
                 linked &= (to != ids) & (to >= 0) & hot
-                both = np.where(linked, -1 - to, key << SIGNS | signs)  # a link is told by its sign
-                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(ids)], ["bucket_signs", "id"])
+                bucket = np.where(linked, -1 - to, key)  # a link is told by its sign
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(signs.astype(np.uint32).view(np.int32)), pa.array(ids)], ["bucket", "signs", "id"])
 
     return step
 
@@ -170,26 +190,41 @@ def _hubs(bucket: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each row of a bucket to the bucket's smallest id, where their signs are close. Rows come by bucket and id; of a bucket only its hub is held."""
-    held, hub_id, hub_signs = None, 0, 0
+    """Links of each row of a bucket to the first hub with close signs; a row that no hub before it is close to is a hub itself, so that an unrelated vector parts no pair.
+
+    Rows come by bucket and id; of a bucket only its hubs are held.
+    """
+    held, hubs = None, []
     for b in batches:
         if not b.num_rows:
             continue
-        both, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        done = both < 0
-        if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[done]), pa.array(-1 - both[done])], ["id", "dst"])
-            both, ids = both[~done], ids[~done]
-        if not len(ids):
-            continue
-        bucket, signs = both >> SIGNS, both & ((1 << SIGNS) - 1)
-        hub = _hubs(bucket)
-        dst, ref = ids[hub], signs[hub]
-        if bucket[0] == held:  # the bucket goes on from the batch before
-            dst, ref = np.where(bucket == held, hub_id, dst), np.where(bucket == held, hub_signs, ref)
-        keep = (np.bitwise_count(signs ^ ref) <= FAR) & (ids != dst)
-        held, hub_id, hub_signs = bucket[-1], dst[-1], ref[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(dst[keep])], ["id", "dst"])
+        bucket, signs, ids = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint32), b.column(2).to_numpy()
+        done = bucket < 0
+        src, dst = [ids[done]], [-1 - bucket[done]]
+        bucket, signs, ids = bucket[~done], signs[~done], ids[~done]
+        if len(ids):
+            left, last = np.arange(len(ids)), bucket[-1]
+            if bucket[0] != held:
+                hubs = []
+            for hub_id, hub_signs in hubs:  # the bucket goes on from the batch before
+                own = left[: np.searchsorted(bucket[left], held, "right")]
+                near = np.bitwise_count(signs[own] ^ hub_signs) <= FAR
+                src.append(ids[own[near]])
+                dst.append(np.full(int(near.sum()), hub_id))
+                left = np.r_[own[~near], left[len(own) :]]
+            if last != held:
+                hubs = []
+            held = last
+            while len(left):
+                hub = left[_hubs(bucket[left])]
+                near = np.bitwise_count(signs[left] ^ signs[hub]) <= FAR
+                src.append(ids[left[near]])
+                dst.append(ids[hub[near]])
+                if bucket[hub[-1]] == held:
+                    hubs.append((ids[hub[-1]], signs[hub[-1]]))
+                left = left[~near]
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        yield pa.RecordBatch.from_arrays([pa.array(src[src != dst]), pa.array(dst[src != dst])], ["id", "dst"])
 
 
 def _similar(least: float):
@@ -245,19 +280,19 @@ def similarity_groups(df: DataFrame, ids: str, vectors: str, dim: int = DIM, lea
     out; exact copies are members like others; a repeated id counts as a vector each time.
     An empty table gives no rows; other columns are ignored.
 
-    Vectors with equal token sets are folded before the bands. Each bucket is a star
-    around its smallest id, never all pairs; a sketch of signs drops most wrong links
+    Vectors with equal token sets are folded before the bands. Each bucket is stars
+    around few hubs, never all pairs; a sketch of signs drops most wrong links
     before they are shuffled, the others are verified by the exact Jaccard similarity of
     the sets. Components of the verified links are split around medoids of
     highest degree, by exact cosine, so that a wrong link costs no wrong group. Components
     of more than `giant` members are split in blocks of rows over many tasks.
     """
     source = exploded(df, ids, vectors)
-    sets = cut(source.mapInArrow(_tokens(dim), "id long, signs long, tokens binary"))
-    folded = cut(sets.groupBy("tokens").agg(F.min(F.struct("id", "signs")).alias("a"), F.count("*").alias("copies")).select("a.id", "a.signs", "tokens", "copies"))
+    sets = cut(source.mapInArrow(_tokens(dim), "id long, signs long, tokens binary, more binary"))
+    folded = cut(sets.groupBy("tokens").agg(F.min(F.struct("id", "signs", "more")).alias("a"), F.count("*").alias("copies")).select("a.id", "a.signs", "tokens", "a.more", "copies"))
     rows, bands = band_plan(folded.count())
-    buckets = folded.select("id", "signs", "tokens").mapInArrow(_bands(rows, bands), "bucket_signs long, id long")
-    place = F.when(F.col("bucket_signs") < 0, F.xxhash64("id")).otherwise(F.shiftright("bucket_signs", SIGNS))
+    buckets = folded.select("id", "signs", "tokens", "more").mapInArrow(_bands(rows, bands), "bucket long, signs int, id long")
+    place = F.when(F.col("bucket") < 0, F.xxhash64("id")).otherwise(F.col("bucket"))
     buckets = buckets.repartition(place).sortWithinPartitions(place, "id")
     # by dst once: distinct and the first join need no further shuffle
     links = buckets.mapInArrow(_stars, "id long, dst long").repartition("dst").distinct()

@@ -102,6 +102,34 @@ def test_band_plan_grows_with_the_data():
     assert picks.shape == (81, 3) and np.bincount(picks.ravel(), minlength=clusters.TOKENS).min() >= 4
 
 
+@pytest.mark.parametrize("n, cosine", [(1000, 0.80), (1000, 0.85), (10**7, 0.80), (10**7, 0.85)])
+def test_plans_miss_few_pairs_at_the_threshold(n, cosine):
+    rng = np.random.default_rng(9)
+    a, z = unit(rng.normal(size=(4000, DIM))), rng.normal(size=(4000, DIM))
+    b = cosine * a + np.sqrt(1 - cosine**2) * unit(z - (z * a).sum(1, keepdims=True) * a)
+    turns = clusters.rotations()
+    equal = clusters.token_sets(a.astype(np.float32), turns) == clusters.token_sets(b.astype(np.float32), turns)
+    rows, bands = clusters.band_plan(n)
+    hit = np.zeros(len(a), bool)
+    for pick in clusters.band_tokens(rows, bands, equal.shape[1]):
+        hit |= equal[:, pick].all(1)
+    same = equal[:, : clusters.TOKENS].sum(1)
+    hit &= same / (2 * clusters.TOKENS - same) >= clusters.MIN_JACCARD
+    hit &= np.bitwise_count(clusters.sign_sketch(a) ^ clusters.sign_sketch(b)) <= clusters.FAR
+    assert hit.mean() > 0.992  # 0.995, and three deviations
+
+
+def test_an_unrelated_vector_in_a_bucket_parts_no_pair():
+    import pyarrow as pa
+
+    names, far = ["bucket", "signs", "id"], (1 << 31) - 1
+    rows = [(5, 0, 1), (5, far, 2), (5, far, 3), (5, 1, 4), (5, far, 5), (6, far, 6), (-1 - 3, 0, 9)]
+    for cut in range(len(rows) + 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int32(), pa.int64()))], names) for part in (rows[:cut], rows[cut:]) if part]
+        got = sorted((s, d) for b in clusters._stars(iter(batches)) for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        assert got == [(3, 2), (4, 1), (5, 2), (9, 3)]
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 420)] + [(7, 7), (None, 3)]
