@@ -15,21 +15,25 @@ def source_name(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_")
 
 
-def mix_sources(rows: DataFrame, key: str, source: str, size: str, targets: DataFrame, ranges: int = RANGES, seed: int = 1) -> DataFrame:
+def mix_sources(rows: DataFrame, key: str, source: str, size: str, targets: DataFrame, ranges: int = RANGES, seed: int = 1, short: bool = False) -> DataFrame:
     """(key, source, size, uses) of each row that the mixture uses, `uses` times.
 
     targets: (source, target_share, max_repeats), one row a source, shares that sum to 1.
     The mixture is the largest in which every source can give its share of the total size
     and no row is used more than max_repeats times: the source with the least
-    max_repeats * size / share sets the total. A source's budget is its share of the
-    total; it gives all its rows as often as they fit, and once more the rows at the
+    max_repeats * size / share sets the total. With `short` the total is the size of all
+    usable rows of sources with a share, whatever the scarcest source has: a source that
+    cannot give its share within max_repeats gives all it can and falls short, and the
+    others keep their budgets; `mixture_report` tells the shares reached.
+
+    A source's budget is its share of the total; it gives all its rows as often as they fit, and once more the rows at the
     head of its random order, cut at the budget: the row on which the budget ends is
     used if most of it lies within, so that a source is off by half a row at most.
 
     Sources are compared in one spelling. Rows of a null or unlisted source, or of one
     with no share, and rows without a size or of size 0 or less, are not used. A source
-    that has a share but no rows makes the mixture empty, as does an empty table. A null
-    key is a key like others; repeated rows are rows of their own; equal random keys
+    that has a share but no rows makes the mixture empty unless `short` is set, as does an
+    empty table in any case. A null key is a key like others; repeated rows are rows of their own; equal random keys
     follow the key. Other columns are ignored.
 
     The random key is a hash of key and size. Sums by source and range are combined
@@ -47,9 +51,9 @@ def mix_sources(rows: DataFrame, key: str, source: str, size: str, targets: Data
     whole = sums.groupBy("source").agg(F.sum("n").alias("have"))
     # one row a source from here on: as many as targets
     plan = t.join(whole, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    total = plan.agg(F.min(F.col("most") * F.col("have") / F.col("share")).alias("total"))
-    plan = plan.crossJoin(total).where("total > 0")  # one row against one a source
-    plan = plan.withColumn("budget", F.floor(F.col("share") * F.col("total") + 1e-6)).withColumn("rounds", F.least(F.floor(F.col("budget") / F.col("have")).cast("int"), "most"))
+    total = plan.agg((F.sum("have") if short else F.min(F.col("most") * F.col("have") / F.col("share"))).alias("total"))
+    plan = plan.crossJoin(total).where("total > 0 and have > 0")  # one row against one a source
+    plan = plan.withColumn("budget", F.least(F.floor(F.col("share") * F.col("total") + 1e-6), F.col("most") * F.col("have"))).withColumn("rounds", F.least(F.floor(F.col("budget") / F.col("have")).cast("int"), "most"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("rounds") * F.col("have")).withColumn("extra", F.col("rounds") < F.col("most")).select("source", "rounds", "rest", "extra")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     prefix = sums.withColumn("before", before).join(plan, "source")

@@ -62,7 +62,7 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
 def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = _read(spark, sf, "mix_targets")
     sized = cut(token_counts(_read(spark, sf, "documents"), ["doc_id", "source"], "text"))
-    return mix_sources(sized, "doc_id", "source", "n_tokens", targets), targets
+    return mix_sources(sized, "doc_id", "source", "n_tokens", targets, short=True), targets
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:

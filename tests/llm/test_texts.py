@@ -150,6 +150,19 @@ def test_mixture_edges(spark, corpus):
     assert mixing.mix_sources(twice, "key", "source", "size", one).count() == twice.where("size > 0").count()
 
 
+def test_a_scarce_or_absent_source_falls_short_alone(spark, corpus):
+    t = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 2), ("c_d", 0.1, 1), ("missing", 0.1, 3)], "source string, target_share double, max_repeats int")
+    have = {r.s: r.n for r in corpus.where("size > 0 and source <> 'zzz'").groupBy(F.regexp_replace(F.lower(F.trim("source")), "-", "_").alias("s")).agg(F.sum("size").alias("n")).collect()}
+    total = sum(have.values())
+    mix = mixing.mix_sources(corpus, "key", "source", "size", t, ranges=16, short=True)
+    got = {r.source: r for r in mixing.mixture_report(mix, t).collect()}
+    assert 2 * have["b"] < 0.5 * total and got["b"].size == 2 * have["b"] and got["b"].most_uses == 2
+    assert abs(got["a"].size - 0.3 * total) <= 26 and abs(got["c_d"].size - 0.1 * total) <= 26
+    assert (got["missing"].size, got["missing"].actual_share) == (0, 0.0)
+    assert abs(sum(r.actual_share for r in got.values()) - 1) < 1e-9
+    assert mixing.mix_sources(corpus.limit(0), "key", "source", "size", t, short=True).count() == 0
+
+
 # credentials
 
 TOKEN = "qx-" + "Ab3dEf6hIj9kLm2nOp5qRs8t"
