@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowstore.functions.vectors import as_column, cosine, euclidean
 
-#: Centroids probed by a query, rows that fit them, rounds and tolerance.
+#: Centroids probed first by a query, rows that fit them, rounds and tolerance.
 PROBES, SAMPLE, ROUNDS, TOLERANCE = 2, 50_000, 20, 1e-5
 
 
@@ -47,10 +48,34 @@ def assign(df: DataFrame, vector: str, centres: DataFrame, n: int = 1, limit: in
     return df.withColumn("__near", near).withColumn("centroids", F.col("__near.id")).withColumn("distance", F.col("__near")[0]["d"]).drop("__near")
 
 
-def query(indexed: DataFrame, vector: str, centres: DataFrame, target: Sequence[float], k: int = 10, probes: int = PROBES, where: Column | None = None) -> DataFrame:
-    """The k best by cosine among the rows of the `probes` centroids nearest to the target. indexed has centroid_id, on which it may be partitioned."""
-    ids = [r[0] for r in centres.withColumn("d", euclidean("vector", target)).orderBy("d", "centroid_id").limit(probes).select("centroid_id").collect()]
-    return exact(indexed.where(F.col("centroid_id").isin(ids)), vector, target, k, where)
+def reaches(indexed: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
+    """The centroids with `reach`, the largest angle of a row to its centroid (pi where a row has another length), null for one without rows. It holds until rows are added."""
+    own = indexed.select("centroid_id", F.col(f"`{vector}`").alias("__v")).join(F.broadcast(centres.select("centroid_id", F.col("vector").alias("__c"))), "centroid_id")
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine("__v", "__c"))))
+    far = own.groupBy("centroid_id").agg(F.max(F.when(F.size("__v") == F.size("__c"), angle).otherwise(math.pi)).alias("reach"))
+    return centres.drop("reach").join(far, "centroid_id", "left")
+
+
+def query(indexed: DataFrame, vector: str, centres: DataFrame, target: Sequence[float], k: int = 10, probes: int | None = None, where: Column | None = None) -> DataFrame:
+    """The k best by cosine. indexed has centroid_id, on which it may be partitioned.
+
+    The PROBES centroids nearest to the target give a k-th score; then every centroid is
+    scanned whose rows could reach it, by the angle to the target less its reach, so that
+    the result is that of `exact` over the rows with a centroid. The reach is measured
+    from the rows, in a pass over all, unless centres come from `reaches`. With `probes`
+    just so many centroids are scanned, and neighbours in others are missed.
+    """
+    ids = [r[0] for r in centres.withColumn("d", euclidean("vector", target)).orderBy("d", "centroid_id").limit(probes or PROBES).select("centroid_id").collect()]
+    first = exact(indexed.where(F.col("centroid_id").isin(ids)), vector, target, k, where)
+    if probes is not None:
+        return first
+    scores = [r[0] for r in first.select("score").collect()]
+    least = min(scores) if len(scores) == k and None not in scores else -1.0
+    known = centres if "reach" in centres.columns else reaches(indexed, vector, centres)
+    # at most as many rows as centroids
+    rows = known.where("reach is not null").select("centroid_id", "reach", cosine("vector", target).alias("c")).collect()
+    best = {r[0]: math.cos(max(0.0, math.acos(max(-1.0, min(1.0, r["c"]))) - r["reach"])) for r in rows}
+    return exact(indexed.where(F.col("centroid_id").isin([i for i, s in best.items() if s >= least - 1e-9])), vector, target, k, where)
 
 
 def mean_vectors(df: DataFrame, by: str, vector: str) -> DataFrame:

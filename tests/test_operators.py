@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -33,6 +34,26 @@ def test_vector_store_life(spark):
         vector_store.assign(df, "v", cents, limit=2)
 
 
+def test_index_finds_what_exact_search_finds(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(600)], "id int, v array<double>")
+    store, cents = vector_store.optimize(df, "v", 12)
+    store, cents = store.cache(), vector_store.reaches(store, "v", cents).cache()
+    missed = 0
+    for n in range(5):
+        target = [rng.gauss(0, 1) for _ in range(16)]
+        want = [r.id for r in vector_store.exact(df, "v", target, 10).collect()]
+        assert [r.id for r in vector_store.query(store, "v", cents if n else cents.drop("reach"), target, 10).collect()] == want
+        assert {r.id for r in vector_store.query(store, "v", cents, target, 10, where=F.col("id") % 2 == 0).collect()} == {r.id for r in vector_store.exact(df, "v", target, 10, F.col("id") % 2 == 0).collect()}
+        missed += len(set(want) - {r.id for r in vector_store.query(store, "v", cents, target, 10, vector_store.PROBES).collect()})
+    assert missed > 0  # the first cells alone are not enough
+    # narrow cells that cannot reach the k-th score are not scanned
+    tight = spark.createDataFrame([(i, [float(d == i % 4) + rng.gauss(0, 0.01) for d in range(4)]) for i in range(80)], "id int, v array<double>")
+    store, cents = vector_store.optimize(tight, "v", 4)
+    hit = vector_store.query(store, "v", cents, [1.0, 0.0, 0.0, 0.0], 5)
+    assert {r.id % 4 for r in hit.collect()} == {0}
+
+
 def test_knowledge_paths_and_staleness(spark):
     items = spark.createDataFrame([(1, "Tech/C#", "Intro"), (2, "tech/csharp/Deep", "intro two"), (3, "Law", "Intro")], "id int, cat string, t string")
     assert sorted(r.id for r in knowledge.by_path(items, "cat", "TECH/c#").collect()) == [1, 2]
