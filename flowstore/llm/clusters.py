@@ -4,12 +4,17 @@ A vector becomes a set of tokens: for each of T random rotations, which coordina
 rotated vector is largest, with its sign. The tokens of one rotation are a bin of a one
 permutation MinHash with one element in it, so the signature is the set itself, and the
 Jaccard similarity of two sets with a equal tokens is exactly a / (2 T - a).
+
+A band is a few leading tokens and a few of the set. Bands with the same leading tokens meet
+in one place, a cell, so that a row travels once for each lead, not once for each band;
+buckets are formed, and pairs verified, where the cell is.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,22 +23,22 @@ from pyspark.sql import functions as F
 
 from flowstore.llm.components import connected_components
 from flowstore.llm.vectors import DIM, bytes_matrix, exploded, fixed, packed, runs, unit, usable, whole_groups
-from flowstore.plans.skew import skew_join
-from flowstore.plans.tables import cut
+from flowstore.plans.tables import cut, drop_cut
 
 MIN_COSINE = 0.80
-#: Tokens of a vector that are folded and verified, and the least Jaccard similarity of two sets of them, 8 equal ones: of pairs with a cosine of 0.80, 99.95 % reach it.
-TOKENS, MIN_JACCARD = 60, 0.07
-#: Tokens from which the bands are drawn; the first TOKENS are those above. With fewer, chance leaves too many pairs with few equal ones.
-DRAWN = 120
-#: Share of the pairs with a cosine of MIN_COSINE that signs, bands and Jaccard similarity may miss together; their chance of one equal token in 64 dimensions (0.308 in a simulation; 0.37 at 0.85, 0.47 at 0.9).
+#: Tokens of a vector's set, and the equal ones that two similar sets have at least, a Jaccard similarity of 1/14: 99.94 % of pairs with a cosine of 0.80 have them, and one in 10^5 of unrelated ones that share a bucket of three.
+TOKENS, LEAST_EQUAL = 60, 8
+MIN_JACCARD = LEAST_EQUAL / (2 * TOKENS - LEAST_EQUAL)
+#: Share of the pairs with a cosine of MIN_COSINE that leads, bands and Jaccard similarity may miss together; their chance of one equal token in 64 dimensions (0.308 in a simulation; 0.37 at 0.85, 0.47 at 0.9).
 MISS, AGREE = 0.005, 0.305
-#: Share of the common buckets in which an unrelated vector with close signs may come before a pair.
-LOST = 0.05
-#: Signs of SIGNS random projections go with an id into its buckets; two that differ in more than FAR signs are not linked. A cosine of 0.80 differs in 6.6, deviation 2.3.
-SIGNS, FAR = 32, 14
-#: Members of one bucket in one batch from which they are linked before the shuffle.
-HOT = 64
+#: Leads if a cell is told by one, two or three tokens: about as few as MISS allows.
+LEADS = {1: 18, 2: 70, 3: 240}
+#: Vectors in one cell that are linked at once, 68 bytes each; a cell of more is linked in parts.
+CELL = 1 << 21
+#: Rows that one map task holds before it sends them to their cells.
+HELD = 1 << 16
+#: Further leads that divide what is left of a cell of many parts, once; the cells that come of it are linked whole.
+FURTHER = 16
 #: Groups up to so many members are checked in one piece of memory, larger ones in blocks.
 DENSE = 3000
 #: Components of more members than this are not gathered in one task; vectors broadcast at once when they are checked.
@@ -45,49 +50,55 @@ def binomial(n: int, p: float) -> np.ndarray:
     return np.array([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
 
 
-def band_plan(n: int) -> tuple[int, int]:
-    """Rows a band and bands: enough rows that unrelated vectors of n seldom share a bucket, enough bands that as few pairs are missed at any n.
+def lead_plan(n: int) -> tuple[int, int]:
+    """Tokens that tell a cell, and leads: a cell has half of CELL of n unrelated vectors at most."""
+    width = 1
+    while width < max(LEADS) and n > CELL / 2 * (2 * DIM) ** width:
+        width += 1
+    return width, LEADS[width]
+
 
-    Bands share their tokens, so their chance is taken for each number of equal tokens and
-    averaged over the binomial of it. What signs and Jaccard similarity miss comes first.
+@cache
+def bands_for(rows: int, width: int, leads: int) -> int:
+    """Bands of `rows` tokens in a cell, so that MISS of the pairs are missed.
+
+    Bands share the tokens of the set, so the chance is taken for each number of equal
+    tokens and averaged over the binomial of it.
     """
-    rows = max(3, math.ceil((math.log2(max(n, 2)) + 1) / 7))
-    least = math.ceil(2 * TOKENS * MIN_JACCARD / (1 + MIN_JACCARD))
-    left = MISS - binomial(SIGNS, math.acos(MIN_COSINE) / math.pi)[FAR + 1 :].sum() - binomial(TOKENS, AGREE)[:least].sum()
-    weight = binomial(DRAWN, AGREE)
-    hit = (1 - LOST) * np.array([math.comb(k, rows) / math.comb(DRAWN, rows) for k in range(DRAWN + 1)])
-    bands = 1
-    while weight @ (1 - hit) ** bands > left:
+    weight = binomial(TOKENS, AGREE)[LEAST_EQUAL:]
+    hit = np.array([math.comb(k, rows) / math.comb(TOKENS, rows) for k in range(LEAST_EQUAL, TOKENS + 1)])
+    lost, bands = 1 - weight.sum(), 1
+    while lost + weight @ (1 - AGREE**width * (1 - (1 - hit) ** bands)) ** leads > MISS:
         bands += 1
-    return rows, bands
+    return bands
+
 
+def band_plan(m: int, width: int = 1, leads: int = LEADS[1]) -> tuple[int, int]:
+    """Rows a band and bands in a cell of m rows: the least work, where forming a bucket costs about as much as comparing a row with half an unrelated one."""
+    plans = [(rows, bands_for(rows, width, leads)) for rows in (2, 3, 4)]
+    return min(plans, key=lambda p: p[1] * (1 + m / (2 * DIM) ** p[0]))
 
-def band_tokens(rows: int, bands: int, tokens: int = TOKENS) -> np.ndarray:
+
+def band_tokens(rows: int, bands: int, seed: int = 5, tokens: int = TOKENS) -> np.ndarray:
     """The tokens of each band. Permutations of all tokens are cut into bands, so that every token is in as many and few bands overlap."""
-    rng, each = np.random.default_rng(5), tokens // rows
+    rng, each = np.random.default_rng(seed), tokens // rows
     return np.concatenate([rng.permutation(tokens)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))])[:bands]
 
 
-def rotations(tokens: int = DRAWN, dim: int = DIM, seed: int = 11) -> np.ndarray:
+def rotations(tokens: int, dim: int = DIM, seed: int = 11) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(tokens)], axis=1).astype(np.float32)
 
 
-def sign_sketch(v: np.ndarray, seed: int = 12) -> np.ndarray:
-    """The signs of SIGNS random projections, as the low bits of an int64."""
-    plane = np.random.default_rng(seed).normal(size=(v.shape[1], SIGNS)).astype(np.float32)
-    return np.packbits(v @ plane > 0, axis=1).view(np.uint32)[:, 0].astype(np.int64)
-
-
 def token_sets(v: np.ndarray, turns: np.ndarray) -> np.ndarray:
     """uint8 tokens of unit vectors, one column for each rotation."""
     dim = v.shape[1]
     out = np.empty((len(v), turns.shape[1] // dim), np.uint8)
-    for s in range(0, len(v), 1000):
-        turned = (v[s : s + 1000] @ turns).reshape(-1, out.shape[1], dim)
+    for s in range(0, len(v), 250):
+        turned = (v[s : s + 250] @ turns).reshape(-1, out.shape[1], dim)
         top = np.abs(turned).argmax(2)
         sign = np.take_along_axis(turned, top[:, :, None], 2)[:, :, 0] > 0
-        out[s : s + 1000] = top + dim * sign
+        out[s : s + 250] = top + dim * sign
     return out
 
 
@@ -140,111 +151,193 @@ def cliques(v: np.ndarray, least: float = MIN_COSINE) -> np.ndarray:
             degree -= row(i)
 
 
-def _tokens(dim: int):
+def _tokens(dim: int, more: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = rotations(dim=dim)
+        turns = rotations(TOKENS + more, dim)
         for b in batches:
             ids, raw = usable(b, dim)
             if len(ids):
-                v = unit(raw).astype(np.float32)
-                sets = token_sets(v, turns)
+                sets = token_sets(unit(raw).astype(np.float32), turns)
                 both = [fixed(np.ascontiguousarray(x)) for x in (sets[:, :TOKENS], sets[:, TOKENS:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sign_sketch(v)), *both], ["id", "signs", "tokens", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *both], ["id", "tokens", "leads"])
+
+    return step
+
+
+def _mixed(cell: np.ndarray, lead: int, token: np.ndarray) -> np.ndarray:
+    """The cell that a further token makes of a cell."""
+    x = (cell.view(np.uint64) ^ np.uint64(lead + 1)) * np.uint64(0x9E3779B97F4A7C15) + token.astype(np.uint64)
+    return ((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) & np.uint64((1 << 63) - 1)).view(np.int64)
+
+
+def _cell_keys(leads: np.ndarray, width: int, cells: np.ndarray | None) -> Iterator[np.ndarray]:
+    """The cells of each row, one array for each lead. Rows that come from a divided cell have it in `cells`."""
+    if cells is not None:
+        for k in range(min(FURTHER, leads.shape[1])):
+            yield _mixed(cells, k, leads[:, k])
+        return
+    for k in range(leads.shape[1] // width):
+        key = np.full(len(leads), k, np.int64)
+        for t in range(width):
+            key = key * 256 + leads[:, k * width + t]
+        yield key
+
+
+def _counted(width: int, more: int, divided: bool):
+    """(cell, n): the rows of each cell in a batch."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cells = b.column(1).to_numpy() if divided else None
+                for key in _cell_keys(bytes_matrix(b.column(0), more), width, cells):
+                    found, n = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["cell", "n"])
 
     return step
 
 
-def _bands(rows: int, bands: int):
-    picks = band_tokens(rows, bands, DRAWN)
+def _sent(width: int, more: int, divided: bool, parts: dict[int, int]):
+    """(cell, part, parts, ids, tokens): the rows of a map task that go to one cell, as one row of bytes. Rows of a cell of several parts are dealt by a hash of their id."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.array(sorted(parts), np.int64)
+        held, n = [], 0
         for b in batches:
-            ids, sets = b.column(0).to_numpy(), np.hstack([bytes_matrix(b.column(2), TOKENS), bytes_matrix(b.column(3), DRAWN - TOKENS)]).astype(np.int64)
-            signs = b.column(1).to_numpy()
-            for k, pick in enumerate(picks):
-                key = np.full(len(ids), k, np.int64)
-                for t in pick:
-                    key = key * 128 + sets[:, t]
-                # many members of one bucket in one batch are linked here and need not meet again: a hot bucket shrinks to a few rows a batch
-                order = np.lexsort((ids, key))
-                hub = _hubs(key[order])
-                near = order[(np.bitwise_count(signs[order] ^ signs[order[hub]]) <= FAR) & (hub != np.arange(len(hub)))]
-                to = np.full(len(ids), -1, np.int64)
-                to[order] = ids[order[hub]]
-                linked = np.zeros(len(ids), bool)
-                linked[near] = True
-                start = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1]])
-                hot = np.zeros(len(ids), bool)
-                hot[order] = np.repeat(np.diff(np.r_[start, len(ids)]) >= HOT, np.diff(np.r_[start, len(ids)]))
-                linked &= (to != ids) & (to >= 0) & hot
-                bucket = np.where(linked, -1 - to, key)  # a link is told by its sign
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(signs.astype(np.uint32).view(np.int32)), pa.array(ids)], ["bucket", "signs", "id"])
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= HELD:
+                yield from send(pa.Table.from_batches(held).combine_chunks(), many)
+                held, n = [], 0
+        if n:
+            yield from send(pa.Table.from_batches(held).combine_chunks(), many)
+
+    def send(t: pa.Table, many: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, tokens = t.column(0).to_numpy(), bytes_matrix(t.column(1), TOKENS)
+        cells = t.column(3).to_numpy() if divided else None
+        for key in _cell_keys(bytes_matrix(t.column(2), more), width, cells):
+            part, of = np.zeros(len(key), np.int64), np.ones(len(key), np.int64)
+            for i in np.flatnonzero(np.isin(key, many)) if len(many) else ():
+                of[i] = parts[int(key[i])]
+            split = of > 1
+            part[split] = _mixed(ids[split], 0, np.zeros(int(split.sum()))) % of[split]
+            order = np.lexsort((ids, part, key))
+            k, p, own, sets = key[order], part[order], ids[order], tokens[order]
+            at = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
+            blob = lambda x, w: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.r_[at, len(k)].astype(np.int32) * np.int32(w)), pa.py_buffer(np.ascontiguousarray(x))])
+            for s in range(0, len(at), 4096):
+                e = min(s + 4096, len(at))
+                columns = [pa.array(k[at[s:e]]), pa.array(p[at[s:e]]), pa.array(of[order][at[s:e]]), blob(own, 8).slice(s, e - s), blob(sets, TOKENS).slice(s, e - s)]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "part", "parts", "ids", "tokens"])
 
     return step
 
 
-def _hubs(bucket: np.ndarray) -> np.ndarray:
-    """For each row of sorted buckets the first row of its bucket."""
-    first = np.r_[True, bucket[1:] != bucket[:-1]] if len(bucket) else np.empty(0, bool)
-    return np.maximum.accumulate(np.where(first, np.arange(len(bucket)), 0))
+def find_roots(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of x in a forest whose roots point at themselves; the ways of x are cut short."""
+    r = root[x]
+    while True:
+        up = root[r]
+        if (up == r).all():
+            root[x] = r
+            return r
+        r = up
+
+
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of each a and b under the smaller root."""
+    while len(a):
+        ra, rb = find_roots(root, a), find_roots(root, b)
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each row of a bucket to the first hub with close signs; a row that no hub before it is close to is a hub itself, so that an unrelated vector parts no pair.
+def link_cell(ids: np.ndarray, sets: np.ndarray, picks: np.ndarray, least: int = LEAST_EQUAL) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row whose id is the smallest of those it is linked to in this cell, and whether it may still be linked to rows elsewhere: in one of its buckets no row before it was similar.
 
-    Rows come by bucket and id; of a bucket only its hubs are held.
+    Rows come by id. A bucket is stars around few hubs: its first row is a hub, the rows
+    similar to it are linked to it, and of the others the first is the next hub, so that an
+    unrelated row parts no pair. A tree of links is enough, as only components count.
     """
-    held, hubs = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        bucket, signs, ids = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint32), b.column(2).to_numpy()
-        done = bucket < 0
-        src, dst = [ids[done]], [-1 - bucket[done]]
-        bucket, signs, ids = bucket[~done], signs[~done], ids[~done]
-        if len(ids):
-            left, last = np.arange(len(ids)), bucket[-1]
-            if bucket[0] != held:
-                hubs = []
-            for hub_id, hub_signs in hubs:  # the bucket goes on from the batch before
-                own = left[: np.searchsorted(bucket[left], held, "right")]
-                near = np.bitwise_count(signs[own] ^ hub_signs) <= FAR
-                src.append(ids[own[near]])
-                dst.append(np.full(int(near.sum()), hub_id))
-                left = np.r_[own[~near], left[len(own) :]]
-            if last != held:
-                hubs = []
-            held = last
-            while len(left):
-                hub = left[_hubs(bucket[left])]
-                near = np.bitwise_count(signs[left] ^ signs[hub]) <= FAR
-                src.append(ids[left[near]])
-                dst.append(ids[hub[near]])
-                if bucket[hub[-1]] == held:
-                    hubs.append((ids[hub[-1]], signs[hub[-1]]))
-                left = left[~near]
-        src, dst = np.concatenate(src), np.concatenate(dst)
-        yield pa.RecordBatch.from_arrays([pa.array(src[src != dst]), pa.array(dst[src != dst])], ["id", "dst"])
-
-
-def _similar(least: float):
+    n = len(ids)
+    root, taken = np.arange(n), np.zeros(n, np.int32)
+    bits = max(1, (n - 1).bit_length())
+    row, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << bits) - 1)
+    for pick in picks:
+        key = np.zeros(n, np.uint64)
+        for t in pick:
+            key = key << np.uint64(7) | sets[:, t]
+        key = np.sort(key << np.uint64(bits) | row)
+        bucket, order = key >> np.uint64(bits), (key & mask).astype(np.int64)
+        same = bucket[1:] == bucket[:-1]
+        shared = np.r_[same, False] | np.r_[False, same]
+        bucket, order = bucket[shared], order[shared]
+        while len(order):
+            first = np.r_[True, bucket[1:] != bucket[:-1]]
+            hub = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))][~first]
+            order, bucket = order[~first], bucket[~first]
+            near = np.empty(len(order), bool)
+            for s in range(0, len(order), 1 << 17):
+                near[s : s + (1 << 17)] = (sets[order[s : s + (1 << 17)]] == sets[hub[s : s + (1 << 17)]]).sum(1) >= least
+            join_roots(root, order[near], hub[near])
+            taken[order[near]] += 1
+            order, bucket = order[~near], bucket[~near]
+    return find_roots(root, np.arange(n)), taken < len(picks)
+
+
+def _linked(width: int, leads: int):
+    """(id, dst, cell): the links of each cell; of a cell in parts also the rows that may be linked to rows of other parts, with the cell and no dst."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, parts = [], None, 1
+
+        def link() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.frombuffer(i, np.int64) for i, _ in held])
+            sets = np.concatenate([np.frombuffer(s, np.uint8).reshape(-1, TOKENS) for _, s in held])
+            order = np.argsort(ids, kind="stable")
+            ids, sets = ids[order], sets[order]
+            rows, bands = band_plan(len(ids), width, leads)
+            root, open_ = link_cell(ids, sets, band_tokens(rows, bands, at[0] & 0xFFFFFF))
+            tied = np.flatnonzero(root != np.arange(len(ids)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[root[tied]]), pa.nulls(len(tied), pa.int64())], ["id", "dst", "cell"])
+            if parts > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[open_]), pa.nulls(int(open_.sum()), pa.int64()), pa.array(np.full(int(open_.sum()), at[0]))], ["id", "dst", "cell"])
+
         for b in batches:
-            equal = (bytes_matrix(b.column(2), TOKENS) == bytes_matrix(b.column(3), TOKENS)).sum(1)
-            keep = equal / (2 * TOKENS - equal) >= least
-            src, dst = b.column(0).to_numpy()[keep], b.column(1).to_numpy()[keep]
-            if not len(src):
-                continue
-            # links of one node come together: it and its other hubs are hung on the smallest hub, which joins the same nodes
-            order = np.lexsort((dst, src))
-            src, dst = src[order], dst[order]
-            low = dst[_hubs(src)]
-            edges = np.unique(np.concatenate([np.stack([src, low], 1), np.stack([dst, low], 1)[dst != low]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["src", "dst"])
+            for cell, part, of, i, s in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if (cell, part) != at:
+                    if held:
+                        yield from link()
+                    held, at, parts = [], (cell, part), of
+                held.append((i, s))
+        if held:
+            yield from link()
 
     return step
 
 
+def _links(rows: DataFrame, width: int, leads: int, cell: int) -> DataFrame:
+    """(src, dst) links within all cells of (id, tokens, leads)."""
+    more, out = width * leads, None
+    divided, base = False, rows
+    for last in (False, True):
+        columns = ["id", "tokens", "leads", "cell"] if divided else ["id", "tokens", "leads"]
+        counts = base.select(*columns[2:]).mapInArrow(_counted(width, more, divided), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        # at most leads * rows / cell of them
+        parts = {} if last else {r.cell: -(-r.n // cell) for r in counts.where(F.col("n") > cell).collect()}
+        sent = base.select(*columns).mapInArrow(_sent(width, more, divided, parts), "cell long, part long, parts long, ids binary, tokens binary")
+        found = cut(sent.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_linked(width, leads), "id long, dst long, cell long"))
+        links = found.where("dst is not null").select(F.col("id").alias("src"), "dst")
+        out = links if out is None else out.unionByName(links)
+        if not parts:
+            return out
+        base, divided = cut(rows.select("id", "tokens", "leads").join(found.where("cell is not null").select("id", "cell").distinct(), "id")), True
+    return out
+
+
 def _groups(dim: int, least: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "component"):
@@ -269,7 +362,7 @@ def _groups(dim: int, least: float):
     return step
 
 
-def similarity_groups(df: DataFrame, ids: str, vectors: str, dim: int = DIM, least: float = MIN_COSINE, giant: int = GIANT) -> DataFrame:
+def similarity_groups(df: DataFrame, ids: str, vectors: str, dim: int = DIM, least: float = MIN_COSINE, giant: int = GIANT, cell: int = CELL) -> DataFrame:
     """(vec_id, group_id, size, typicality) of each vector in a group of at least two.
 
     ids and vectors are parallel array columns. Any two members of a group have a cosine
@@ -281,30 +374,26 @@ def similarity_groups(df: DataFrame, ids: str, vectors: str, dim: int = DIM, lea
     An empty table gives no rows; other columns are ignored.
 
     Vectors with equal token sets are folded before the bands. Each bucket is stars
-    around few hubs, never all pairs; a sketch of signs drops most wrong links
-    before they are shuffled, the others are verified by the exact Jaccard similarity of
+    around few hubs, never all pairs, verified by the exact Jaccard similarity of
     the sets. Components of the verified links are split around medoids of
-    highest degree, by exact cosine, so that a wrong link costs no wrong group. Components
-    of more than `giant` members are split in blocks of rows over many tasks.
+    highest degree, by exact cosine, so that a wrong link costs no wrong group. A cell of more
+    than `cell` vectors is linked in parts; the hubs of the parts meet again, divided by a
+    further token. Components of more than `giant` members are split over many tasks.
     """
     source = exploded(df, ids, vectors)
-    sets = cut(source.mapInArrow(_tokens(dim), "id long, signs long, tokens binary, more binary"))
-    folded = cut(sets.groupBy("tokens").agg(F.min(F.struct("id", "signs", "more")).alias("a"), F.count("*").alias("copies")).select("a.id", "a.signs", "tokens", "a.more", "copies"))
-    rows, bands = band_plan(folded.count())
-    buckets = folded.select("id", "signs", "tokens", "more").mapInArrow(_bands(rows, bands), "bucket long, signs int, id long")
-    place = F.when(F.col("bucket") < 0, F.xxhash64("id")).otherwise(F.col("bucket"))
-    buckets = buckets.repartition(place).sortWithinPartitions(place, "id")
-    # by dst once: distinct and the first join need no further shuffle
-    links = buckets.mapInArrow(_stars, "id long, dst long").repartition("dst").distinct()
-    near = folded.select("id", "tokens")
-    pairs = links.join(near.toDF("dst", "b"), "dst")
-    pairs = pairs.join(near, "id").select(F.col("id").alias("src"), "dst", "tokens", "b").mapInArrow(_similar(MIN_JACCARD), "src long, dst long")
-    joined = connected_components(pairs)
+    width, leads = lead_plan(source.count())
+    sets = cut(source.mapInArrow(_tokens(dim, width * leads), "id long, tokens binary, leads binary"))
+    # two hashes of 64 bits stand for the set where copies are folded
+    hashed = sets.withColumns({"a": F.xxhash64("tokens"), "b": F.xxhash64(F.lit(1), "tokens")})
+    named = hashed.select("id", "a", "b")
+    firsts = named.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    twins = cut(named.join(firsts, ["a", "b"]).where("id <> first"))
+    folded = sets if twins.isEmpty() else hashed.join(twins, ["id", "a", "b"], "left_anti")
+    links = cut(_links(folded, width, leads, cell).repartition("dst").distinct())
+    joined = connected_components(links)
     # the other vectors of a token set are where its first is, or with it where it has no links
-    shared = folded.where("copies > 1").select("tokens", F.col("id").alias("first"))
-    twins = skew_join(sets.select("id", "tokens"), shared, "tokens", "inner").where("id <> first").select("id", "first")
     placed = twins.join(joined.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
-    alone = shared.select(F.col("first").alias("id"), F.col("first").alias("component")).join(joined, "id", "left_anti")
+    alone = twins.select(F.col("first").alias("id"), F.col("first").alias("component")).distinct().join(joined, "id", "left_anti")
     member = cut(joined.unionByName(placed).unionByName(alone))
     carried = source.mapInArrow(_raw(dim), "id long, v binary")
     # merged at any size: the members grow with the vectors

@@ -95,39 +95,70 @@ def test_cliques_in_pieces_and_in_blocks_agree(n):
     assert sorted(np.bincount(part)) == [7, n - 7]
 
 
-def test_band_plan_grows_with_the_data():
-    assert clusters.band_plan(1000)[0] == clusters.band_plan(10**6)[0] == 3
-    assert clusters.band_plan(10**8)[0] == 4
-    picks = clusters.band_tokens(3, 81)
-    assert picks.shape == (81, 3) and np.bincount(picks.ravel(), minlength=clusters.TOKENS).min() >= 4
+def test_plans_follow_the_rows():
+    assert clusters.lead_plan(1000) == clusters.lead_plan(10**8) == (1, 18)
+    assert clusters.lead_plan(10**9)[0] == 2 and clusters.lead_plan(10**12)[0] == 3
+    assert [clusters.band_plan(m)[0] for m in (10, 2000, 500_000)] == [2, 2, 3]
+    picks = clusters.band_tokens(3, 163)
+    assert picks.shape == (163, 3) and np.bincount(picks.ravel(), minlength=clusters.TOKENS).min() >= 7
+    # as many leads of wider cells, and bands of any rows, miss no more
+    for width, leads in clusters.LEADS.items():
+        for rows in (2, 3, 4):
+            assert clusters.bands_for(rows, width, leads) < 3000
+
+
+def pairs_at(cosine, n=4000):
+    rng = np.random.default_rng(9)
+    a, z = unit(rng.normal(size=(n, DIM))), rng.normal(size=(n, DIM))
+    return a, cosine * a + np.sqrt(1 - cosine**2) * unit(z - (z * a).sum(1, keepdims=True) * a)
 
 
-@pytest.mark.parametrize("n, cosine", [(1000, 0.80), (1000, 0.85), (10**7, 0.80), (10**7, 0.85)])
-def test_plans_miss_few_pairs_at_the_threshold(n, cosine):
-    rng = np.random.default_rng(9)
-    a, z = unit(rng.normal(size=(4000, DIM))), rng.normal(size=(4000, DIM))
-    b = cosine * a + np.sqrt(1 - cosine**2) * unit(z - (z * a).sum(1, keepdims=True) * a)
-    turns = clusters.rotations()
+@pytest.mark.parametrize("m, width, cosine", [(2000, 1, 0.80), (2000, 1, 0.85), (10**6, 1, 0.80), (10**6, 2, 0.80), (10**6, 2, 0.85)])
+def test_plans_miss_few_pairs_at_the_threshold(m, width, cosine):
+    a, b = pairs_at(cosine)
+    leads, t = clusters.LEADS[width], clusters.TOKENS
+    turns = clusters.rotations(t + width * leads)
     equal = clusters.token_sets(a.astype(np.float32), turns) == clusters.token_sets(b.astype(np.float32), turns)
-    rows, bands = clusters.band_plan(n)
     hit = np.zeros(len(a), bool)
-    for pick in clusters.band_tokens(rows, bands, equal.shape[1]):
-        hit |= equal[:, pick].all(1)
-    same = equal[:, : clusters.TOKENS].sum(1)
-    hit &= same / (2 * clusters.TOKENS - same) >= clusters.MIN_JACCARD
-    hit &= np.bitwise_count(clusters.sign_sketch(a) ^ clusters.sign_sketch(b)) <= clusters.FAR
+    for k in range(leads):
+        one = np.zeros(len(a), bool)
+        for pick in clusters.band_tokens(*clusters.band_plan(m, width, leads), seed=k):
+            one |= equal[:, pick].all(1)
+        hit |= one & equal[:, t + k * width : t + (k + 1) * width].all(1)
+    same = equal[:, :t].sum(1)
+    hit &= same / (2 * t - same) >= clusters.MIN_JACCARD
     assert hit.mean() > 0.992  # 0.995, and three deviations
 
 
+def test_pairs_at_the_threshold_come_together(spark):
+    """The whole operator on isolated pairs at a cosine just over the least, beside as many unrelated vectors; cells of 200 are linked in parts."""
+    a, b = pairs_at(0.803, 700)
+    v = np.concatenate([a, b]).astype(np.float32)
+    for cell in (clusters.CELL, 20):
+        got = clusters.similarity_groups(table(spark, v), "ids", "vs", cell=cell).collect()
+        pairs = {frozenset(r.vec_id for r in got if r.group_id == g) for g in {r.group_id for r in got}}
+        assert sum(frozenset((i, i + 700)) in pairs for i in range(700)) >= 0.98 * 700
+
+
+def test_a_cell_in_parts_keeps_a_dense_mass_whole(spark):
+    v, g = planted(8, (400, 60, 3), 200, 0.03)
+    want = {r.vec_id: r.group_id for r in clusters.similarity_groups(table(spark, v), "ids", "vs").collect()}
+    got = {r.vec_id: r.group_id for r in clusters.similarity_groups(table(spark, v), "ids", "vs", cell=50).collect()}
+    assert got == want and len(got) == 463
+
+
 def test_an_unrelated_vector_in_a_bucket_parts_no_pair():
-    import pyarrow as pa
+    sets = np.zeros((5, clusters.TOKENS), np.uint8)
+    sets[1:, 2:] = 1  # all share one bucket; rows 1, 3 and rows 2, 4 are pairs, row 0 is alone
+    sets[[2, 4], 2:] = 2
+    root, open_ = clusters.link_cell(np.arange(5) * 10, sets, np.array([[0, 1]]))
+    assert root.tolist() == [0, 1, 2, 1, 2] and open_.tolist() == [True, True, True, False, False]
+
 
-    names, far = ["bucket", "signs", "id"], (1 << 31) - 1
-    rows = [(5, 0, 1), (5, far, 2), (5, far, 3), (5, 1, 4), (5, far, 5), (6, far, 6), (-1 - 3, 0, 9)]
-    for cut in range(len(rows) + 1):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int32(), pa.int64()))], names) for part in (rows[:cut], rows[cut:]) if part]
-        got = sorted((s, d) for b in clusters._stars(iter(batches)) for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        assert got == [(3, 2), (4, 1), (5, 2), (9, 3)]
+def test_roots_of_a_long_way_are_joined():
+    root = np.arange(500)
+    clusters.join_roots(root, np.arange(1, 500), np.arange(499))
+    assert (clusters.find_roots(root, np.arange(500)) == 0).all()
 
 
 def test_components_against_union_find(spark):
