@@ -151,8 +151,11 @@ def test_an_unrelated_vector_in_a_bucket_parts_no_pair():
     sets = np.zeros((5, clusters.TOKENS), np.uint8)
     sets[1:, 2:] = 1  # all share one bucket; rows 1, 3 and rows 2, 4 are pairs, row 0 is alone
     sets[[2, 4], 2:] = 2
-    root, open_ = clusters.link_cell(np.arange(5) * 10, sets, np.array([[0, 1]]))
-    assert root.tolist() == [0, 1, 2, 1, 2] and open_.tolist() == [True, True, True, False, False]
+    root, loose, open_ = clusters.link_cell(np.arange(5) * 10, sets, np.array([[0, 1]]))
+    assert root.tolist() == [0, 1, 2, 1, 2] and open_.tolist() == [True, True, True, False, False] and not len(loose)
+    sets[3, 12:] = 9  # as many as NEAR and SURE do not have in common
+    root, loose, open_ = clusters.link_cell(np.arange(5) * 10, sets, np.array([[0, 1]]))
+    assert root.tolist() == [0, 1, 2, 3, 2] and loose.tolist() == [[3, 1]] and open_[3]
 
 
 def test_roots_of_a_long_way_are_joined():
