@@ -23,10 +23,10 @@ from flowstore.plans.tables import cut
 
 #: A value that more owners have than this, and in more lines that differ, is a stand-in.
 MAX_OWNERS = 12
-#: Confirmed values in one automaton; more are scanned for in further passes.
-AUTOMATON = 100_000
-#: Shortest value that is sought outside of the places where credentials stand.
-SOUGHT = 12
+#: Bits of the filter of confirmed values' words that is broadcast, of this size at any number of values.
+FILTER = 1 << 24
+#: A shorter value is sought elsewhere only if it looks like one without a name, and between blanks or quotes.
+SURE_LENGTH = 12
 MARK = "REDACTED"
 
 _PLAIN = {"password", "passwd", "pass", "pwd", "secret", "token", "passphrase", "credential", "credentials", "apikey", "authtoken", "authorization", "passwort", "pat"}
@@ -99,6 +99,8 @@ def structured(value: str, strict: bool = False) -> bool:
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What follows the header of a key without an end
+_PEM_BODY = re.compile(r"""(?:(?:\\[nr]|[\s"'`+,])*[A-Za-z0-9+/=]{16,})*""")
 _QUOTED = r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)"""
 _QUOTE = re.compile(_QUOTED)
 #: name = "literal", name: 'literal', {"name": "literal"}, name := `literal`, name=("literal"
@@ -118,6 +120,10 @@ _PROSE = re.compile(
     r"""\b((?:[A-Za-z]+[ _-])?(?:password|passwd|passphrase|secret|token|(?:api|access|signing|private|secret)[ _-]?key|credential|credentials|pass|pwd))\b(?:[ \t]+(?:for|of|on|in|to|at)[ \t]+[\w.-]+(?:[ \t]+[\w.-]+)?)?[ \t]*(?:[:=]|\bis\b|\bwas\b|\bto\b|->)?[ \t]*(?:["'`]([^"'`\s]+)["'`]|([^\s"'`]+))""",
     re.I,
 )
+#: A line without any of these names no credential
+_HINT = re.compile(r"(?i:pass|pwd|secret|token|credential|authorization|key)|pat(?![a-z])|Pat(?![a-z])|PAT(?![A-Z])")
+#: Every known format has so long a run
+_LONG = re.compile(r"[\w-]{16}|eyJ[\w-]{8}")
 _CODE = {"go", "py", "js", "ts", "java", "rb", "rs", "c", "cpp", "cs", "php", "kt", "scala"}
 
 Hit = tuple[int, list[tuple[int, int]], str, bool]  # offset, spans of the value's parts, value, whether it has a name of its own
@@ -139,7 +145,7 @@ def literals(text: str, path: str | None = None) -> list[Hit]:
 
     for m in _PEM.finditer(text):
         end = _PEM_END.search(text, m.end())
-        body = (m.end(), end.start() if end else min(len(text), m.end() + 4000))
+        body = (m.end(), end.start() if end else _PEM_BODY.match(text, m.end()).end())
         if len(re.sub(r"\\[nr]|\s", "", text[slice(*body)])) >= 40:
             taken.append(body)
             out.append((m.start(), [body], m.group(), True))
@@ -156,7 +162,8 @@ def literals(text: str, path: str | None = None) -> list[Hit]:
         if len(line) < 6:
             continue
         move = lambda s: (start + s[0], start + s[1])  # noqa: B023, E731
-        for m in _ASSIGNED.finditer(line):
+        named = bool(_HINT.search(line))
+        for m in _ASSIGNED.finditer(line) if named else ():
             # quoted values of names, with the literals that continue them on this line or the next ones
             if not names_credential(m.group(2)):
                 continue
@@ -170,10 +177,10 @@ def literals(text: str, path: str | None = None) -> list[Hit]:
             if re.match(r"(?:Bearer|Basic|Token)[ \t]", value):
                 continue
             add(spans, True)
-        for m in _DEFAULT.finditer(line):
+        for m in _DEFAULT.finditer(line) if named else ():
             if names_credential(m.group(1)):
                 add([move(group(m, 2))], True)
-        for m in _ELSE.finditer(line):
+        for m in _ELSE.finditer(line) if named else ():
             if names_credential(m.group(1)):
                 add([move(m.span(2))], True)
         for m in _HEADER.finditer(line):
@@ -182,8 +189,8 @@ def literals(text: str, path: str | None = None) -> list[Hit]:
             add([move(m.span(2))], True)
         for m in _USERPASS.finditer(line):
             add([move(m.span(1))], True)
-        alone = [move(m.span()) for m in _ALONE.finditer(line)]
-        if m := _BLOCK.match(line):
+        alone = [move(m.span()) for m in _ALONE.finditer(line)] if _LONG.search(line) else []
+        if named and (m := _BLOCK.match(line)):
             if names_credential(m.group(3)):
                 spans = []
                 for s, below in lines[no + 1 :]:
@@ -194,16 +201,16 @@ def literals(text: str, path: str | None = None) -> list[Hit]:
                         spans.append((s + below.index(body[0]), s + below.index(body[0]) + len(body)))
                 if spans and not text[spans[0][0] :].startswith("-----BEGIN"):
                     add(spans, True)
-        if not code or re.match(r"[ \t]*(?:#|//)", line):
+        if named and (not code or re.match(r"[ \t]*(?:#|//)", line)):
             m = _BARE.match(line)
             if m and names_credential(m.group(1)) and not (ext == "json" and re.match(r"[\[{]", m.group(2))):
                 value = m.group(2)
                 if " " not in value and not (code and re.search(r"[()\[\]]", value)):
                     add([move(m.span(2))], True)
-        for m in _FLAG.finditer(line):
+        for m in _FLAG.finditer(line) if named else ():
             if names_credential(m.group(1)) and (ext in ("sh", "bash", "md", "yml", "yaml", "txt", "dockerfile", "makefile") or m.group(0).startswith("--")):
                 add([move(m.span(5) if m.group(5) is not None else group(m, 2))], True)
-        if ext in ("md", "txt", "rst") or re.search(r"(?:^|\s)(?:#|//|;|--|/\*|\*)", line):
+        if named and (ext in ("md", "txt", "rst") or re.search(r"(?:^|\s)(?:#|//|;|--|/\*|\*)", line)):
             for m in _PROSE.finditer(line):
                 span = m.span(2) if m.group(2) is not None else m.span(3)
                 while span[1] > span[0] and m.group(2) is None and line[span[1] - 1] in ".,;)":
@@ -255,61 +262,108 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, owner, path, text in zip(df["key"], df["owner"], df["path"], df["text"]):
             for offset, spans, value, named in literals(text, path):
-                rows.append((key, owner, _line(text, offset), offset, value, accept(value, named), _context(text, offset, value), [[int(a), int(b)] for a, b in spans]))
-        yield pd.DataFrame(rows, columns=["key", "owner", "line_no", "offset", "value", "fit", "context", "spans"])
+                rows.append((key, owner, _line(text, offset), offset, value, named, _context(text, offset, value), [[int(a), int(b)] for a, b in spans]))
+        yield pd.DataFrame(rows, columns=["key", "owner", "line_no", "offset", "value", "named", "context", "spans"])
 
 
-def _rescan(values: list[str]):
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+_RUN = re.compile(r"[A-Za-z0-9]+")
 
-        trie = ahocorasick.Automaton()
-        for v in values:
-            trie.add_word(v, len(v))
-        if values:
-            trie.make_automaton()
-        edge = re.compile(r"[A-Za-z0-9]")
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
+
+
+def anchor(value: str) -> int | None:
+    """The hash of the longest run of letters and digits of a value, the first of equals: wherever the value stands between other characters, this is a whole word of the text."""
+    longest = max(_RUN.findall(value), key=len, default=None)
+    return None if longest is None else word_hash(longest)
+
+
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each value that the corpus leaves: whether it is confirmed, and the word by which it is sought elsewhere (null: nowhere)."""
+    for df in batches:
+        fit = [accept(v, bool(n)) for v, n in zip(df["value"], df["named"])]
+        seek = [f and not v.startswith("-----BEGIN") and (len(v) >= SURE_LENGTH or structured(v, strict=True)) for f, v in zip(fit, df["value"])]
+        yield pd.DataFrame({"value": df["value"], "named": df["named"], "fit": fit, "word": pd.array([anchor(v) if s else None for s, v in zip(seek, df["value"])], dtype="Int64")})
+
+
+def _hits(words: dict[int, int]):
+    """(a, b, word): the hashes of the words of each text, named by two hashes, that the filter lets pass."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = words.value
         for df in batches:
             rows = []
-            for key, text in zip(df["key"], df["text"]):
-                for end, size in trie.iter(text) if values else ():
-                    a, b = end + 1 - size, end + 1
-                    if (a and edge.match(text[a - 1])) or (b < len(text) and edge.match(text[b])):
-                        continue
-                    rows.append((key, _line(text, a), a, [[a, b]]))
-            yield pd.DataFrame(rows, columns=["key", "line_no", "offset", "spans"])
+            for a, b, text in zip(df["a"], df["b"], df["text"]):
+                for h in {word_hash(w) for w in set(_RUN.findall(text))}:
+                    at = h % FILTER
+                    if own.get(at >> 6, 0) >> (at & 63) & 1:
+                        rows.append((a, b, h))
+            yield pd.DataFrame(rows, columns=["a", "b", "word"])
 
     return step
 
 
-def find_credentials(files: DataFrame, key: str, owner: str, path: str, text: str, max_owners: int = MAX_OWNERS, automaton: int = AUTOMATON) -> DataFrame:
+def _rescan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where the values that a text may have stand in it; one automaton for all values of a batch."""
+    import ahocorasick
+
+    near = re.compile(r"[A-Za-z0-9]")
+    for df in batches:
+        trie, rows = ahocorasick.Automaton(), []
+        for v in {v for values in df["values"] for v in values}:
+            trie.add_word(v, len(v))
+        trie.make_automaton()
+        for key, text in zip(df["key"], df["text"]):
+            keys = [(m.start(), (_PEM_END.search(text, m.end()) or m).end()) for m in _PEM.finditer(text)]
+            for end, size in trie.iter(text):
+                a, b = end + 1 - size, end + 1
+                before, after = text[a - 1 : a], text[b : b + 1]
+                edges = not (near.match(before) or near.match(after)) if size >= SURE_LENGTH else not (before.strip("\"'` \t\r\n") or after.strip("\"'` \t\r\n"))
+                if edges and not any(s <= a < e for s, e in keys):
+                    rows.append((key, _line(text, a), a, [[a, b]]))
+        yield pd.DataFrame(rows, columns=["key", "line_no", "offset", "spans"])
+
+
+def find_credentials(files: DataFrame, key: str, owner: str, path: str, text: str, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(key, line_no, offset, spans) of every credential: the line (from 1, ended by LF) and character where it starts, and the spans of its parts.
 
     Null and empty texts have none; a null owner counts as one owner, a null path as a file
-    of no known kind; repeated rows give repeated results; an empty table none. Other
+    of no known kind; repeated rows and keys give one row for each offset; an empty table none. Other
     columns are ignored, whatever their names.
 
-    Literals are read file by file, of any length. Owners are counted by value with a
-    combine before the shuffle, so that a stand-in in a third of all files costs no task
-    more. Confirmed values of at least SOUGHT characters are then sought in all texts by
-    automata of at most `automaton` values each, the bound of what is sent to executors;
-    one pass over the files for each automaton.
+    Literals are read file by file, of any length, and indexed whatever they look like.
+    Owners are counted by value with a combine before the shuffle, so that a stand-in in a
+    third of all files costs no task more; what many share is dropped. What is left is
+    confirmed once for each value by how it is built. Confirmed values are then sought in
+    all texts: a filter of fixed size, made of a word of each value, tells the texts that
+    may have some; a join on the words gives each such text its values, and an automaton
+    of the values of a batch finds where they stand. No values come to the driver.
     """
     whole = files.select(F.col(f"`{key}`").alias("key"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").cast("string").alias("text"))
     whole = whole.where("text is not null and length(text) > 0")
     kind = dict(whole.dtypes)["key"]
-    seen = cut(whole.mapInPandas(_extract, f"key {kind}, owner string, line_no int, offset int, value string, fit boolean, context long, spans array<array<int>>"))
-    owners = seen.groupBy("value").agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count_distinct("context").alias("lines"))
-    shared = owners.where((F.col("owners") > max_owners) & (F.col("lines") > max_owners) & ~F.col("value").startswith("-----BEGIN"))
-    good = cut(seen.where("fit").join(shared, "value", "left_anti").select("key", "line_no", "offset", "value", "spans"))
-    sought = good.select("value").where((F.length("value") >= SOUGHT) & ~F.col("value").startswith("-----BEGIN")).distinct()
-    sought = cut(sought.withColumn("no", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-2 * sought.count() // automaton))))))
-    out = good.select("key", "line_no", "offset", "spans")
-    for no in range(max([-1, *(r[0] for r in sought.select("no").distinct().collect())]) + 1):
-        values = [r[0] for r in sought.where(F.col("no") == no).select("value").collect()]
-        if values:
-            out = out.unionByName(whole.select("key", "text").mapInPandas(_rescan(values), f"key {kind}, line_no int, offset int, spans array<array<int>>"))
-    return out.dropDuplicates(["key", "offset"])
+    seen = cut(whole.mapInPandas(_extract, f"key {kind}, owner string, line_no int, offset int, value string, named boolean, context long, spans array<array<int>>"))
+    values = corpus_values(seen, max_owners)
+    good = seen.join(values.where("fit").select("value", "named"), ["value", "named"]).select("key", "line_no", "offset", "spans")
+    sought = values.where("word is not null").select("word", "value").distinct()
+    place = F.pmod("word", F.lit(FILTER))
+    bits = sought.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(word, {FILTER}) & 63 as int))")).alias("b"))
+    # at most FILTER / 64 rows
+    words = files.sparkSession.sparkContext.broadcast({int(r.w): int(r.b) & (1 << 64) - 1 for r in bits.collect()})
+    # equal texts have equal values, so that keys need not be unique or known
+    texts = whole.select("key", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    having = texts.select("a", "b", "text").mapInPandas(_hits(words), "a long, b long, word long").distinct().join(sought, "word")
+    having = having.groupBy("a", "b").agg(F.collect_set("value").alias("values"))
+    again = texts.join(having, ["a", "b"]).select("key", "text", "values").mapInPandas(_rescan, f"key {kind}, line_no int, offset int, spans array<array<int>>")
+    return good.unionByName(again).dropDuplicates(["key", "offset"])
+
+
+def corpus_values(seen: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """(value, named, fit, word) of each literal that not more than max_owners owners, or lines, share; fit if it is built like a credential."""
+    owners = seen.groupBy("value").agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count_distinct("context").alias("lines"), F.collect_set("named").alias("kinds"))
+    rare = owners.where((F.col("owners") <= max_owners) | (F.col("lines") <= max_owners) | F.col("value").startswith("-----BEGIN"))
+    return cut(rare.select("value", F.explode("kinds").alias("named")).mapInPandas(_confirm, "value string, named boolean, fit boolean, word long"))
 
 
 def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -243,13 +243,36 @@ def test_corpus_index_suppresses_and_rescans(spark):
         (105, "r3", "a.env", ""),
     ]
     df = spark.createDataFrame(shared + own, "key int, owner string, path string, text string").selectExpr("key as file", "owner", "path as p", "text as value", "1 as line_no")
-    found = credentials.find_credentials(df, "file", "owner", "p", "value", automaton=1)
+    found = credentials.find_credentials(df, "file", "owner", "p", "value")
     assert sorted((r.key, r.line_no) for r in found.collect()) == [*((50 + i, 1) for i in range(20)), (100, 2), (101, 2), (103, 1)]
     out = {r.key: r for r in credentials.redact_credentials(df, found, "file", "value").collect()}
     assert out[101].text == "first line\nseen REDACTED in a log\n" and out[100].n_redacted == 1 and out[104].text is None and len(out) == 46
     assert credentials.find_credentials(df.limit(0), "file", "owner", "p", "value").count() == 0
 
 
+def test_short_values_and_keys_are_sought_with_care(spark):
+    body = "\n".join("Ab3d" * 16 for _ in range(3))
+    rows = [
+        (1, "r1", "a.env", "DB_PASSWORD=Kx9!mQ2z\n"),
+        (2, "r2", "notes.txt", 'it was "Kx9!mQ2z" then\nnot xKx9!mQ2z, nor Kx9!mQ2z.\n'),
+        (3, "r3", "k.pem", f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\n"),
+        (None, "r4", "b.txt", "Kx9!mQ2z"),
+        (5, "r5", "cut.pem", f"-----BEGIN PRIVATE KEY-----\n{body}\nother: text\n"),
+    ]
+    df = spark.createDataFrame(rows, "key int, owner string, path string, text string")
+    found = credentials.find_credentials(df, "key", "owner", "path", "text")
+    assert sorted((r.key or 0, r.line_no) for r in found.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (5, 1)]
+    out = {r.key: r.text for r in credentials.redact_credentials(df, found, "key", "text").collect()}
+    assert "Ab3d" not in out[3] + out[5] and out[5].endswith("\nother: text\n")
+
+
+def test_index_counts_owners_of_every_literal(spark):
+    rows = [(i, f"r{i}", i, f"v{i}", True) for i in range(3)] + [(i, f"r{i}", i, "Shared.value1234", True) for i in range(20)] + [(i, f"r{i}", 7, "Copied.value1234", True) for i in range(20)]
+    seen = spark.createDataFrame(rows, "key int, owner string, context long, value string, named boolean")
+    got = {r.value: r.fit for r in credentials.corpus_values(seen).collect()}
+    assert got == {"v0": False, "v1": False, "v2": False, "Copied.value1234": True}
+
+
 # residue
 
 ORDINARY = ["The worker queue of {} was idle, so the planner had to merge it by hand.", "Between {} and 90 pages fit into one segment, depending on how warm they are.", "Ask the importer before you drain more than {} stores at once.", "The space browser is written in JavaScript, but every screen works with scripts turned off."]
@@ -266,9 +289,9 @@ def texts():
 def test_residue_model_on_held_out_records():
     model = residue.fit(texts())
     for t in BAD + ["Service unavailable", "Hello ${user},\nThe worker queue of x was idle."]:
-        assert residue.worst_passage(model, t)[0] >= residue.LEAST, t
+        assert residue.judge(model, [t])[0][0] >= residue.LEAST, t
     for t in GOOD + [f.format(5) for f in ORDINARY]:
-        assert residue.worst_passage(model, t)[0] < residue.LEAST, t
+        assert residue.judge(model, [t])[0][0] < residue.LEAST, t
 
 
 def test_residue_operator_edges(spark):
