@@ -295,7 +295,8 @@ def link_cell(ids: np.ndarray, sets: np.ndarray, picks: np.ndarray, least: int =
             taken[order[near]] += 1
             order, bucket = order[~near], bucket[~near]
     root = find_roots(root, np.arange(n))
-    pairs = np.unique(np.concatenate(loose)) if loose else np.empty(0, np.int64)
+    pairs = np.sort(np.concatenate(loose)) if loose else np.empty(0, np.int64)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     pairs = np.stack([pairs // n, pairs % n], 1)
     return root, pairs[root[pairs[:, 0]] != root[pairs[:, 1]]], taken < len(picks)
 
