@@ -8,8 +8,6 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowstore.plans.skew import skew_join
-
 MATCHES = ("simple", "partial", "full")
 
 
@@ -41,7 +39,8 @@ def orphan_references(
     no rows. Parent columns never enter the result, so names may clash freely.
 
     The parent is aggregated (with map-side combine) before its shuffle. The child is
-    shuffled once for each mask that the match semantics must look up, hot keys salted.
+    shuffled once for each mask that the match semantics must look up; the adaptive planner
+    splits a hot key, as the other side has one row for it.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}, not {match!r}")
@@ -68,7 +67,7 @@ def orphan_references(
             targets = targets.groupBy("__key").agg(F.lit(True).alias("__found"), F.min("d").alias("__gone"), F.min("t").alias("__since"))
             late = F.col("__since") > F.col(f"`{child_at}`") if child_at and parent_since else F.lit(False)
             reason = F.when(F.col("__found").isNull(), "missing").when(F.col("__gone"), "deleted").when(late, "late")
-            joined = skew_join(group.withColumn("__key", key(0)), targets, "__key", "left")
+            joined = group.withColumn("__key", key(0)).join(targets, "__key", "left")
             bad = joined.withColumn("reason", reason).where("reason is not null").drop("__key", "__found", "__gone", "__since")
         out = bad if out is None else out.unionByName(bad)
     return out if out is not None else child.withColumn("reason", F.lit(None).cast("string")).where("false")
