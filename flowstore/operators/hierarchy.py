@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowstore.plans.skew import skew_join
-from flowstore.plans.tables import cut, drop_cut
+from flowstore.plans.tables import cut
 
 #: States of a node's way up.
 OPEN, ROOT, CYCLE = 0, 1, 2
@@ -34,7 +33,8 @@ def resolve_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pa
     nodes = rows.select(col(id_col).alias("id"), col(parent_col).alias("parent"), (col(label_col) if label_col else col(id_col)).alias("label")).where("id is not null")
     nodes = nodes.groupBy("id").agg(F.min(F.struct(F.col("parent").isNull().alias("n"), "parent", "label")).alias("r")).select("id", "r.parent", F.coalesce("r.label", F.lit("")).alias("label"))
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    start = skew_join(nodes, known, "parent", "left")
+    # the known side has one row an id, so that the adaptive planner can split a parent of many
+    start = nodes.join(known, "parent", "left")
     is_root = F.col("known").isNull()
     start = start.select(
         "id",
@@ -45,20 +45,20 @@ def resolve_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pa
         F.array("label").alias("labels"),
         F.when(is_root, F.col("id")).otherwise(F.least("id", "parent")).alias("least"),
     )
-    now = cut(start)
-    while not now.where(F.col("state") == OPEN).isEmpty():
+    # what each round wrote: the nodes that were open before it, of which the closed ones stay as they are
+    written = [cut(start)]
+    while not written[-1].where(F.col("state") == OPEN).isEmpty():
+        now = _latest(written)
         target = now.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("state").alias("state2"), F.col("ids").alias("ids2"), F.col("labels").alias("labels2"), F.col("least").alias("least2"))
-        went = skew_join(now.where(F.col("state") == OPEN), target, "anc", "left")
+        went = written[-1].where(F.col("state") == OPEN).join(target, "anc", "left")
         went = went.withColumn("ids", F.when(F.col("state2") != CYCLE, F.concat("ids2", "ids")))
         twice = F.size(F.array_distinct(F.array_append("ids", F.col("id")))) <= F.size("ids")
         state = F.when(F.col("state2") == OPEN, F.when(twice, CYCLE).otherwise(OPEN)).otherwise(F.col("state2"))
-        went = went.select("id", "parent", F.col("anc2").alias("anc"), state.alias("state"), "ids", F.when(F.col("state2") != CYCLE, F.concat("labels2", "labels")).alias("labels"), F.least("least", "least2").alias("least"))
-        after = cut(now.where(F.col("state") != OPEN).unionByName(went))
-        drop_cut(now)
-        now = after
+        written.append(cut(went.select("id", "parent", F.col("anc2").alias("anc"), state.alias("state"), "ids", F.when(F.col("state2") != CYCLE, F.concat("labels2", "labels")).alias("labels"), F.least("least", "least2").alias("least"))))
+    now = _latest(written)
     looped = now.where(F.col("state") == CYCLE)
     least = looped.select(F.col("id").alias("anc"), F.col("least").alias("cycle"))
-    looped = skew_join(looped.select("id", "parent", "anc"), least, "anc", "left")
+    looped = looped.select("id", "parent", "anc").join(least, "anc", "left")
     none = F.lit(None)
     return (
         now.where(F.col("state") == ROOT)
@@ -67,6 +67,14 @@ def resolve_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pa
     )
 
 
+def _latest(written: list[DataFrame]) -> DataFrame:
+    """Every node as its last round left it."""
+    out = written[-1]
+    for part in written[:-1]:
+        out = out.unionByName(part.where(F.col("state") != OPEN))
+    return out
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance) of every pair in the result of `resolve_hierarchy`, without nodes that run into cycles."""
     return tree.where("depth > 0").select(F.posexplode("ancestors").alias("at", "ancestor_id"), F.col("id").alias("descendant_id"), "depth").select("ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
