@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowstore.functions.ids import canonical_uuid, reference_uuid
-from flowstore.operators.hierarchy import resolve_hierarchy
-from flowstore.operators.nested import flatten_nested
+from flowstore.operators.hierarchy import descendants, resolve_hierarchy
+from flowstore.operators.nested import flat_tables, flatten_nested
 from flowstore.operators.references import orphan_references, orphan_report
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """References of two columns, of which each row has one: MATCH PARTIAL looks either up on its own."""
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    items = read("space_items").select("request_id", "received_at", F.array(F.struct(F.lit("category_id").alias("field_name"), F.array("category_id").alias("ids")), F.struct(F.lit("doc_id").alias("field_name"), F.col("doc_id").alias("ids"))).alias("fields"))
-    refs = items.select("request_id", "received_at", F.inline("fields")).select("request_id", "received_at", "field_name", F.explode("ids").alias("raw"))
-    refs = refs.select("request_id", "received_at", "field_name", reference_uuid("raw").alias("ref_id"))
+    none = F.lit(None).cast("string")
+    items = read("space_items")
+    refs = items.select("request_id", "received_at", reference_uuid("category_id").alias("category_ref"), none.alias("doc_ref"))
+    refs = refs.unionByName(items.select("request_id", "received_at", none.alias("category_ref"), F.explode("doc_id").alias("d")).withColumn("doc_ref", reference_uuid("d")).drop("d"))
 
-    def targets(table: str, field: str, at: str, order: list[str]) -> DataFrame:
+    def targets(table: str, own: str, at: str, order: list[str]) -> DataFrame:
         """One row for each id: its earliest time, and whether the newest row is a deletion."""
         newest = F.max_by(F.col("deleted_at").isNotNull(), F.struct(*order, F.col("deleted_at").isNotNull().alias("d")))
         rows = read(table).select(canonical_uuid("id").alias("id"), F.col(at).alias("at"), "deleted_at", *[F.col(o) for o in order])
-        return rows.where("id is not null").groupBy("id").agg(F.min("at").alias("since"), newest.alias("deleted")).withColumn("field_name", F.lit(field))
+        rows = rows.where("id is not null").groupBy("id").agg(F.min("at").alias("since"), newest.alias("deleted"))
+        return rows.select(*[(F.col("id") if c == own else none).alias(c) for c in ("category", "doc")], "since", "deleted")
 
-    parent = targets("space_categories", "category_id", "received_at", ["received_at", "request_id"]).unionByName(targets("space_documents", "doc_id", "uploaded_at", ["uploaded_at"]))
-    return orphan_references(refs, parent, [("field_name", "field_name"), ("ref_id", "id")], "simple", "deleted", "since", "received_at")
+    parent = targets("space_categories", "category", "received_at", ["received_at", "request_id"]).unionByName(targets("space_documents", "doc", "uploaded_at", ["uploaded_at"]))
+    found = orphan_references(refs, parent, [("category_ref", "category"), ("doc_ref", "doc")], "partial", "deleted", "since", "received_at")
+    return found.select("request_id", "received_at", F.when(F.col("doc_ref").isNull(), "category_id").otherwise("doc_id").alias("field_name"), F.coalesce("category_ref", "doc_ref").alias("ref_id"), "reason")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,11 +41,35 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_report(distinct, "field_name", "received_at")
 
 
+def _composite(match: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        """Items whose space and category do not occur together among the categories; either may be null."""
+        items = spark.read.parquet(f"{sf}/space_items.parquet").select("request_id", "kb_name", reference_uuid("category_id").alias("category"))
+        parent = spark.read.parquet(f"{sf}/space_categories.parquet").select(F.col("kb_name").alias("space"), canonical_uuid("id").alias("id"))
+        return orphan_references(items, parent, [("kb_name", "space"), ("category", "id")], match).select("request_id", "kb_name", "category", "reason")
+
+    return query
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     flat = flatten_nested(spark.read.parquet(f"{sf}/kb_exports.parquet"), "export_id", "payload")
     return flat.select(F.col("key").alias("export_id"), "node", "parent").distinct()
 
 
+def p6_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat tables: rows, rows above them, and rows at the top."""
+    flat = flatten_nested(spark.read.parquet(f"{sf}/kb_exports.parquet"), "export_id", "payload")
+    return flat.groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count_distinct("key", "parent").alias("n_parents"), F.count_if(F.col("parent") == "$").alias("n_top"))
+
+
+def p6_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes to an item with who made them: two flat tables joined by key and parent."""
+    tables = flat_tables(flatten_nested(spark.read.parquet(f"{sf}/kb_exports.parquet"), "export_id", "payload"))
+    made, change = tables["items[].data.attributes.history[]"], tables["items[].data.attributes.history[].changes[]"]
+    above = made.select("_key", F.col("_node").alias("_parent"), F.col("by").alias("made_by"))
+    return change.join(above, ["_key", "_parent"]).select(F.col("_key").alias("export_id"), F.col("_node").alias("node"), F.col("_idx").alias("idx"), "field", "made_by")
+
+
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/space_categories.parquet")
     rows = rows.select(canonical_uuid("id").alias("id"), reference_uuid("parent_id").alias("parent_id"), "name", "received_at", "request_id").where("id is not null")
@@ -53,9 +81,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _tree(spark, sf).select(F.col("id").alias("category_id"), "root_id", "depth")
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p7_found": p7_found}
+def p7_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return _tree(spark, sf).where("depth >= 0").select(F.col("id").alias("category_id"), F.col("parent").alias("parent_id"), "path")
 
 
+def p7_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    return descendants(_tree(spark, sf))
+
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_simple": _composite("simple"), "p4_partial": _composite("partial"), "p4_full": _composite("full"), "p6_found": p6_found, "p6_tables": p6_tables, "p6_links": p6_links, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}
 
 def _uuid(c: str) -> str:
     """SQL: the canonical UUID of a text column."""
@@ -68,6 +102,39 @@ def _ref(c: str) -> str:
     return f"nullif({_uuid(c)}, '00000000-0000-0000-0000-000000000000')"
 
 
+def _p4_pairs(partly: str) -> str:
+    """SQL: references of space and category without a target. partly: what a reference with one null is."""
+    return f"""
+WITH refs AS (SELECT request_id, kb_name, {_ref('category_id')} AS category FROM space_items),
+pairs AS (SELECT DISTINCT kb_name, {_uuid('id')} AS id FROM space_categories),
+found AS (SELECT r.*, CASE
+  WHEN r.kb_name IS NULL AND r.category IS NULL THEN NULL
+  WHEN r.kb_name IS NULL OR r.category IS NULL THEN {partly}
+  WHEN NOT EXISTS (SELECT 1 FROM pairs p WHERE p.kb_name = r.kb_name AND p.id = r.category) THEN 'missing' END AS reason FROM refs r)
+SELECT request_id, kb_name, category, reason FROM found WHERE reason IS NOT NULL"""
+
+
+_P6 = """
+WITH RECURSIVE n AS (
+  SELECT export_id, '' AS path, '' AS tab, '$' AS parent, CAST(payload AS JSON) AS v, false AS elem FROM kb_exports WHERE payload IS NOT NULL AND payload <> '' AND json_valid(payload)
+  UNION ALL
+  SELECT n.export_id,
+         CASE WHEN json_type(n.v) = 'ARRAY' THEN n.path || '[' || e.key || ']' WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END,
+         CASE WHEN json_type(n.v) = 'ARRAY' THEN n.tab || '[]' WHEN n.tab = '' THEN e.key ELSE n.tab || '.' || e.key END,
+         CASE WHEN n.elem AND json_type(n.v) = 'OBJECT' THEN n.path ELSE n.parent END, e.value, json_type(n.v) = 'ARRAY'
+  FROM n, json_each(n.v) e WHERE json_type(n.v) IN ('ARRAY', 'OBJECT'))
+"""
+
+_P7 = f"""
+WITH RECURSIVE rows_ AS (SELECT {_uuid('id')} AS id, {_ref('parent_id')} AS p, name, received_at, request_id FROM space_categories),
+newest AS (SELECT id, p, coalesce(name, '') AS name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST, request_id DESC) AS k FROM rows_ WHERE id IS NOT NULL) WHERE k = 1),
+nodes AS (SELECT n.id, n.name, q.id AS p FROM newest n LEFT JOIN newest q ON n.p = q.id),
+down AS (
+  SELECT id, p, name AS path, CAST([] AS VARCHAR[]) AS above FROM nodes WHERE p IS NULL
+  UNION ALL
+  SELECT n.id, n.p, d.path || ' / ' || n.name, list_append(d.above, d.id) FROM down d JOIN nodes n ON n.p = d.id)
+"""
+
 _P4 = f"""
 WITH refs AS (
   SELECT request_id, received_at, 'category_id' AS field_name, {_ref('category_id')} AS ref_id FROM space_items
@@ -86,15 +153,15 @@ found AS (
 SQL = {
     "p4_found": _P4 + "SELECT DISTINCT request_id, field_name, ref_id, reason, strftime(received_at, '%Y-%m') AS period FROM found WHERE reason IS NOT NULL",
     "p4_report": _P4 + "SELECT field_name AS table_name, strftime(received_at, '%Y-%m') AS period, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY ALL",
-    "p6_found": """
-WITH RECURSIVE n AS (
-  SELECT export_id, '' AS path, '$' AS parent, CAST(payload AS JSON) AS v, false AS elem FROM kb_exports WHERE payload IS NOT NULL AND payload <> '' AND json_valid(payload)
-  UNION ALL
-  SELECT n.export_id,
-         CASE WHEN json_type(n.v) = 'ARRAY' THEN n.path || '[' || e.key || ']' WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END,
-         CASE WHEN n.elem AND json_type(n.v) = 'OBJECT' THEN n.path ELSE n.parent END, e.value, json_type(n.v) = 'ARRAY'
-  FROM n, json_each(n.v) e WHERE json_type(n.v) IN ('ARRAY', 'OBJECT'))
-SELECT DISTINCT export_id, path AS node, parent FROM n WHERE elem AND json_type(v) = 'OBJECT'""",
+    "p4_simple": _p4_pairs("NULL"),
+    "p4_partial": _p4_pairs("CASE WHEN NOT EXISTS (SELECT 1 FROM pairs p WHERE p.kb_name = r.kb_name OR p.id = r.category) THEN 'missing' END"),
+    "p4_full": _p4_pairs("'mixed'"),
+    "p6_found": _P6 + "SELECT DISTINCT export_id, path AS node, parent FROM n WHERE elem AND json_type(v) = 'OBJECT'",
+    "p6_tables": _P6 + "SELECT tab AS table_name, count(*) AS n_rows, count(DISTINCT (export_id, parent)) AS n_parents, count(*) FILTER (parent = '$') AS n_top FROM n WHERE elem AND json_type(v) = 'OBJECT' GROUP BY tab",
+    "p6_links": _P6 + """SELECT c.export_id, c.path AS node, CAST(regexp_extract(c.path, '(\\d+)\\]$', 1) AS INTEGER) AS idx, c.v->>'field' AS field, h.v->>'by' AS made_by
+FROM n c JOIN n h ON c.export_id = h.export_id AND c.parent = h.path WHERE c.elem AND c.tab = 'items[].data.attributes.history[].changes[]' AND json_type(c.v) = 'OBJECT'""",
+    "p7_paths": _P7 + "SELECT id AS category_id, p AS parent_id, path FROM down",
+    "p7_descendants": _P7 + "SELECT anc AS ancestor_id, id AS descendant_id, CAST(len(above) - list_position(above, anc) + 1 AS INTEGER) AS distance FROM (SELECT id, above, unnest(above) AS anc FROM down)",
     "p7_found": f"""
 WITH RECURSIVE rows_ AS (SELECT {_uuid('id')} AS id, {_ref('parent_id')} AS p, received_at, request_id FROM space_categories),
 newest AS (SELECT id, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST, request_id DESC) AS k FROM rows_ WHERE id IS NOT NULL) WHERE k = 1),

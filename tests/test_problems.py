@@ -5,7 +5,7 @@ import random
 import pytest
 
 from flowstore.operators.hierarchy import descendants, resolve_hierarchy
-from flowstore.operators.nested import flatten_nested
+from flowstore.operators.nested import flat_tables, flatten_nested
 from flowstore.operators.references import orphan_references, orphan_report
 
 
@@ -155,3 +155,18 @@ def test_nested_bad_texts_types_and_clashing_names(spark):
 def test_nested_many_elements_in_one_record(spark):
     big = json.dumps({"items": [{"p": [{"q": i}]} for i in range(5000)]})
     assert flatten_nested(spark.createDataFrame([(1, big)], "i int, j string"), "i", "j").count() == 10_000
+
+
+def test_flat_tables_have_own_values_only_and_the_last_of_repeated_names(spark):
+    text = '{"items": [{"a": 1, "A": 0, "a": 2, "_idx": "i", "m": {"x": "s", "subs": [{"q": 1}], "deep": {"l": [1, 2], "o": {"z": 1}}}, "m.x": "other", "tags": ["u"], "it\'s": null, "subs": [{"b": true}, 3, {}]}]}'
+    nodes = flatten_nested(spark.createDataFrame([(1, text), (2, '{"items": [{"c": [[1], [2]]}]}'), (3, None)], "k int, j string"), "k", "j")
+    tables = flat_tables(nodes)
+    assert set(tables) == {"items[]", "items[].m.subs[]", "items[].subs[]"}
+    first = {r["_key"]: r.asDict() for r in tables["items[]"].collect()}
+    own = {"A": "0", "a_2": "2", "_idx_2": "i", "m.x": "other", "m.deep": '{"l":[1,2],"o":{"z":1}}', "tags": '["u"]', "it's": None, "c": None}
+    assert first[1] == {"_key": 1, "_node": "items[0]", "_parent": "$", "_idx": 0, **own}
+    assert first[2]["c"] == "[[1],[2]]" and first[2]["tags"] is None
+    assert rows(tables["items[].subs[]"].select("_node", "_parent", "b")) == [("items[0].subs[0]", "items[0]", "true"), ("items[0].subs[2]", "items[0]", None)]
+    assert flat_tables(nodes.limit(0)) == {}
+    with pytest.raises(ValueError):
+        flat_tables(nodes, 3)
