@@ -29,10 +29,15 @@ def measures(df: DataFrame, aggregates: Mapping[str, object]) -> list[Column]:
     return out
 
 
-def group(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, object], having: object = None, kind: str = "plain") -> DataFrame:
-    """One row a group (plain), or a subtotal for every subset (cube) or prefix (rollup) of the names; `having` filters the result."""
-    cols = [quoted(resolve(df.columns, b)).alias(b) for b in by]
-    start = {"plain": df.groupBy, "cube": df.cube, "rollup": df.rollup}[kind](*cols)
+def group(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, object], having: object = None, kind: str = "plain", sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """One row a group (plain), or a subtotal for every subset (cube) or prefix (rollup) of the names, or for each of `sets` of them; `having` filters the result."""
+    cols = {b: quoted(resolve(df.columns, b)).alias(b) for b in by}
+    if sets is not None:
+        # by plain columns: an alias is not told to be the same in a set
+        df = df.withColumns({b: c for b, c in cols.items() if resolve(df.columns, b) != b})
+        start = df.groupingSets([[quoted(b) for b in one] for one in sets], *[quoted(b) for b in by])
+    else:
+        start = {"plain": df.groupBy, "cube": df.cube, "rollup": df.rollup}[kind](*cols.values())
     out = start.agg(*measures(df, aggregates))
     return out if having is None else out.where(condition(out, having))
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from flowstore.functions.text import category_name, vector_hash
 from flowstore.functions.vectors import euclidean
 from flowstore.operators import search as words
+from flowstore.operators.mutations import upsert
 from flowstore.operators.scans import first_by
+from flowstore.operators.vector_store import assign, mean_vectors, top_each
+from flowstore.plans.tables import cut
 
 #: Least relevance of a digest's hits, hits a query, and what a category's distance counts against an item's.
 MIN_SCORE, PER_QUERY, CATEGORY_WEIGHT = 0.6, 5, 0.1
@@ -50,16 +53,85 @@ def in_category(items: DataFrame, category: str, name: object, vector: str, targ
     return ranked.orderBy("distance", *([tie] if tie else [])).limit(k)
 
 
-def hybrid(items: DataFrame, categories: DataFrame, key: str, category: str, vector: str, text: str, target: Sequence[float], query: str, k: int = 10, category_vector: str = "vector") -> DataFrame:
-    """(key, score, search_type): items near the vector in its closest category, score the distance less CATEGORY_WEIGHT of the category's (least first), then hits of the words; each key once, by the first."""
+def hybrid(items: DataFrame, categories: DataFrame, key: str, category: str, vector: str, text: str, target: Sequence[float], query: str, k: int = 10, category_vector: str = "vector", path: str | None = None, index: words.TextIndex | None = None) -> DataFrame:
+    """(key, score, search_type): each key once, by the first of: items of the path, if one is given (score 0); items near the vector in its closest category, score the distance less CATEGORY_WEIGHT of the category's (least first); hits of the words.
+
+    index: the written postings of the items; without one they are made for this search.
+    """
     close = closest_category(categories, category_vector, target).select(F.col("category").alias("__cat"), F.col("distance").alias("__cd"))
     near = items.join(F.broadcast(close), F.col(f"`{category}`") == F.col("__cat"))  # one row
     near = near.select(F.col(f"`{key}`").alias("key"), (euclidean(vector, target) - CATEGORY_WEIGHT * F.col("__cd")).alias("score")).orderBy("score", "key").limit(k)
-    found = words.search(words.build(items, key, text), query, k).select(F.col("doc").alias("key"), "score")
-    both = near.withColumn("search_type", F.lit("semantic")).withColumn("p", F.lit(0)).unionByName(found.withColumn("search_type", F.lit("keyword")).withColumn("p", F.lit(1)))
+    found = words.search(index or words.build(items, key, text), query, k).select(F.col("doc").alias("key"), "score")
+    both = near.withColumn("search_type", F.lit("semantic")).withColumn("p", F.lit(1)).unionByName(found.withColumn("search_type", F.lit("keyword")).withColumn("p", F.lit(2)))
+    if path:
+        under = by_path(items, category, path).select(F.col(f"`{key}`").alias("key"), F.lit(0.0).alias("score")).orderBy("key").limit(k)
+        both = both.unionByName(under.withColumn("search_type", F.lit("path")).withColumn("p", F.lit(0)))
     return first_by(both, ["key"], [F.asc("p")]).drop("p")
 
 
+def search_path(items: DataFrame, categories: DataFrame, category: str, key: str, path: str, vector: str, target: Sequence[float] | None = None, k: int = 10, prefix: str | None = None, text: str | None = None) -> DataFrame:
+    """The first k items by key of a category path; if there are none and a vector is given, the k nearest of the closest category."""
+    hit = by_path(items, category, path, text, prefix).orderBy(F.col(f"`{key}`")).limit(k)
+    if target is None or not hit.isEmpty():
+        return hit
+    close = closest_category(categories, "vector", target).first()
+    return in_category(items, category, close["category"], vector, target, k, key).drop("distance") if close else hit
+
+
+def upsert_categories(categories: DataFrame, new: DataFrame) -> DataFrame:
+    """Categories (id, name, parents: array of ids or paths, ...) with new ones in place of those of the same id.
+
+    A parent may be written as the id or as the path of a category, names joined by `/`
+    from a root down; paths become ids, and what is neither is dropped, as is a parent
+    that is the category itself. A category may have several parents.
+    """
+    merged = upsert(categories, new, ["id"])
+    paths = category_paths(merged).select(F.col("path").alias("__said"), F.col("id").alias("__to"))
+    said = merged.select("id", F.posexplode("parents").alias("at", "p")).withColumn("__said", F.array_join(F.transform(F.split("p", "/"), lambda x: category_name(x)), "/"))
+    ids = merged.select(F.col("id").cast("string").alias("p"), F.col("id").alias("__same"))
+    known = said.join(ids, "p", "left").join(paths, "__said", "left").withColumn("to", F.coalesce("__same", "__to")).where("to is not null and to <> id")
+    links = known.groupBy("id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("at", "to"))), lambda x: x["to"].cast("string"))).alias("__parents"))
+    out = merged.join(links, "id", "left").withColumn("parents", F.coalesce("__parents", F.array().cast("array<string>")))
+    return out.select(*merged.columns)
+
+
+def category_paths(categories: DataFrame, depth: int = 12) -> DataFrame:
+    """(id, path) of each way from a root to a category, names in their one form joined by `/`; a category of several parents has several. Ways of more than `depth` names end there, and so do cycles."""
+    nodes = categories.select("id", category_name(F.col("name")).alias("name"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+    links = nodes.select(F.col("id").alias("child"), "name", F.explode("parents").alias("parent"))
+    now = nodes.where(F.size("parents") == 0).select("id", F.col("name").alias("path"))
+    out = now
+    for _ in range(depth - 1):
+        now = cut(links.join(now.select(F.col("id").cast("string").alias("parent"), "path"), "parent").select(F.col("child").alias("id"), F.concat("path", F.lit("/"), "name").alias("path")).distinct())
+        if now.isEmpty():
+            break
+        out = out.unionByName(now)
+    return out.distinct()
+
+
+def vectorize_categories(categories: DataFrame, items: DataFrame, category: str, vector: str) -> DataFrame:
+    """Categories with `vector`, the mean of the vectors of their items; one without items keeps what it had."""
+    means = mean_vectors(items.where(F.col(f"`{category}`").isNotNull() & F.col(f"`{vector}`").isNotNull()), category, vector).select(F.col(f"`{category}`").cast("string").alias("__id"), F.col("vector").alias("__mean"))
+    out = categories.join(means, F.col("id").cast("string") == F.col("__id"), "left")
+    old = F.col("vector") if "vector" in categories.columns else F.lit(None).cast("array<double>")
+    return out.withColumn("vector", F.coalesce("__mean", old.cast("array<double>"))).drop("__id", "__mean")
+
+
+def export_document(name: str, categories: DataFrame, items: DataFrame, category: str, config: dict | None = None) -> DataFrame:
+    """(value): one JSON document for each category, {"config", "category", "items"}, so that no document holds more than one category; items without a known category come under a null one."""
+    head = F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(k) for k, v in (config or {}).items()])
+    held = items.groupBy(F.col(f"`{category}`").cast("string").alias("__c")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in items.columns])).alias("items"))
+    cats = categories.select(F.col("id").cast("string").alias("__c"), F.struct(*[F.col(f"`{c}`") for c in categories.columns]).alias("category"))
+    return cats.join(held, "__c", "full").select(F.to_json(F.struct(head.alias("config"), "category", F.coalesce("items", F.array().cast(held.schema["items"].dataType)).alias("items"))).alias("value"))
+
+
+def import_document(lines: DataFrame, category_schema: str, item_schema: str) -> tuple[DataFrame, DataFrame]:
+    """(categories, items) of documents {"config", "category" or "categories", "items"}, of one category each or of a whole space."""
+    read = lines.select(F.from_json("value", f"category struct<{category_schema}>, categories array<struct<{category_schema}>>, items array<struct<{item_schema}>>").alias("r")).select("r.*")
+    cats = read.select(F.explode(F.array_compact(F.concat(F.array("category"), F.coalesce("categories", F.array().cast(f"array<struct<{category_schema}>>"))))).alias("c")).select("c.*")
+    return cats, read.select(F.explode("items").alias("i")).select("i.*")
+
+
 def relevance(distance) -> object:
     """1 / (1 + distance), 1 at most."""
     return 1 / (1 + F.greatest(distance, F.lit(0.0)))
@@ -67,8 +139,6 @@ def relevance(distance) -> object:
 
 def digest(hits: DataFrame, key: str, least: float = MIN_SCORE, per_query: int = PER_QUERY, limit: int = PER_QUERY) -> DataFrame:
     """Hits (query, key, category, text, distance) of several queries merged: the nearest per_query of each with a relevance of at least `least`, each key by its best, the best first, then by category and text; blank texts are left out."""
-    from flowstore.operators.vector_store import top_each
-
     best = top_each(hits, "query", per_query, [F.asc("distance"), F.asc(key)])
     scored = best.withColumn("score", relevance(F.col("distance"))).where((F.col("score") >= least) & (F.trim("text") != ""))
     one = first_by(scored, [key], [F.desc("score"), F.asc("query")])
@@ -101,8 +171,6 @@ def resolve_path(categories: DataFrame, targets: Sequence[Sequence[float]], brea
     only branches as deep as there are vectors survive, the nearest first. The levels are
     as many as the vectors, each one join.
     """
-    from flowstore.operators.vector_store import top_each
-
     nodes = categories.select("category", "parent", "vector")
     now = nodes.where("parent is null").withColumn("distance", euclidean("vector", targets[0])).withColumn("branch", F.lit(0))
     now = top_each(now, "branch", breadth, [F.asc("distance"), F.asc("category")]).select("category", "distance")
@@ -114,18 +182,13 @@ def resolve_path(categories: DataFrame, targets: Sequence[Sequence[float]], brea
 
 
 def ingest_thoughts(items: DataFrame, categories: DataFrame, thoughts: DataFrame, vector: str, key: str, category: str) -> DataFrame:
-    """The items with new ones, each in the nearest category (vectors of `categories` as centroids, numbered by name) unless it names one."""
-    from flowstore.operators.mutations import upsert
-    from flowstore.operators.vector_store import assign
-
-    names = [r[0] for r in categories.select("category").distinct().orderBy("category").limit(20_001).collect()]
-    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i + 1)]) if names else None
-    if number is None:
-        return upsert(items, thoughts, [key])
-    cents = categories.select(number[F.col("category")].alias("centroid_id"), "vector")
-    placed = assign(thoughts, vector, cents)
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("centroids")[0])
-    return upsert(items, placed.withColumn(category, F.coalesce(F.col(category), named)).select(*thoughts.columns), [key])
+    """The items with new ones, each in the nearest category (vectors of `categories` as centroids, ties by a hash of the name) unless it names one."""
+    number = F.xxhash64("category")
+    cents = categories.where("category is not null").select(number.alias("centroid_id"), "vector")
+    placed = assign(thoughts, vector, cents).withColumn("__n", F.col("centroids")[0])
+    named = categories.where("category is not null").select(number.alias("__n"), F.col("category").alias("__name")).distinct()
+    placed = placed.join(named, "__n", "left").withColumn(category, F.coalesce(F.col(f"`{category}`"), F.col("__name")))
+    return upsert(items, placed.select(*[F.col(f"`{c}`") for c in thoughts.columns]), [key])
 
 
 def from_vectors(store: DataFrame, key: str, vector: str, payload: str, category: str) -> DataFrame:

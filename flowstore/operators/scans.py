@@ -58,13 +58,16 @@ def find(df: DataFrame, keys: Sequence[str], key: object) -> DataFrame:
 
 
 def find_nearest(df: DataFrame, key: str, value: object, descending: bool = False) -> DataFrame:
-    """The row of the key; else of the smallest greater key, else of the largest key (of the other way round, descending)."""
+    """The row of the key; else of the smallest greater key, else of the largest key (of the other way round, descending).
+
+    Two searches of one row each, whose ranges reach the scan; only the better is kept.
+    """
     c, v = quoted(key), literal(value, dict(df.dtypes)[key])
-    beyond = (c <= v) if descending else (c >= v)
-    first = F.when(beyond, 0).otherwise(1)
-    toward = [F.desc(f"`{key}`") if descending else F.asc(f"`{key}`")]
-    # beyond the key toward it, otherwise the last of all
-    return df.where(c.isNotNull()).orderBy(first, F.when(beyond, F.lit(None)).otherwise(c).desc_nulls_last() if not descending else F.when(beyond, F.lit(None)).otherwise(c).asc_nulls_last(), *toward).limit(1)
+    up, down = F.asc(f"`{key}`"), F.desc(f"`{key}`")
+    toward = df.where((c <= v) if descending else (c >= v)).orderBy(down if descending else up).limit(1)
+    other = df.where((c > v) if descending else (c < v)).orderBy(up if descending else down).limit(1)
+    both = toward.withColumn("__beyond", F.lit(0)).unionByName(other.withColumn("__beyond", F.lit(1)))
+    return both.orderBy("__beyond").limit(1).drop("__beyond")
 
 
 def edge(df: DataFrame, keys: Sequence[str], last: bool = False) -> DataFrame:

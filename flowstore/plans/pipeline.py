@@ -137,6 +137,7 @@ class Env:
     done: bool = False
     last: str | None = None
     database: Catalog | None = None
+    transaction: Snapshot | None = None
 
     @property
     def db(self) -> Catalog:
@@ -414,7 +415,7 @@ def _map_merge(env: Env, s: Step, a: dict) -> dict:
 
 def _group(env: Env, s: Step, a: dict) -> DataFrame:
     by = a.get("by") or a.get("group_by") or a.get("fields") or []
-    return aggregates.group(env.frame(s.input_var), [by] if isinstance(by, str) else by, a.get("aggregates") or a.get("aggs") or {"count": "count(*)"}, a.get("having"), a.get("kind", "plain"))
+    return aggregates.group(env.frame(s.input_var), [by] if isinstance(by, str) else by, a.get("aggregates") or a.get("aggs") or {"count": "count(*)"}, a.get("having"), a.get("kind", "plain"), a.get("sets"))
 
 
 def _space(env: Env, s: Step, a: dict) -> Opened:
@@ -426,10 +427,11 @@ def _search_space(env: Env, s: Step, a: dict) -> DataFrame:
     space = _space(env, s, a)
     key, text = a.get("key", "id"), a.get("text_field", "text")
     if a.get("path"):
-        return knowledge.by_path(space.df, a.get("category_field", "category"), a["path"], text, a.get("prefix")).limit(a.get("limit", 10))
+        return knowledge.by_path(space.df, a.get("category_field", "category"), a["path"], text, a.get("prefix")).orderBy(key).limit(a.get("limit", 10))
     if a.get("vector"):
         return knowledge.in_category(space.df, a["category_field"], a["category"], a.get("vector_field", "vector"), a["vector"], a.get("limit", 10), key) if a.get("category") else vector_store.exact(space.df, a.get("vector_field", "vector"), a["vector"], a.get("limit", 10), tie=key)
-    return search.search(search.build(space.df, key, text), a["query"], a.get("limit", 10))
+    index = search.build(space.df, key, text, group=a.get("category_field", "category") if a.get("category") else None)
+    return search.search(index, a["query"], a.get("limit", 10), a.get("category"))
 
 
 def _space_lists(items: bool) -> Callable:
@@ -468,6 +470,25 @@ def _vectorize(env: Env, s: Step, a: dict) -> DataFrame:
     return _save(env, space.name, knowledge.vectorize(space.df, texts, dim, a.get("hash_field", "vector_hash"), vector, embed))
 
 
+def _vectorize_categories(env: Env, s: Step, a: dict) -> DataFrame:
+    """Vectors of a space's categories (a store of their own) from those of its items."""
+    space, cats = _space(env, s, a), env.store(a["categories"])
+    return _save(env, cats.name, knowledge.vectorize_categories(cats.df, space.df, a.get("category_field", "category"), a.get("vector_field", "vector")))
+
+
+def _upsert_categories(env: Env, s: Step, a: dict) -> DataFrame:
+    cats = env.store(a.get("categories") or a.get("space") or s.input_var)
+    new = env.catalog.spark.createDataFrame([tuple(r.get(c) for c in cats.df.columns) for r in a["rows"]], cats.df.schema)
+    return _save(env, cats.name, knowledge.upsert_categories(cats.df, new))
+
+
+def _explain_join(env: Env, s: Step, a: dict) -> DataFrame:
+    """(line): what a join of two stores can use."""
+    left, right = (env.db.meta(str(a[k])) for k in ("left_store", "right_store"))
+    on = dict(a["on"]) if a.get("on") else dict(joins.relation_of(left, right))
+    return env.catalog.spark.createDataFrame([(x,) for x in joins.explain_join(left, right, list(on), list(on.values()))], "line string")
+
+
 def _fetch(env: Env, s: Step, a: dict) -> DataFrame:
     t = _target(env, s, a)
     return scans.fetch(t.df, _keys(env, t)[0], a.get("key"), a.get("prefix"), a.get("condition"), a.get("limit", scans.LIMITS["fetch"]))
@@ -525,8 +546,8 @@ OPS: dict[str, Callable[[Env, Step, dict], object]] = {
     "delete": _delete,
     "inspect": lambda e, s, a: e.db.inspect(str(a.get("store") or a.get("name") or e.vars[s.input_var].name)),
     "list_stores": lambda e, s, a: e.db.list_stores(),
-    "begin_tx": lambda e, s, a: e.vars.__setitem__("__snapshot", dict(e.db.tables)),
-    "commit_tx": lambda e, s, a: e.vars.pop("__snapshot", None) and None,
+    "begin_tx": lambda e, s, a: _begin(e),
+    "commit_tx": lambda e, s, a: _commit(e),
     "rollback_tx": lambda e, s, a: _rollback(e),
     "first": _navigate(None),
     "last": _navigate(None, True),
@@ -550,19 +571,81 @@ OPS: dict[str, Callable[[Env, Step, dict], object]] = {
     "delete_space_items": _space_delete("item"),
     "delete_space_categories": _space_delete("category"),
     "vectorize_space": _vectorize,
+    "vectorize_space_categories": _vectorize_categories,
+    "upsert_space_categories": _upsert_categories,
+    "explain_join": _explain_join,
     "vectorize_space_items": _vectorize,
 }
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What a transaction began with: its database, the tables and what is known of them, the open stores, the committed versions."""
+
+    db: Catalog
+    tables: dict[str, DataFrame]
+    metas: dict
+    handles: dict[str, Opened]
+    versions: dict[str, str]
+
+
+def _begin(env: Env) -> None:
+    if env.transaction is not None:
+        raise ScriptError("a transaction is open")
+    handles = {k: v for k, v in env.vars.items() if isinstance(v, Opened)}
+    env.transaction = Snapshot(env.db, dict(env.db.tables), dict(env.db.metas), handles, env.db.versions())
+
+
+def _commit(env: Env) -> None:
+    """Stores changed since begin_tx are written and become current together, then the open ones read what was written. Without a transaction nothing happens."""
+    held, env.transaction = env.transaction, None
+    if held is None:
+        return
+    changed = [n for n, df in held.db.tables.items() if held.tables.get(n) is not df]
+    try:
+        held.db.commit(changed, held.versions)
+    except Exception:
+        _restore(env, held)
+        raise
+    _reopen(env, held.db, changed)
+
+
 def _rollback(env: Env) -> None:
-    """Stores as they were at begin_tx; nothing was written, so the tables are only named again."""
-    if "__snapshot" in env.vars:
-        env.db.tables.clear()
-        env.db.tables.update(env.vars.pop("__snapshot"))
+    """Stores, also open ones, as they were at begin_tx. Without a transaction nothing happens."""
+    held, env.transaction = env.transaction, None
+    if held is not None:
+        _restore(env, held)
+
+
+def _restore(env: Env, held: Snapshot) -> None:
+    changed = [n for n, df in held.db.tables.items() if held.tables.get(n) is not df]
+    for own, old in ((held.db.tables, held.tables), (held.db.metas, held.metas)):
+        own.clear()
+        own.update(old)
+    known = set(held.db.stores())
+    for var, v in list(env.vars.items()):
+        if var in held.handles and isinstance(v, Opened):
+            env.vars[var] = held.handles[var]
+        elif isinstance(v, Opened) and v.name in changed:  # opened within the transaction
+            if v.name in known:
+                env.vars[var] = Opened(v.name, held.db.read(v.name))
+            else:
+                del env.vars[var]
+
+
+def _reopen(env: Env, db: Catalog, names: list[str]) -> None:
+    for var, v in env.vars.items():
+        if isinstance(v, Opened) and v.name in names:
+            env.vars[var] = Opened(v.name, db.read(v.name))
 
 
 def _one(env: Env, s: Step) -> None:
-    got = OPS[s.op](env, s, fill(dict(s.args), env))
+    args = fill(dict(s.args), env)
+    keep = args.pop("save_to", None)
+    got = OPS[s.op](env, s, args)
+    if keep and isinstance(got, (DataFrame, Opened)):
+        # written once, so that later steps read it; a store of the session
+        got = env.db.materialize(str(keep), got.df if isinstance(got, Opened) else got)
     if s.op not in ("if", "loop", "block", "open_db", "begin_tx", "commit_tx", "rollback_tx", "defer", "return"):
         env.vars[s.result_var] = got
         env.last = s.result_var
@@ -587,6 +670,9 @@ def execute(script: object, catalog: Catalog, params: Mapping[str, object] | Non
     steps = prepare(script, set(env.vars))
     try:
         _block(env, steps)
+    except Exception:
+        _rollback(env)
+        raise
     finally:
         for s in reversed(env.cleanup):
             _one(env, replace(s, result_var=s.result_var or "__deferred"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from flowstore.functions.predicates import condition, from_phrase
 from flowstore.functions.projections import project
 from flowstore.operators import aggregates, etl, guard, joins, knowledge, mutations, scans, search, vector_store
 from flowstore.plans import pipeline
+from flowstore.plans.tables import shared_dir
 from flowstore.sources.catalog import Catalog, IndexField, StoreMeta, relations
 from flowstore.streaming import retention
 
@@ -29,7 +32,8 @@ _ONES = [0.1] * 64
 
 def catalog(spark: SparkSession, sf: str) -> Catalog:
     metas = {n: StoreMeta(n, tuple(IndexField(f) for f in k.split()), relations(RELATIONS.get(n, {}))) for n, k in KEYS.items()}
-    return Catalog(spark, sf, metas)
+    # the tables are only read: what is committed goes to the shared folder
+    return Catalog(spark, sf, metas, home=f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}")
 
 
 def query(sql: str | None = None):
@@ -150,9 +154,10 @@ def page_total(spark, sf):
     return scans.page_with_total(_t(spark, sf, "customer"), ["c_custkey"], 2, 20)
 
 
-@query()
+@query("""SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS count, true AS is_unique, '' AS description, c.column_name, c.label
+FROM (VALUES ('o_orderkey', 'number'), ('o_custkey', 'number'), ('o_orderstatus', 'string'), ('o_totalprice', 'number'), ('o_orderdate', 'datetime'), ('o_orderpriority', 'string')) AS c(column_name, label)""")
 def inspect_store(spark, sf):
-    return catalog(spark, sf).inspect("orders")
+    return catalog(spark, sf).inspect("orders").select("name", "count", "is_unique", "description", F.explode("schema").alias("column_name", "label"))
 
 
 @query()
@@ -409,19 +414,22 @@ def setop_intersect(spark, sf):
     return aggregates.intersect(_short(_t(spark, sf, "nation"), k="n_nationkey"), _short(_t(spark, sf, "supplier"), k="s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT ps AS k FROM (SELECT p_partkey AS ps FROM part) EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def setop_except(spark, sf):
-    return aggregates.subtract(_short(_t(spark, sf, "customer"), k="c_custkey"), _short(_t(spark, sf, "orders"), k="o_custkey"))
+    return aggregates.subtract(_short(_t(spark, sf, "part"), k="p_partkey"), _short(_t(spark, sf, "lineitem").where("l_quantity > 45"), k="l_partkey"))
 
 
 # changes
 
 
-@query("SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, 'NEW ' || n_name, n_regionkey FROM nation WHERE n_nationkey < 5")
+@query("SELECT * FROM orders UNION ALL SELECT * REPLACE (o_orderkey + 100000000 AS o_orderkey, o_totalprice * 2 AS o_totalprice) FROM orders WHERE o_orderstatus = 'F'")
 def mutate_add(spark, sf):
-    n = _t(spark, sf, "nation")
-    new = n.where("n_nationkey < 5").select((F.col("n_nationkey") + 100).cast("int").alias("n_nationkey"), F.concat(F.lit("NEW "), "n_name").alias("n_name"), "n_regionkey")
-    return mutations.add(n, new.unionByName(n), ["n_nationkey"])
+    """Of the rows to add all come twice, the second with another price, and half are there already."""
+    o = _t(spark, sf, "orders")
+    kind = dict(o.dtypes)["o_orderkey"]
+    new = o.where("o_orderstatus = 'F'").withColumns({"o_orderkey": (F.col("o_orderkey") + 100000000).cast(kind), "o_totalprice": F.col("o_totalprice") * 2})
+    every = new.unionByName(o).withColumn("at", F.lit(0)).unionByName(new.withColumns({"o_totalprice": F.lit(-1.0), "at": F.lit(1)}))
+    return mutations.add(o, every, ["o_orderkey"], order="at")
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
@@ -429,10 +437,78 @@ def mutate_update(spark, sf):
     return Session(catalog(spark, sf)).select("customer", where={"c_mktsegment": "BUILDING"}, action="update", values={"c_acctbal": 0.0})
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN upper(reverse(n_name)) ELSE n_name END AS n_name, n_regionkey FROM nation")
+_KEY = "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderkey END"
+
+
+@query(f"""SELECT * REPLACE (CAST(o_orderkey AS VARCHAR) AS o_orderkey) FROM (SELECT * REPLACE ({_KEY} AS o_orderkey) FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'F'
+UNION ALL SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'
+UNION ALL SELECT * REPLACE (CAST(NULL AS BIGINT) AS o_orderkey, o_totalprice + 1 AS o_totalprice) FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'))""")
 def mutate_upsert(spark, sf):
-    n = _t(spark, sf, "nation")
-    return mutations.upsert(n, n.where("n_nationkey < 3").withColumn("n_name", F.upper(F.reverse("n_name"))), ["n_nationkey"])
+    """A store with many null keys; the new rows repeat every key, the last one counts, and the null key is among them."""
+    o = _t(spark, sf, "orders").withColumn("at", F.col("o_orderkey")).withColumn("o_orderkey", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderkey")))
+    new = o.where("o_orderstatus = 'F'")
+    both = new.withColumn("at", F.lit(-1).cast("long")).unionByName(new.withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return mutations.upsert(o.drop("at"), both, ["o_orderkey"], "at").withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
+
+
+def _sure(spark, sf, end: list[dict]):
+    """A transaction that deletes from and changes orders that are open, then ends, and what the open store then has."""
+    steps = [
+        {"op": "open_store", "name": "orders", "result_var": "o"},
+        {"op": "begin_tx"},
+        {"op": "delete", "store": "o", "condition": {"o_orderstatus": "F"}},
+        {"op": "update", "store": "o", "condition": {"o_orderstatus": "P"}, "values": {"o_totalprice": 0.0}},
+        *end,
+        {"op": "scan", "store": "o", "stream": True, "result_var": "r"},
+        {"op": "return", "value": "@r"},
+    ]
+    cat = catalog(spark, sf)
+    return pipeline.run(steps, cat, collapse=True)
+
+
+@query("SELECT * FROM orders")
+def tx_rollback(spark, sf):
+    return _sure(spark, sf, [{"op": "rollback_tx"}])
+
+
+@query("SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderstatus <> 'F'")
+def tx_commit(spark, sf):
+    return _sure(spark, sf, [{"op": "commit_tx"}])
+
+
+@query("""SELECT 'applied' AS kind, count(*) AS n FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'exists', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'repeated', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'total', (SELECT count(*) FROM orders) + count(*) FROM orders WHERE o_orderstatus = 'O'""")
+def bulk_add_errors(spark, sf):
+    """New keys twice each, and known ones."""
+    o = _t(spark, sf, "orders")
+    new = o.where("o_orderstatus = 'O'").withColumn("o_orderkey", (F.col("o_orderkey") + 100000000).cast(dict(o.dtypes)["o_orderkey"]))
+    got = Session(catalog(spark, sf)).bulk("orders", new.unionByName(new).unionByName(o.where("o_orderstatus = 'F'")), "add")
+    counts = got.errors.groupBy(F.col("error").alias("kind")).agg(F.count("*").alias("n"))
+    return counts.unionByName(got.applied.agg(F.count("*").alias("n")).select(F.lit("applied").alias("kind"), "n")).unionByName(got.table.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), "n"))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def bulk_update(spark, sf):
+    o = _t(spark, sf, "orders")
+    new = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"))
+    return Session(catalog(spark, sf)).bulk_update("orders", new).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query("SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT r_regionkey FROM region)")
+def join_delete_left(spark, sf):
+    return Session(catalog(spark, sf)).join("customer", "region", ["c_nationkey"], ["r_regionkey"], action="delete_left")
+
+
+@query("SELECT * REPLACE (CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) THEN 'NEAR' ELSE c_mktsegment END AS c_mktsegment) FROM customer")
+def join_update_left(spark, sf):
+    cat = catalog(spark, sf)
+    cat.register("rich", _t(spark, sf, "supplier").where("s_acctbal > 9000"))
+    return Session(cat).join("customer", "rich", ["c_nationkey"], ["s_nationkey"], action="update_left", update_values={"c_mktsegment": "NEAR"})
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def agg_grouping_sets(spark, sf):
+    out = aggregates.group(_t(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], {"n": "count(*)", "total": "sum(o_totalprice)"}, sets=[["o_orderstatus"], ["o_orderpriority"], []])
+    return out.withColumn("total", F.round("total", 2))
 
 
 @query("SELECT * FROM customer WHERE NOT (c_acctbal < 0)")
@@ -534,11 +610,13 @@ def assign_nearest_label(spark, sf):
     return vector_store.assign(e, "embedding", cents).select("vec_id", F.col("centroids")[0].alias("nearest"), F.round("distance", 8).alias("distance"))
 
 
-@query()
+@query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_LIST}), 8) AS score FROM embeddings WHERE label <> 3 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_LIST}) DESC, vec_id LIMIT 10")
 def ivf_query(spark, sf):
+    """The ten best by the index, which are the true ten; the vectors of one label are marked as deleted."""
     e = _t(spark, sf, "embeddings")
-    store, cents = vector_store.optimize(e, "embedding", 16)
-    return vector_store.query(store, "embedding", cents, _ONES, 10).select("vec_id", "score")
+    marked = vector_store.mark_deleted(e.withColumn("is_deleted", F.lit(False)), e.where("label = 3").select("vec_id"), "vec_id")
+    store, cents = vector_store.optimize(marked, "embedding", 16)
+    return vector_store.query(store, "embedding", cents, _ONES, 10).select("vec_id", F.round("score", 8).alias("score"))
 
 
 @query("SELECT coalesce(source, '') AS category, count(*) AS item_count, (SELECT count(DISTINCT coalesce(source, '')) FROM documents) AS total_count FROM documents GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 10")
@@ -642,9 +720,11 @@ def stream_sessions(spark, sf):
     return retention.sessions(_t(spark, sf, "events"), "ts", "6 hours", "10 minutes", "user_id")
 
 
-@query("SELECT p_name AS text, 'Symptoms: ' || replace(p_brand, '_', ' ') || ', ' || replace(p_type, '_', ' ') AS description FROM part WHERE trim(p_name) <> ''")
+@query("""WITH r AS (SELECT trim(p_name) AS text, replace(trim(p_brand), '_', ' ') AS b, replace(trim(p_type), '_', ' ') AS t FROM part WHERE trim(p_name) <> ''),
+h AS (SELECT *, list_reduce(list_prepend(2166136261, list_transform(string_split(text || b || t, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS n FROM r)
+SELECT lower(replace(text, ' ', '_')) || '_' || printf('%x', n) AS id, text, 'Symptoms: ' || b || ', ' || t AS description FROM h""")
 def etl_prepare(spark, sf):
-    return etl.prepare(_t(spark, sf, "part"), "p_name", ["p_brand", "p_type"]).select("text", "description")
+    return etl.prepare(_t(spark, sf, "part"), "p_name", ["p_brand", "p_type"])
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")

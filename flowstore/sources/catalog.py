@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Mapping
+import json
+import re
+import uuid
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowstore.plans.tables import cut
+from flowstore.sources import filesystem
 
 
 @dataclass(frozen=True)
@@ -52,12 +55,20 @@ def label(dtype: str) -> str:
     return LABELS.get(dtype) or ("list" if dtype.startswith("array") else "bytes" if dtype == "binary" else "object")
 
 
+class Conflict(RuntimeError):
+    """Another transaction committed a store since this one began."""
+
+
 @dataclass
 class Catalog:
     """Stores by name: tables of a directory, and those registered in the session.
 
     databases maps further names to directories. Scripts are saved pipelines; a script of
     one `select` or `scan` step can be read as a store (a view).
+
+    Committed stores are written below `home` (the directory if none is given) as
+    versions of their own; one small file there, replaced in one step, says which version
+    of each store is the current one. They come before tables of the directory.
     """
 
     spark: SparkSession
@@ -66,18 +77,63 @@ class Catalog:
     databases: dict[str, str] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     scripts: dict[str, list] = field(default_factory=dict)
+    home: str | None = None
+    opened: dict[str, Catalog] = field(default_factory=dict)
 
     def database(self, name: str | None) -> Catalog:
+        """A database by name; the same object each time, with what was registered in it."""
         if name in (None, "", "current"):
             return self
         if name not in self.databases:
             raise KeyError(f"unknown database {name!r}")
-        return Catalog(self.spark, self.databases[name], self.metas, self.databases, {}, self.scripts)
+        if name not in self.opened:
+            home = f"{self.home}/{name}" if self.home != self.directory else None
+            self.opened[name] = Catalog(self.spark, self.databases[name], dict(self.metas), self.databases, {}, self.scripts, home, self.opened)
+        return self.opened[name]
+
+    def __post_init__(self) -> None:
+        self.home = self.home or self.directory
+
+    def _manifest(self) -> str:
+        return f"{self.home}/current.json"
+
+    def versions(self) -> dict[str, str]:
+        """Store -> folder of its current version, of those that were committed."""
+        return json.loads(filesystem.read_text(self.spark, self._manifest()) or "{}")
+
+    def commit(self, names: Iterable[str], since: Mapping[str, str] | None = None) -> dict[str, str]:
+        """Writes registered stores as new versions, then makes all of them current in one step; the session reads what was written.
+
+        since: the versions when the work began; a store that has another by now raises
+        Conflict, and nothing changes. A crash before the last step leaves the old
+        versions current. Old versions stay, as others may read them (`vacuum`).
+        """
+        names, manifest = sorted(set(names)), self._manifest()
+        fresh = {n: f"{self.home}/{n}-{uuid.uuid4().hex}" for n in names}
+        for n, path in fresh.items():
+            self.tables[n].write.parquet(path)
+        now = self.versions()
+        if since is not None and (moved := [n for n in names if now.get(n) != since.get(n)]):
+            for path in fresh.values():
+                filesystem.delete(self.spark, path)
+            raise Conflict(f"committed by others: {', '.join(moved)}")
+        filesystem.write_text(self.spark, manifest, json.dumps(now | fresh, indent=1))
+        for n, path in fresh.items():
+            self.tables[n] = self.spark.read.schema(self.tables[n].schema).parquet(path)
+        return fresh
+
+    def vacuum(self) -> list[str]:
+        """Deletes the versions that are not current; only where no other session reads them."""
+        live = {p.rsplit("/", 1)[-1] for p in self.versions().values()}
+        gone = [n for n in filesystem.names(self.spark, self.home) if n not in live and re.search(r"-[0-9a-f]{32}$", n)]
+        for n in gone:
+            filesystem.delete(self.spark, f"{self.home}/{n}")
+        return gone
 
     def read(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return self.spark.read.parquet(self.versions().get(name) or f"{self.directory}/{name}.parquet")
 
     def meta(self, name: str) -> StoreMeta:
         """What was declared, or the first column as the key."""
@@ -103,22 +159,13 @@ class Catalog:
         self.register(name, cut(df))
         return self.tables[name]
 
-    def save(self, name: str, directory: str | None = None, mode: str = "overwrite") -> str:
-        """Writes a registered store beside its final place, then moves it there: readers see the old or the new one."""
-        target = f"{directory or self.directory}/{name}.parquet"
-        staged = f"{target}.staged"
-        self.tables[name].write.mode(mode).parquet(staged)
-        jvm = self.spark.sparkContext._jvm
-        old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (target, staged))
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"cannot move {staged} to {target}")
-        return target
+    def save(self, name: str) -> str:
+        """Commits one store; the folder of the version."""
+        return self.commit([name])[name]
 
     def stores(self) -> list[str]:
-        found = {f[: -len(".parquet")] for f in os.listdir(self.directory) if f.endswith(".parquet")} if os.path.isdir(self.directory) else set()
-        return sorted(found | set(self.tables))
+        found = {f[: -len(".parquet")] for f in filesystem.names(self.spark, self.directory) if f.endswith(".parquet")}
+        return sorted(found | set(self.tables) | set(self.versions()))
 
     def list_stores(self) -> DataFrame:
         """(store, columns, key, relations, is_unique) of every store."""

@@ -29,9 +29,51 @@ def test_vector_store_life(spark):
     assert sorted((r.id, r.is_deleted) for r in changed.collect()) == [(1, False), (2, True), (3, False), (4, False)]
     store, new = vector_store.optimize(changed, "v", 2)
     assert store.count() == 3 and new.count() == 2
-    assert vector_store.split_centroid(stored, "v", 2, cents).count() == 4
-    with pytest.raises(ValueError):
-        vector_store.assign(df, "v", cents, limit=2)
+    parted, four = vector_store.split_centroid(stored, "v", 2, cents)
+    assert four.count() == 4 and {r.id: r.centroid_id for r in parted.collect()}[1] == 1
+    own = {r.centroid_id: r.vector for r in four.collect()}
+    assert all(own[r.centroid_id] == r.v for r in parted.where("id in (2, 3)").collect())
+    assert vector_store.add_centroid(cents, [5.0, 5.0]).where("centroid_id = 4").count() == 1
+
+
+def test_deleted_vectors_are_not_found(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 2)], "id int, v array<double>, centroid_id int")
+    cents = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "centroid_id int, vector array<double>")
+    gone = vector_store.mark_deleted(df.withColumn("is_deleted", F.lit(False)), df.where("id = 1").select("id"))
+    assert [r.id for r in vector_store.exact(gone, "v", [1.0, 0.0], 5).collect()] == [2, 3]
+    assert [r.id for r in vector_store.query(gone, "v", cents, [1.0, 0.0], 5).collect()] == [2, 3]
+    back = vector_store.upsert(gone, df.where("id = 1"))
+    assert [r.id for r in vector_store.exact(back, "v", [1.0, 0.0], 1).collect()] == [1]
+
+
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_assignment_in_blocks_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vector_store, "BLOCK", block)
+    rng = random.Random(2)
+    v = [[rng.randint(0, 3) * 1.0 for _ in range(3)] for _ in range(60)]
+    c = [[rng.randint(0, 3) * 1.0 for _ in range(3)] for _ in range(11)] + [[1.0, 1.0, 1.0]] * 9
+    df = spark.createDataFrame([*enumerate(v), (90, None), (91, [1.0]), (92, [float("nan"), 0.0, 0.0])], "id int, v array<double>").withColumn("distance", F.lit("old"))
+    cents = spark.createDataFrame(list(enumerate(c, 1)), "centroid_id int, vector array<double>")
+    got = {r.id: (r.centroids, r.distance) for r in vector_store.assign(df, "v", cents, 3).collect()}
+    for i, x in enumerate(v):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5, k) for k, y in enumerate(c, 1))[:3]
+        assert got[i] == ([k for _, k in near], near[0][0])
+    assert got[90] == got[91] == (None, None) and got[92][0] is not None or got[92] == (None, None)
+    assert vector_store.assign(df, "v", cents.limit(0)).where("centroids is not null").count() == 0
+    assert vector_store.assign(df.limit(0), "v", cents).count() == 0
+
+
+def test_batches_assign_and_drift_centroids(spark):
+    new = spark.createDataFrame([(i, [float(i % 2 * 10), 0.0]) for i in range(40)], "id int, v array<double>")
+    none = new.limit(0).withColumn("is_deleted", F.lit(False)).withColumn("centroid_id", F.lit(1))
+    store, cents = vector_store.upsert_batch(none, new, "v", None)
+    assert store.count() == 40 and cents.count() == 2  # as many as there are different vectors
+    cents = spark.createDataFrame([(1, [0.0, 0.0]), (2, [10.0, 0.0])], "centroid_id int, vector array<double>")
+    store = vector_store.placed(new, "v", cents)
+    later, moved = vector_store.upsert_batch(store, spark.createDataFrame([(100, [2.1, 0.0]), (0, [9.0, 0.0])], "id int, v array<double>"), "v", cents)
+    assert later.count() == 41 and later.where("id = 0").first().centroid_id == 2
+    got = {r.centroid_id: [round(x, 6) for x in r.vector] for r in moved.collect()}
+    assert got == {1: [0.1, 0.0], 2: [round((20 * 10 + 9) / 21, 6), 0.0]}
 
 
 def test_index_finds_what_exact_search_finds(spark):
@@ -125,3 +167,37 @@ def test_entry_and_queries_have_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 70
     assert len(e.entry(spark).columns) == 3
+
+
+def test_categories_of_several_parents(spark):
+    cats = spark.createDataFrame([("1", "Tech", [], None), ("2", "C#", ["1"], None), ("3", "Law", [], [9.0])], "id string, name string, parents array<string>, vector array<double>")
+    new = spark.createDataFrame([("4", "Async", ["TECH/csharp", "3", "4", "none"], None), ("3", "Law", None, [1.0])], "id string, name string, parents array<string>, vector array<double>")
+    got = knowledge.upsert_categories(cats, new)
+    assert {r.id: r.parents for r in got.collect()} == {"1": [], "2": ["1"], "3": [], "4": ["2", "3"]}
+    paths = sorted((r.id, r.path) for r in knowledge.category_paths(got).collect())
+    assert paths == [("1", "tech"), ("2", "tech/csharp"), ("3", "law"), ("4", "law/async"), ("4", "tech/csharp/async")]
+    items = spark.createDataFrame([(1, "2", [1.0]), (2, "2", [3.0]), (3, None, [7.0])], "id int, category string, vector array<double>")
+    assert {r.id: r.vector for r in knowledge.vectorize_categories(got, items, "category", "vector").collect()} == {"1": None, "2": [2.0], "3": [1.0], "4": None}
+    assert knowledge.upsert_categories(cats.limit(0), new.limit(0)).count() == 0
+
+
+def test_documents_of_a_space_come_back(spark):
+    cats = spark.createDataFrame([("1", "Tech"), ("2", "Law")], "id string, name string")
+    items = spark.createDataFrame([(1, "1", "a"), (2, "1", None), (3, "9", "c")], "id int, category string, text string")
+    out = knowledge.export_document("kb", cats, items, "category", {"version": 2})
+    c, i = knowledge.import_document(out, "id string, name string", "id int, category string, text string")
+    assert sorted(map(tuple, c.collect())) == [("1", "Tech"), ("2", "Law")] and sorted(map(tuple, i.collect())) == [(1, "1", "a"), (2, "1", None), (3, "9", "c")]
+    whole = spark.createDataFrame([('{"config": {}, "categories": [{"id": "7", "name": "x"}], "items": [{"id": 5}]}',), ("no json",)], "value string")
+    c, i = knowledge.import_document(whole, "id string, name string", "id int, category string, text string")
+    assert [r.id for r in c.collect()] == ["7"] and [r.id for r in i.collect()] == [5]
+
+
+def test_searches_by_category_path_and_fallback(spark):
+    items = spark.createDataFrame([(1, "Tech/C#", "cold cats", [0.0]), (2, "Law", "cold dogs", [5.0]), (3, "Law", "warm birds", [6.0])], "id int, category string, text string, vector array<double>")
+    index = search.build(items, "id", "text", persist=True, group="category")
+    assert [r.doc for r in search.search(index, "cold", group="Law").collect()] == [2] and search.search(index, "cold").count() == 2
+    cats = spark.createDataFrame([("Tech/C#", [0.0]), ("Law", [5.0])], "category string, vector array<double>")
+    got = knowledge.hybrid(items, cats, "id", "category", "vector", "text", [5.1], "cold", path="tech", index=index)
+    assert {r.key: r.search_type for r in got.collect()} == {1: "path", 2: "semantic", 3: "semantic"}
+    find = lambda path: [r.id for r in knowledge.search_path(items, cats, "category", "id", path, "vector", [6.0], 1).collect()]
+    assert find("tech") == [1] and find("nothing") == [3]

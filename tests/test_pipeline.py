@@ -5,7 +5,7 @@ from flowstore.api import Session
 from flowstore.operators import aggregates, joins, mutations, scans
 from flowstore.plans import pipeline
 from flowstore.sources import files
-from flowstore.sources.catalog import Catalog, IndexField, StoreMeta, relations
+from flowstore.sources.catalog import Catalog, Conflict, IndexField, StoreMeta, relations
 
 
 @pytest.fixture
@@ -67,13 +67,89 @@ def test_control_flow_lists_and_cleanup(cat):
     assert env.vars["x"] == 3 and env.vars["y"] == "yes" and env.vars["m"] == {"a": 1, "b": 2} and env.vars["end"] == "done"
 
 
-def test_transactions_name_the_old_tables_again(cat):
-    n = lambda: cat.read("users").count()
-    delete = {"op": "delete", "store": "users", "condition": {"first_name": "Jane"}}
-    pipeline.execute([{"op": "begin_tx"}, delete, {"op": "rollback_tx"}], cat)
-    assert n() == 35
-    pipeline.execute([{"op": "begin_tx"}, delete, {"op": "commit_tx"}], cat)
-    assert n() == 25
+def test_transactions_roll_back_and_commit_open_stores(cat, spark, tmp_path):
+    n = lambda c=cat: c.read("users").count()
+    opened, delete, scan = {"op": "open_store", "name": "users", "result_var": "u"}, {"op": "delete", "store": "u", "condition": {"first_name": "Jane"}}, {"op": "scan", "store": "u", "stream": True}
+    got = pipeline.run([opened, {"op": "begin_tx"}, delete, {"op": "rollback_tx"}, scan], cat)
+    assert got.count() == n() == 35
+    got = pipeline.run([{"op": "begin_tx"}, opened, delete, {"op": "rollback_tx"}, scan], cat)
+    assert got.count() == n() == 35
+    with pytest.raises(pipeline.ScriptError):
+        pipeline.execute([{"op": "begin_tx"}, {"op": "begin_tx"}], cat)
+    with pytest.raises(Exception):  # noqa: B017
+        pipeline.execute([opened, {"op": "begin_tx"}, delete, {"op": "open_store", "name": "absent"}], cat)
+    assert n() == 35  # a step that fails rolls back
+    other = Catalog(spark, str(tmp_path), home=cat.home)
+    other.register("users", cat.read("users"))
+    assert pipeline.run([opened, {"op": "begin_tx"}, delete, {"op": "commit_tx"}, scan], cat).count() == n() == 25
+    assert Catalog(spark, str(tmp_path)).read("users").count() == 25
+    with pytest.raises(Conflict):
+        other.commit(["users"], {})
+    assert Catalog(spark, str(tmp_path)).read("users").count() == 25
+
+
+def test_a_store_is_saved_again_and_read_in_the_session(cat, spark, tmp_path):
+    cat.save("users")
+    for left in (25, 20):
+        cat.register("users", cat.read("users").limit(left), cat.metas["users"])
+        cat.save("users")
+        assert cat.read("users").count() == Catalog(spark, str(tmp_path)).read("users").count() == left
+    assert len(cat.vacuum()) == 2 and cat.read("users").count() == 20
+
+
+def test_databases_keep_what_was_registered(cat, spark, tmp_path):
+    both = Catalog(spark, str(tmp_path), databases={"b": str(tmp_path / "b")})
+    both.database("b").register("t", spark.range(3))
+    steps = [{"op": "open_db", "name": "b"}, {"op": "begin_tx"}, {"op": "delete", "store": "t", "condition": {"id": 1}}, {"op": "open_db", "name": "current"}, {"op": "rollback_tx"}]
+    pipeline.execute(steps, both)
+    assert both.database("b").read("t").count() == 3 and both.tables == {}
+
+
+def test_any_step_can_save_what_it_gives(cat):
+    pipeline.execute([{"op": "scan", "store": "users", "stream": True}, {"op": "group_by", "by": ["users.first_name"], "aggregates": {"n": "count(*)"}, "save_to": "names"}], cat)
+    assert cat.read("names").count() == cat.read("users").select("first_name").distinct().count()
+    lines = [r.line for r in pipeline.run([{"op": "explain_join", "left_store": "users", "right_store": "orders", "on": {"key": "key"}}], cat).collect()]
+    assert lines[0] == "users.key = orders.key" and lines[1].startswith("seek")
+
+
+def test_changes_of_repeated_and_null_keys(spark):
+    from flowstore.operators import mutations
+
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (None, "m"), (2, "z")], "k int, v string")
+    assert sorted(map(str, map(tuple, mutations.upsert(old, new, ["k"]).collect()))) == ["(1, 'y')", "(2, 'z')", "(None, 'm')"]
+    assert sorted(map(str, map(tuple, mutations.add(old, new.unionByName(new.where("k = 2").withColumn("v", F.lit("late"))), ["k"]).collect()))) == ["(1, 'a')", "(2, 'z')", "(None, 'n')"]
+    assert sorted(map(str, map(tuple, mutations.update_from(old, new, ["k"]).collect()))) == ["(1, 'y')", "(None, 'n')"]
+    data = spark.createDataFrame([("a", bytearray(range(256)) * 3), ("b", bytearray())], "k string, v binary")
+    assert {r.key: bytes(r.value) for r in mutations.assemble(mutations.chunk(data, "k", "v", 100)).collect()} == {"a": bytes(range(256)) * 3, "b": b""}
+
+
+def test_bulk_changes_name_their_errors(cat, spark):
+    from flowstore.api import BulkError, Session
+
+    cat.register("t", spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int"))
+    s = Session(cat)
+    new = spark.createDataFrame([(2, "x", 0), (3, "y", 0), (3, "z", 0), (None, "n", 0)], "k int, v string, w int")
+    got = s.bulk("t", new, "add")
+    assert sorted((r.k or 0, r.error) for r in got.errors.collect()) == [(0, "null key"), (2, "exists"), (3, "repeated")]
+    assert tuple(got.counts().first()) == (1, 3) and {r.k: r.v for r in cat.read("t").collect()} == {1: "a", 2: "b", 3: "y"}
+    with pytest.raises(BulkError):
+        s.bulk("t", new, "add", "single")
+    assert s.bulk("t", spark.createDataFrame([(1, None, 9), (8, "q", 9)], "k int, v string, w int"), "update", "explicit").table.where("w = 9").first().v == "a"
+    assert cat.read("t").where("w = 9").count() == 0
+    assert {r.k: r.v for r in s.bulk_upsert("t", new).collect()} == {1: "a", 2: "x", 3: "z"}
+    assert [r.k for r in s.bulk_delete("t", new).collect()] == [1]
+    assert s.bulk("t", new.limit(0), "delete").errors.count() == 0
+
+
+def test_phrases():
+    from flowstore.functions.phrases import Phrase, parse_phrase
+
+    assert parse_phrase("kb:Language: Go/page/4 :LLM be short", "KB") == Phrase("Language: Go", "Language/Go", 4, "be short")
+    assert parse_phrase("kb:page:3", "kb") == Phrase("", None, 3)
+    assert parse_phrase("'cold cats'") == Phrase("cold cats")
+    assert parse_phrase("a:llmx page:0") == Phrase("a:llmx page:0", "a/llmx page/0")
+    assert parse_phrase("a\\b", "kb") == Phrase("a\\b", "a/b") and parse_phrase("") == Phrase("")
 
 
 def test_changes_in_scripts(cat):
