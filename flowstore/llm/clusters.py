@@ -560,7 +560,7 @@ def _raw(dim: int):
 
 
 def describe_groups(members: DataFrame, typical: int = 3) -> DataFrame:
-    """(group_id, size, typical): a group's size and its most typical members, the most typical first, ties by smaller id."""
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("typicality"), "vec_id"))
+    """(group_id, size, typical): a group's size and its most typical members, the most typical first to six digits, ties by smaller id."""
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc(F.round("typicality", 6)), "vec_id"))
     top = members.select("group_id", "size", "vec_id", rank.alias("r")).where(F.col("r") <= typical)
     return top.groupBy("group_id").agg(F.first("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("r", "vec_id"))), lambda x: x["vec_id"]).alias("typical"))

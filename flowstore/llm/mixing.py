@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Equal ranges of the random keys; prefix sums are over ranges, and only the range of the cut is sorted.
 RANGES = 4096
+#: Sums of sources and ranges that are broadcast, at most.
+SENT = 1 << 20
 
 
 def source_name(c: Column | str) -> Column:
@@ -59,8 +61,8 @@ def mix_sources(rows: DataFrame, key: str, source: str, size: str, targets: Data
     prefix = sums.withColumn("before", before).join(plan, "source")
     state = F.when(~F.col("extra") | (F.col("before") >= F.col("rest")), "none").when(F.col("before") + F.col("n") <= F.col("rest"), "all").otherwise("cut")
     prefix = prefix.select("source", "range", "rounds", state.alias("state"), (F.col("rest") - F.col("before")).alias("room"))
-    # at most sources x ranges rows, a bound that does not grow with the data
-    joined = picked.join(F.broadcast(prefix), ["source", "range"])
+    # at most sources x ranges rows, a bound that does not grow with the data; broadcast if that is few
+    joined = picked.join(F.broadcast(prefix) if targets.count() * ranges <= SENT else prefix, ["source", "range"])
     flat = joined.where("state <> 'cut'").select("key", "source", "size", (F.col("rounds") + F.when(F.col("state") == "all", 1).otherwise(0)).alias("uses"))
     # unsigned order within a range is signed order, as the top bits agree
     run = F.sum("size").over(Window.partitionBy("source").orderBy("rnd", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowstore.llm.vectors import runs, whole_groups
-from flowstore.plans.tables import cut, drop_cut
+from flowstore.plans.tables import cut
 
 CAPACITY = 2048
 #: Items that one lane packs, and containers at least so full that they are not packed again.
@@ -105,7 +105,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, lane:
     whole = state.where(F.col("size") == capacity).select("key", "piece_no", "size", F.concat(F.lit("f-"), "seq").alias("container"))
     left = state.where(F.col("size") < capacity)
     kind = dict(rows.dtypes)["key"]
-    out, level, lanes, old = whole, 0, None, None
+    out, level, lanes = whole, 0, None
     while True:
         n = left.count()
         if not n:
@@ -122,7 +122,6 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, lane:
         if last:
             return out
         left, level = done.where("not full").select("key", "piece_no", "size", "seq"), level + 1
-        drop_cut(old)
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

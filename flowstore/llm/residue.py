@@ -79,8 +79,8 @@ TRUSTED = tuple(
 _OPENS = re.compile("|".join(f"(?:{o.pattern})" for o, _ in TRUSTED if o), re.I)
 _INSIDE = re.compile("|".join(f"(?:{i.pattern})" for _, i in TRUSTED if i), re.I)
 _NEEDS = re.compile("|".join(re.escape(x) for x in sorted({x for _, needs, _ in PLACEHOLDERS for x in needs})))
-#: Fixed start of what is residue anywhere, in lower case
-_HINTS = ("lorem", "durch", "<nosc", "(")
+#: Something that every form of residue anywhere has
+_HINTS = re.compile(r"lorem|durch|<nosc|\(", re.I)
 
 _IDENT = re.compile(r"\b[a-z]+(?:[_.-](?:[a-z]+|\d+))+\b", re.I)
 _HEX = re.compile(r"\b0x[0-9a-f]+\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", re.I)
@@ -122,8 +122,7 @@ def placeholder_marks(passage: str) -> list[str]:
 
 def trusted_forms(passage: str) -> list[int]:
     """The trusted forms that a passage has."""
-    low = passage.lower()
-    if not _OPENS.match(passage) and not (any(h in low for h in _HINTS) and _INSIDE.search(passage)):
+    if not _OPENS.match(passage) and not (_HINTS.search(passage) and _INSIDE.search(passage)):
         return []
     return [k for k, (opens, inside) in enumerate(TRUSTED) if (opens and opens.match(passage)) or (inside and inside.search(passage))]
 
@@ -137,7 +136,6 @@ def trusted(passage: str) -> bool:
 _PARTS = (("e", -2, None), ("f", -3, None), ("b", 0, 3))
 _WORD = re.compile(r"⟦\w+⟧|[^\W\d_]+|\d+|[^\w\s]")
 _DIGIT = re.compile(r"\d")
-_JOINED = re.compile(r"[a-z][_.-][a-z0-9]", re.I)
 _HELD = {f"⟦{mark}⟧" for mark, _, _ in PLACEHOLDERS}
 
 
@@ -170,7 +168,7 @@ def features(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
                     passage, n = form.subn(f" ⟦{mark}⟧ ", passage)
                     if n:
                         marks.append(f"m:{mark}")
-        if _JOINED.search(passage):
+        if "_" in passage or "-" in passage or "." in passage[:-1]:
             passage = _IDENT.sub(" ⟦name⟧ ", passage)
         if _DIGIT.search(passage):
             passage = _HEX.sub(" ⟦hex⟧ ", passage)
