@@ -484,69 +484,188 @@ def _cosine_to(dim: int):
     return step
 
 
-def _fit_all(dim: int, chunk):
-    """(id, fits): whether each vector of the chunk is close to all rows of its component in a batch."""
+def _near(data, least: float) -> Iterator:
+    """For batches (component, id, v, ...): each batch's columns, the chunk's arrays of one component, which rows of the batch are its own, and what is near what."""
+    names, ids, raw, *more = data
+    x = unit(raw) if len(raw) else raw
+
+    def step(b: pa.RecordBatch, dim: int):
+        own, v = b.column(0).to_numpy(), unit(bytes_matrix(b.column(2), 4 * dim).view(np.float32))
+        for c in np.intersect1d(own, names):
+            at, rows = np.flatnonzero(names == c), np.flatnonzero(own == c)
+            for s in range(0, len(rows), 1000):
+                part = rows[s : s + 1000]
+                yield at, part, v[part] @ x[at].T
+
+    return step
+
+
+def _degrees(data, dim: int, least: float):
+    """(id, n): how many rows of the chunk each row is similar to, itself among them."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        components, ids, raw, least = chunk.value
-        x = unit(raw)
+        near = _near(data.value, least)
         for b in batches:
-            own, v = b.column(0).to_numpy(), unit(bytes_matrix(b.column(2), 4 * dim).view(np.float32))
-            for c in np.unique(own):
-                at, rows = np.flatnonzero(components == c), v[own == c]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array((x[at] @ rows.T).min(1) >= least)], ["id", "fits"])
+            if b.num_rows:
+                for _, rows, c in near(b, dim):
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows)), pa.array((c >= least - 1e-12).sum(1))], ["id", "n"])
 
     return step
 
 
-def _giant_groups(rows: DataFrame, dim: int, least: float, giant: int, rounds: int = 6) -> DataFrame:
-    """Groups of components too large for one task.
+def _best_near(data, dim: int, least: float):
+    """(id, n, low): of the rows of the chunk that a row is similar to the greatest n, of equal ones the smallest low."""
 
-    A round takes the mean direction of each component (sums of batches are added up). Its
-    cone of half the limit's angle is a core in which any two rows are similar. The other
-    rows join where they are similar to the whole core, which is scanned against blocks of
-    them, and to those that joined before. What is left is small enough for one task, or
-    goes into the next round. Only what is still that large after `rounds` rounds, loose
-    chains of many groups, is split in a task of its own.
-    """
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, low = data.value[3:]
+        near = _near(data.value, least)
+        for b in batches:
+            if b.num_rows:
+                for at, rows, c in near(b, dim):
+                    close = c >= least - 1e-12
+                    most = np.where(close, n[at], -1).max(1)
+                    least_id = np.where(close & (n[at] == most[:, None]), low[at], np.iinfo(np.int64).max).min(1)
+                    some = most >= 0
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows[some])), pa.array(most[some]), pa.array(least_id[some])], ["id", "n", "low"])
+
+    return step
+
+
+def _joined(data, dim: int, least: float):
+    """(component, id, v, c): the rows similar to a medoid of the chunk, under its id, with their cosine to it."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = data.value[1]
+        near = _near(data.value, least)
+        for b in batches:
+            if b.num_rows:
+                for at, rows, c in near(b, dim):
+                    i, j = np.nonzero(c >= least - 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[j]]), b.column(1).take(pa.array(rows[i])), b.column(2).take(pa.array(rows[i])), pa.array(c[i, j])], ["component", "id", "v", "c"])
+
+    return step
+
+
+def _in_chunks(rows: DataFrame, chunk_of: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """The results of `make(chunk)` over all rows for every chunk of about CHUNK rows of chunk_of (component, id, v and the columns). Each chunk is broadcast, used and dropped."""
     spark, out = rows.sparkSession, None
+    blocks = max(1, -(-2 * chunk_of.count() // CHUNK))
+    for k in range(blocks):
+        block = chunk_of.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("component", "id", "v", *columns).toArrow().combine_chunks()
+        raw = bytes_matrix(block.column("v"), -1).view(np.float32)
+        data = spark.sparkContext.broadcast((block.column("component").to_numpy(), block.column("id").to_numpy(), raw, *(block.column(c).to_numpy() for c in columns)))
+        part = cut(rows.mapInArrow(make(data), schema))
+        data.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def fitting(v: np.ndarray, c: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
+    """The rows similar to one medoid that join its group: in order of c, their cosine to it, each where it fits all before. Those within half the limit's angle fit each other."""
+    order = np.lexsort((ids, -c))
     cone = math.sqrt((1 + least) / 2)
-    for _ in range(rounds):
-        sums = rows.select("component", "id", "v").mapInArrow(_sums(dim), "component long, n long, s binary")
-        means = sums.select("component", "s").repartition("component").sortWithinPartitions("component").mapInArrow(_total(dim), "component long, s binary")
-        measured = cut(rows.join(means, "component").select("component", "id", "v", "s").mapInArrow(_cosine_to(dim), "component long, id long, v binary, c double"))
-        core, rest = measured.where(F.col("c") >= cone), measured.where(F.col("c") < cone)
-        joined: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-        blocks = max(1, -(-2 * rest.count() // CHUNK))
-        for k in range(blocks):
-            block = rest.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("component", "id", "v").toArrow()
-            if not block.num_rows:
-                continue
-            order = np.argsort(block.column("id").to_numpy(), kind="stable")
-            raw = bytes_matrix(block.column("v"), 4 * dim).view(np.float32)[order]
-            own, ids = block.column("component").to_numpy()[order], block.column("id").to_numpy()[order]
-            chunk = spark.sparkContext.broadcast((own, ids, raw, least))
-            verdict = core.select("component", "id", "v").mapInArrow(_fit_all(dim, chunk), "id long, fits boolean").groupBy("id").agg(F.min("fits").alias("fits"))
-            fits = np.isin(ids, [r.id for r in verdict.where("fits").collect()])
-            x = unit(raw)
-            for i in np.flatnonzero(fits):  # each fits all that joined before it
-                with_it = joined.setdefault(int(own[i]), ([], []))
-                if not with_it[0] or (np.stack(with_it[1]) @ x[i]).min() >= least:
-                    with_it[0].append(int(ids[i]))
-                    with_it[1].append(x[i])
-        late = spark.createDataFrame([(i,) for many, _ in joined.values() for i in many], "id long")
-        kept = core.select("component", "id", "c").unionByName(rest.join(late, "id", "left_semi").select("component", "id", "c"))
-        named = kept.groupBy("component").agg(F.min("id").alias("group_id"), F.count("*").alias("size")).where("size > 1")
-        part = kept.join(named, "component").select(F.col("id").alias("vec_id"), "group_id", "size", F.col("c").alias("typicality"))
+    core = int((c >= cone).sum())
+    kept = order[:core].tolist()
+    rest = order[core:]
+    if core:
+        fits = np.ones(len(rest), bool)
+        for s in range(0, core, 4000):
+            fits &= (v[rest] @ v[order[s : min(s + 4000, core)]].T >= least - 1e-12).all(1)
+        rest = rest[fits]
+    late: list[int] = []
+    for i in rest.tolist():
+        if not late or (v[late] @ v[i] >= least - 1e-12).all():
+            late.append(i)
+    return np.array(kept + late, np.int64)
+
+
+def _fitted(dim: int, least: float):
+    """(vec_id, group_id, size, typicality) of the groups of medoids whose similar rows are in one task."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "component"):
+            ids, c = t.column("id").to_numpy(), t.column("c").to_numpy()
+            raw = bytes_matrix(t.column("v"), 4 * dim).view(np.float32)
+            for s, e in runs(t.column("component").to_numpy()):
+                v = unit(raw[s:e])
+                at = fitting(v, c[s:e], ids[s:e], least)
+                own, middle = ids[s:e][at], v[at].mean(0)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(at), own.min())), pa.array(np.full(len(at), len(at))), pa.array(v[at] @ middle / max(np.linalg.norm(middle), 1e-300))], ["vec_id", "group_id", "size", "typicality"])
+
+    return step
+
+
+def _fit_all(data, dim: int, least: float):
+    """(id, bad): the rows of the chunk that some row of their group in a batch is not similar to."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = data.value[1]
+        near = _near(data.value, least)
+        for b in batches:
+            bad = [ids[at[(c < least - 1e-12).any(0)]] for at, _, c in near(b, dim)] if b.num_rows else []
+            if bad:
+                bad = np.unique(np.concatenate(bad))
+                yield pa.RecordBatch.from_arrays([pa.array(bad)], ["id"])
+
+    return step
+
+
+def _large_group(rows: DataFrame, dim: int, least: float) -> DataFrame:
+    """Groups of medoids with too many similar rows (component, id, v, c) for one task, by the rule of `fitting`.
+
+    The core, within half the limit's angle of the medoid, is not moved; the others are
+    checked against it in chunks, and only those that fit all of it meet in one task.
+    """
+    core = rows.where(F.col("c") >= math.sqrt((1 + least) / 2))
+    rest = cut(rows.where(F.col("c") < math.sqrt((1 + least) / 2)))
+    bad = _in_chunks(core.select("component", "id", "v"), rest, [], lambda data: _fit_all(data, dim, least), "id long").distinct()
+    good = rest.join(bad, "id", "left_anti")
+    late = good.select("component", "id", "v", "c").repartition("component").sortWithinPartitions("component").mapInArrow(_fitted(dim, least), _OUT).select(F.col("vec_id").alias("id"))
+    kept = cut(core.unionByName(rest.join(late, "id", "left_semi")).select("component", "id", "v"))
+    sums = kept.mapInArrow(_sums(dim), "component long, n long, s binary")
+    means = sums.select("component", "s").repartition("component").sortWithinPartitions("component").mapInArrow(_total(dim), "component long, s binary")
+    named = kept.groupBy("component").agg(F.min("id").alias("group_id"), F.count("*").alias("size"))
+    measured = kept.join(means, "component").select("component", "id", "v", "s").mapInArrow(_cosine_to(dim), "component long, id long, v binary, c double")
+    return measured.join(named, "component").select(F.col("id").alias("vec_id"), "group_id", "size", F.col("c").alias("typicality"))
+
+
+def _giant_groups(rows: DataFrame, dim: int, least: float, giant: int) -> DataFrame:
+    """Groups of components too large for one task, the same as `cliques` gives.
+
+    A round counts the degree of every row by products of blocks. A row of the highest
+    degree (of equal ones the smallest id) among all rows up to two steps from it is a
+    medoid before any of these is, whatever is taken out elsewhere, so all such rows are
+    medoids at once; what is similar to one is similar to no other. Their groups are taken
+    out, and what is left goes into the next round, or into a task where that is enough.
+    Each round costs the square of a component's rows, spread over all tasks: that is what
+    exact degrees take. Rows without a similar one leave at once.
+    """
+    out = None
+    while True:
+        plain = rows.select("component", "id", "v")
+        degree = _in_chunks(plain, rows, [], lambda data: _degrees(data, dim, least), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 1")
+        ranked = cut(plain.join(degree, "id").select("component", "id", "v", "n", F.col("id").alias("low")))
+        around = ranked
+        for _ in range(2):
+            best = _in_chunks(ranked.select("component", "id", "v"), around, ["n", "low"], lambda data: _best_near(data, dim, least), "id long, n long, low long")
+            best = best.groupBy("id").agg(F.max(F.struct("n", (-F.col("low")).alias("low"))).alias("m")).select("id", "m.n", (-F.col("m.low")).alias("low"))
+            around = cut(ranked.select("component", "id", "v").join(best, "id"))
+        medoids = around.where("low = id").select("component", "id", "v")
+        joined = cut(_in_chunks(ranked.select("component", "id", "v"), medoids, [], lambda data: _joined(data, dim, least), "component long, id long, v binary, c double"))
+        sizes = joined.groupBy("component").count()
+        small = joined.join(sizes.where(F.col("count") <= giant), "component", "left_semi")
+        part = small.select("component", "id", "v", "c").repartition("component").sortWithinPartitions("component").mapInArrow(_fitted(dim, least), _OUT)
+        large = joined.join(sizes.where(F.col("count") > giant), "component", "left_semi")
+        if not large.isEmpty():
+            part = part.unionByName(_large_group(large, dim, least))
+        part = cut(part)
         out = part if out is None else out.unionByName(part)
-        left = cut(rest.join(late, "id", "left_anti").select("component", "id", "v"))
+        left = cut(ranked.select("component", "id", "v").join(part.select(F.col("vec_id").alias("id")), "id", "left_anti"))
         sizes = left.groupBy("component").count()
         out = out.unionByName(_in_tasks(left.join(sizes.where(F.col("count") <= giant), "component", "left_semi"), dim, least))
         rows = cut(left.join(sizes.where(F.col("count") > giant), "component", "left_semi"))
         if rows.isEmpty():
             return out
-    return out.unionByName(_in_tasks(rows, dim, least))
 
 
 def _raw(dim: int):

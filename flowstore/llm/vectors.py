@@ -50,12 +50,12 @@ def fixed(rows: np.ndarray) -> pa.Array:
 
 
 def bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """The inverse of `fixed`."""
+    """The inverse of `fixed`. A width of -1 is that of the rows."""
     if not len(column):
-        return np.empty((0, width), np.uint8)
+        return np.empty((0, max(0, width)), np.uint8)
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
-    return np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+    return np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(a), -1)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000, shift: int = 0) -> Iterator[pa.Table]:
