@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowstore.llm.vectors import DIM, bytes_matrix, exploded, fixed, packed, runs, unit, usable, whole_groups
+from flowstore.plans.tables import cut
 
 K, MIN_COSINE = 5, 0.80
 #: Rows of the sample that fits the index, at most; vectors a cell; most cells for each row of the sample.
@@ -24,8 +25,10 @@ SAMPLE, CELL, SAMPLE_A_CELL = 65_536, 200, 8
 SPILL = 4
 #: Rows of a cell that one task compares with as many; larger cells are split, and every pair of the parts compared.
 BLOCK = 16_000
-#: Share of a block of pairs from which candidates are reranked by one product, not pair by pair.
-DENSE = 0.02
+#: Rows of a cell that are compared with each other; a larger one has cells of its own of about INNER rows, fitted on its rows where it is searched.
+WITHIN, INNER = 4_000, 400
+#: Deviations of the tables' error within which candidates are reranked; pairs of the sample that it is measured on.
+SLACK, MEASURED = 2.5, 20_000
 #: Weight of the parallel error, entries of a table (4 bits), rows that fit the tables, rounds of fitting.
 PARALLEL, ENTRIES, FIT, ROUNDS = 8.0, 16, 8_192, 3
 
@@ -118,15 +121,32 @@ def fit_tables(x: np.ndarray, residual: np.ndarray, seed: int = 4) -> np.ndarray
     return tables
 
 
-def _index(sample: np.ndarray, n: int) -> dict:
+def table_error(x: np.ndarray, shown: np.ndarray, cell: np.ndarray, least: float) -> float:
+    """The deviation of the tables' scores from the true ones, over pairs of rows of one cell that are nearly as similar as neighbours, or else the most similar of those there are."""
+    order = np.argsort(cell, kind="stable")
+    step = 1 + np.random.default_rng(8).integers(0, 8, (len(order), max(1, MEASURED // max(len(order), 1))))
+    a = np.repeat(order, step.shape[1])
+    b = order[(np.arange(len(order))[:, None] + step).ravel() % len(order)]
+    a, b = a[a != b], b[a != b]
+    if not len(a):
+        return 0.05
+    true = np.einsum("ij,ij->i", x[a], x[b])
+    error = true - np.einsum("ij,ij->i", x[a], shown[b])
+    near = true >= min(least - 0.15, np.sort(true)[-min(len(true), 100)])
+    return float(np.sqrt((error[near] ** 2).mean()))
+
+
+def _index(sample: np.ndarray, n: int, least: float) -> dict:
     k = int(np.clip(n // CELL, 1, max(1, len(sample) // SAMPLE_A_CELL)))
     x = unit(sample).astype(np.float32)
     centres = spherical_kmeans(x, k)
     own, _ = nearest(x, centres, SPILL)
     part = np.random.default_rng(6).permutation(len(x))[:FIT]
-    tables = fit_tables(x[part], x[part] - centres[own[part, 0]])
+    residual = x[part] - centres[own[part, 0]]
+    tables = fit_tables(x[part], residual)
+    shown = decode(encode(x[part], residual, tables), tables) + centres[own[part, 0]]
     share = np.bincount(own.ravel(), minlength=k) / len(x)
-    return {"centres": centres, "tables": tables, "parts": np.maximum(1, np.ceil(share * n / BLOCK)).astype(np.int64)}
+    return {"centres": centres, "tables": tables, "slack": SLACK * table_error(x[part], shown, own[part, 0], least), "parts": np.maximum(1, np.ceil(share * n / BLOCK)).astype(np.int64)}
 
 
 def _store(index, dim: int):
@@ -137,9 +157,9 @@ def _store(index, dim: int):
         centres, tables, parts = it["centres"], it["tables"], it["parts"]
         first = np.concatenate([[0], np.cumsum(parts * (parts + 1) // 2)])
         for b in batches:
-            ids, raw = usable(b, dim)
-            if not len(ids):
+            if not b.num_rows:
                 continue
+            ids, raw = b.column(0).to_numpy(), bytes_matrix(b.column(1), 4 * dim).view(np.float32)
             x = unit(raw).astype(np.float32)
             cells, _ = nearest(x, centres, SPILL)
             for j in range(cells.shape[1]):
@@ -157,61 +177,73 @@ def _store(index, dim: int):
     return step
 
 
-def best_within(ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_within(ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, score) of the k best of each row by exact cosine of at least `least`, ties by smaller id.
 
     x: unit rows in float64; shown: what their codes decode to. The tables' scores of all
-    rows are a matrix product with `shown`. What they put within the error of the tables
-    of the k-th best score, or of `least`, is scored exactly. Rows of two parts are only
-    compared across them.
+    rows are a matrix product with `shown`. What they put within `slack` of the k-th best
+    score, or of `least`, is scored again by a product with the vectors themselves, and
+    what ties with the k-th best at its precision once more in float64. Rows of two parts
+    are only compared across them.
     """
     n = len(ids)
     wide = x.astype(np.float32)
-    # errors of the scores, from the pairs that matter: each row with rows of similar content
-    rng = np.random.default_rng(8)
-    a, b = rng.integers(0, n, (2, 400))
-    s = np.einsum("ij,ij->i", x[a], x[b])
-    err = np.abs(s - np.einsum("ij,ij->i", wide[a], shown[b]))[s >= least - 0.15]
-    slack = 2.5 * float(np.sqrt((err**2).mean())) if len(err) > 20 else 0.05
     across = part.min() != part.max()
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    kth = lambda scores: np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -2, np.float32)
     for at in range(0, n, 500):
         rows = np.arange(at, min(at + 500, n))
         table = wide[rows] @ shown.T
         table[np.arange(len(rows)), rows] = -2
         if across:
             table[part[rows][:, None] == part] = -2
-        floor = np.full(len(rows), least - slack, np.float32)
-        many = np.flatnonzero((table >= (least - slack)).sum(1) > 4 * k)
-        if len(many) and n > k:
-            kth = np.partition(table[many], n - k, axis=1)[:, n - k]
-            floor[many] = np.maximum(floor[many], kth - 2 * slack)
-        close = table >= floor[:, None]
-        if np.count_nonzero(close) > DENSE * close.size:
-            # reranked as one product; only what ties with the k-th best at its precision is scored again
-            score = wide[rows] @ wide.T
-            score[~close] = -2
-            kth = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), least, np.float32)
-            close = score >= np.maximum(kth, least)[:, None] - 1e-5
-        i, j = np.divmod(np.flatnonzero(close), n)
+        close = table >= np.maximum(kth(table) - 2 * slack, least - slack)[:, None]
+        columns = np.flatnonzero(close.any(0))
+        if not len(columns):
+            continue
+        score = np.full(table.shape, -2, np.float32)
+        score[:, columns] = np.where(close[:, columns], wide[rows] @ wide[columns].T, -2)
+        i, j = np.divmod(np.flatnonzero(score >= np.maximum(kth(score), least)[:, None] - 1e-5), n)
         if not len(i):
             continue
         exact = np.concatenate([np.einsum("ij,ij->i", x[rows[i[c : c + 100_000]]], x[j[c : c + 100_000]]) for c in range(0, len(i), 100_000)])
         exact = np.round(exact, 10)  # equal vectors have equal scores
         keep = (exact >= least) & (ids[rows[i]] != ids[j])
-        i, j, exact = i[keep], j[keep], exact[keep]
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        if not len(i):
-            continue
-        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], np.arange(len(i)), 0))
-        top = rank < k
-        got.append((ids[rows[i[top]]], ids[j[top]], exact[top]))
+        got.append(_first(ids[rows[i[keep]]], ids[j[keep]], exact[keep], k))
     if not got:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*got))
 
 
+def _first(own: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best different neighbours of each id, ties by smaller id."""
+    order = np.lexsort((other, -score, own))
+    own, other, score = own[order], other[order], score[order]
+    new = np.r_[True, (own[1:] != own[:-1]) | (other[1:] != other[:-1])] if len(own) else np.empty(0, bool)
+    own, other, score = own[new], other[new], score[new]
+    first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.empty(0, bool)
+    top = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0)) < k
+    return own[top], other[top], score[top]
+
+
+def best_in_cell(ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`best_within` of a cell of any size: a large one is divided once, into cells of about INNER rows, and each row compared in its SPILL nearest."""
+    n = len(ids)
+    if n <= WITHIN:
+        return best_within(ids, x, shown, part, k, least, slack)
+    wide, cells = x.astype(np.float32), n // INNER
+    few = np.random.default_rng(9).permutation(n)[: 32 * cells]
+    own, _ = nearest(wide, spherical_kmeans(wide[few], cells, 5), SPILL)
+    row = np.tile(np.arange(n), own.shape[1])
+    order = np.argsort(own.T.ravel(), kind="stable")
+    row = row[order]
+    got = []
+    for s, e in runs(own.T.ravel()[order]):
+        at = row[s:e]
+        got.append(best_within(ids[at], x[at], shown[at], part[at], k, least, slack))
+    return _first(*(np.concatenate(c) for c in zip(*got)), k)
+
+
 def _search(index, dim: int, k: int, least: float):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = index.value
@@ -227,7 +259,7 @@ def _search(index, dim: int, k: int, least: float):
                 codes = np.empty((e - s, dim // 2), np.uint8)
                 codes[:, 0::2], codes[:, 1::2] = halves[s:e] & 15, halves[s:e] >> 4
                 shown = decode(codes, it["tables"]) + it["centres"][cells[s]]
-                out.append(best_within(ids[s:e], unit(raw[s:e]), shown, parts[s:e], k, least))
+                out.append(best_in_cell(ids[s:e], unit(raw[s:e]), shown, parts[s:e], k, least, it["slack"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "neighbour", "score"])
 
@@ -255,7 +287,8 @@ def nearest_neighbours(sources: list[tuple[DataFrame, str, str]], k: int = K, le
     columns are ignored.
 
     The index is fitted on a hash sample of about `sample` vectors, and all are stored in
-    it. What the driver gets and broadcasts is bounded by `sample`, not by the rows. A
+    it, but for copies beyond the k + 1 of smallest ids, which can be no one's neighbours and
+    find what these find. What the driver gets and broadcasts is bounded by `sample`, not by the rows. A
     cell that the sample shows to hold more than BLOCK rows is split, and its parts are
     compared pair by pair in tasks of their own.
     """
@@ -264,18 +297,43 @@ def nearest_neighbours(sources: list[tuple[DataFrame, str, str]], k: int = K, le
     for df, ids, vectors in sources:
         one = exploded(df, ids, vectors)
         every = one if every is None else every.unionByName(one)
+    every = every.mapInArrow(_raw(dim), "id long, v binary")
+    kept, crowd = _thinned(every, k)
     n = sum(df.select(F.sum(F.coalesce(F.size(F.col(f"`{ids}`")), F.lit(0)))).first()[0] or 0 for df, ids, _ in sources)
     buckets = 1 << 30
-    chosen = every.where(F.pmod(F.xxhash64("id"), F.lit(buckets)) < int(min(1.0, sample / max(n, 1)) * buckets))
-    got = chosen.mapInArrow(_raw(dim), "id long, v binary").toArrow()
+    chosen = kept.where(F.pmod(F.xxhash64("id"), F.lit(buckets)) < int(min(1.0, sample / max(n, 1)) * buckets))
+    got = chosen.select("id", "v").toArrow()
     out = "id long, neighbour long, score double"
     if not got.num_rows:
         return spark.createDataFrame([], "id long, neighbours array<struct<score:double,id:long>>")
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
-    index = spark.sparkContext.broadcast(_index(bytes_matrix(got.column("v"), 4 * dim).view(np.float32)[order], n))
-    stored = every.mapInArrow(_store(index, dim), "task long, cell long, part long, id long, v binary, codes binary")
+    index = spark.sparkContext.broadcast(_index(bytes_matrix(got.column("v"), 4 * dim).view(np.float32)[order], n, least))
+    stored = kept.select("id", "v").mapInArrow(_store(index, dim), "task long, cell long, part long, id long, v binary, codes binary")
     found = stored.repartition("task").sortWithinPartitions("task").mapInArrow(_search(index, dim, k, least), out)
     # at most k for each of SPILL cells (and pairs of parts) meet under an id
     merged = found.groupBy("id").agg(F.collect_set(F.struct((-F.col("score")).alias("worse"), "neighbour")).alias("all"))
-    best = F.slice(F.array_sort("all"), 1, k)
-    return merged.select("id", F.transform(best, lambda x: F.struct((-x["worse"]).alias("score"), x["neighbour"].alias("id"))).alias("neighbours"))
+    best = merged.select("id", F.slice(F.array_sort("all"), 1, k).alias("best"))
+    if crowd is not None:
+        # what a copy that is not in the index finds is what its first copy finds, and that one
+        first = best.withColumnRenamed("id", "first")
+        own = F.array(F.struct(F.lit(-1.0).alias("worse"), F.col("first").alias("neighbour")))
+        rest = crowd.join(first, "first", "left").select("id", F.slice(F.array_sort(F.concat(own, F.coalesce("best", F.array().cast(best.schema["best"].dataType)))), 1, k).alias("best"))
+        best = best.unionByName(rest)
+    return best.select("id", F.transform("best", lambda x: F.struct((-x["worse"]).alias("score"), x["neighbour"].alias("id"))).alias("neighbours"))
+
+
+def _thinned(every: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """(id, v) without copies that no neighbours can be: those beyond the k + 1 smallest ids of equal vectors; and these copies (id, first), or None if there are none.
+
+    Counts are combined before the shuffle, and so are ranks, as only the first ones are kept.
+    """
+    hashed = every.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v")})
+    many = hashed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > k + 1)
+    many = cut(many.select("a", "b", "first"))
+    if many.isEmpty():
+        return every, None
+    copies = cut(hashed.select("id", "a", "b").join(many, ["a", "b"]))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))
+    stay = copies.withColumn("r", rank).where(F.col("r") <= k + 1).select("a", "b", "id")
+    crowd = cut(copies.join(stay, ["a", "b", "id"], "left_anti").select("id", "first"))
+    return every.join(crowd.select("id"), "id", "left_anti"), crowd

@@ -53,20 +53,21 @@ def test_groups_of_copies_unusable_and_repeated(spark):
     assert clusters.similarity_groups(nulls, "ids", "vs").count() == 0
 
 
-@pytest.mark.parametrize("chunk", [7, 20_000])
-def test_giant_components_are_split_in_blocks(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "giant"), [(40, 60), (20_000, 60), (200, 20)])
+def test_giant_components_have_the_same_groups(spark, monkeypatch, chunk, giant):
+    """A loose chain, a group with rows outside of its cone, and planted groups: split over tasks they come out as in one."""
     monkeypatch.setattr(clusters, "CHUNK", chunk)
-    v, g = planted(3, (2, 60, 90), 50)
-    # a group with rows outside of its cone, and a chain of two groups
     rng = np.random.default_rng(4)
-    c = np.eye(DIM)[5]
-    wide = np.array([c + 0.0 * c, *(c + 0.35 * w / np.linalg.norm(w) for w in rng.normal(size=(40, DIM)))])
-    rows = np.concatenate([v, wide.astype(np.float32)])
-    exact = {r.vec_id: r.group_id for r in clusters.similarity_groups(table(spark, rows), "ids", "vs").collect()}
-    got = {r.vec_id: r.group_id for r in clusters.similarity_groups(table(spark, rows), "ids", "vs", giant=20).collect()}
-    assert got == exact
-    left = [i for i in range(len(v)) if g[i] >= 0]
-    assert set(left) <= set(got)
+    v, _ = planted(3, (2, 60, 90), 30)
+    turn = np.cumsum(rng.uniform(0.02, 0.2, 180))
+    chain = np.zeros((180, DIM))
+    chain[np.arange(180), (turn // (np.pi / 2)).astype(int)] = np.cos(turn % (np.pi / 2))
+    chain[np.arange(180), (turn // (np.pi / 2)).astype(int) + 1] = np.sin(turn % (np.pi / 2))
+    wide = np.eye(DIM)[50] + 0.45 * unit(rng.normal(size=(80, DIM)))
+    rows = np.concatenate([v, chain, chain[:3], wide]).astype(np.float32)
+    get = lambda **how: {r.vec_id: (r.group_id, r["size"], round(r.typicality, 9)) for r in clusters.similarity_groups(table(spark, rows), "ids", "vs", **how).collect()}
+    got, exact = get(giant=giant), get()
+    assert got == exact and len(got) > 350
 
 
 def test_typical_members_and_ties(spark):
@@ -228,6 +229,27 @@ def test_large_cells_are_split_and_nothing_is_lost(spark, monkeypatch):
     assert hits >= 0.98 * sum(map(len, want.values()))
 
 
+def test_large_cells_are_divided_where_they_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WITHIN", 150)
+    monkeypatch.setattr(neighbours, "INNER", 15)
+    monkeypatch.setattr(neighbours, "CELL", 5000)
+    v, _ = planted(7, (150, 20, 9, 2), 400, 0.05)
+    ids = list(range(len(v)))
+    got = {r.id: [n.id for n in r.neighbours] for r in neighbours.nearest_neighbours([(table(spark, v), "ids", "vs")]).collect()}
+    want = brute_neighbours(v, ids)
+    assert sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) >= 0.97 * sum(map(len, want.values()))
+
+
+def test_many_copies_find_what_few_would(spark):
+    v, _ = planted(9, (6, 3), 60, 0.03)
+    rows = np.concatenate([v, np.tile(v[:1], (40, 1)), np.tile(v[1:2], (7, 1))]).astype(np.float32)
+    ids = [int(i) for i in np.random.default_rng(4).permutation(len(rows))]
+    kept, crowd = neighbours._thinned(spark.createDataFrame([(i, bytes(x.tobytes())) for i, x in zip(ids, rows)], "id long, v binary"), 5)
+    assert kept.count() == len(v) - 2 + 6 + 6 and crowd.count() == 35 + 2
+    got = {r.id: [n.id for n in r.neighbours] for r in neighbours.nearest_neighbours([(table(spark, rows, ids), "ids", "vs")]).collect()}
+    assert got == brute_neighbours(rows, ids)
+
+
 def test_anisotropic_codes_favour_the_parallel_part():
     rng = np.random.default_rng(2)
     x = unit(rng.normal(size=(2000, DIM))).astype(np.float32)
