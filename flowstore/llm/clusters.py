@@ -336,9 +336,9 @@ def _linked(width: int, leads: int):
     return step
 
 
-def _links(rows: DataFrame, width: int, leads: int, cell: int) -> DataFrame:
-    """(src, dst, sure) links within all cells of (id, tokens, leads)."""
-    more, out = width * leads, None
+def _links(rows: DataFrame, width: int, leads: int, cell: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(src, dst, sure) links within all cells of (id, tokens, leads), and the tables that hold them."""
+    more, out, held = width * leads, None, []
     divided, base = False, rows
     for last in (False, True):
         columns = ["id", "tokens", "leads", "cell"] if divided else ["id", "tokens", "leads"]
@@ -348,11 +348,13 @@ def _links(rows: DataFrame, width: int, leads: int, cell: int) -> DataFrame:
         sent = base.select(*columns).mapInArrow(_sent(width, more, divided, parts), "cell long, part long, parts long, ids binary, tokens binary")
         found = cut(sent.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_linked(width, leads), "id long, dst long, sure boolean, cell long"))
         links = found.where("dst is not null").select(F.col("id").alias("src"), "dst", "sure")
+        held.append(found)
         out = links if out is None else out.unionByName(links)
         if not parts:
-            return out
+            return out, held
         base, divided = cut(rows.select("id", "tokens", "leads").join(found.where("cell is not null").select("id", "cell").distinct(), "id")), True
-    return out
+        held.append(base)
+    return out, held
 
 
 def _close(dim: int, least: float):
@@ -420,7 +422,10 @@ def similarity_groups(df: DataFrame, ids: str, vectors: str, dim: int = DIM, lea
     twins = cut(named.join(firsts, ["a", "b"]).where("id <> first"))
     folded = sets if twins.isEmpty() else hashed.join(twins, ["id", "a", "b"], "left_anti")
     carried = source.mapInArrow(_raw(dim), "id long, v binary")
-    links = cut(_links(folded, width, leads, cell).groupBy("src", "dst").agg(F.max("sure").alias("sure")))
+    found, held = _links(folded, width, leads, cell)
+    links = cut(found.groupBy("src", "dst").agg(F.max("sure").alias("sure")))
+    for table in [*held, sets]:
+        drop_cut(table)
     # few pairs of similar vectors, but of unrelated ones more than rows in large tables: they would tie all to one component
     loose = links.where("not sure").select("src", "dst").join(carried.toDF("src", "v").hint("merge"), "src").join(carried.toDF("dst", "w").hint("merge"), "dst")
     close = loose.select("src", "dst", "v", "w").mapInArrow(_close(dim, least), "src long, dst long")
@@ -429,6 +434,8 @@ def similarity_groups(df: DataFrame, ids: str, vectors: str, dim: int = DIM, lea
     placed = twins.join(joined.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     alone = twins.select(F.col("first").alias("id"), F.col("first").alias("component")).distinct().join(joined, "id", "left_anti")
     member = cut(joined.unionByName(placed).unionByName(alone))
+    drop_cut(links)
+    drop_cut(twins)
     # merged at any size: the members grow with the vectors
     rows = carried.join(member.hint("merge"), "id").select("component", "id", "v")
     giants = cut(member.groupBy("component").count().where(F.col("count") > giant).select("component"))
