@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowstore.functions.names import find, prefixed, quoted, resolve
 from flowstore.functions.projections import project, sort_keys
+from flowstore.plans.tables import cut
 from flowstore.sources.catalog import Relation, StoreMeta
 
 TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti", "outer": "full", "left_semi": "left_semi", "left_anti": "left_anti"}
@@ -110,6 +111,39 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, rig
     return carried.select(*[quoted(c) for c in left.columns], *[F.col("__last").getField(c).alias(f"asof_{c}") for c in kept])
 
 
+def within(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, start: str, end: str, columns: Sequence[str], how: str = "inner", unit: float = 1.0) -> DataFrame:
+    """Every left row with `columns` of each right row of the same `by` with start <= at < end; how is inner, or left, which keeps rows that are in none.
+
+    at, start and end are numbers, dates or timestamps (then unit is seconds). An interval
+    has a level by its length, bins of `unit` times a power of two, of which it meets two at
+    most, whatever its length; a left row looks into one bin of each level there
+    is, of which there are at most 64 for lengths from unit on. So both sides are joined on
+    equal keys, and no pair is made that is not in one bin. Empty and null intervals, and
+    a null at, match nothing.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"no {how!r} join within intervals")
+
+    def number(df: DataFrame, c: str) -> Column:
+        return quoted(c).cast("timestamp").cast("double") if dict(df.dtypes)[c].startswith(("date", "timestamp")) else quoted(c).cast("double")
+
+    keys = [f"__b{i}" for i in range(len(by))]
+    held = [quoted(b).alias(k) for b, k in zip(by, keys)]
+    spans = right.where(quoted(start) < quoted(end)).select(*held, number(right, start).alias("__s"), number(right, end).alias("__e"), F.struct(*[quoted(c) for c in columns]).alias("__got"))
+    spans = spans.withColumn("__level", F.greatest(F.lit(0), F.ceil(F.log2((F.col("__e") - F.col("__s")) / unit))).cast("int"))
+    width = F.lit(float(unit)) * F.pow(F.lit(2.0), F.col("__level"))
+    bins = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__s") / width), F.floor(F.col("__e") / width))))
+    levels = sorted(row[0] for row in spans.select("__level").distinct().collect() if row[0] is not None)
+    rows = left.select(F.struct(*[quoted(c) for c in left.columns]).alias("__row"), *held, number(left, at).alias("__x"), F.monotonically_increasing_id().alias("__n"))
+    rows = cut(rows) if how == "left" else rows  # written once, so that the numbers stay
+    asked = rows.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("__bin", F.floor(F.col("__x") / width))
+    hits = asked.join(bins, [*keys, "__level", "__bin"]).where("__s <= __x and __x < __e").select("__n", "__row", "__got")
+    if how == "left":
+        none = rows.join(hits.select("__n").distinct(), "__n", "left_anti").select("__n", "__row", F.lit(None).cast(hits.schema["__got"].dataType).alias("__got"))
+        hits = hits.unionByName(none)
+    return hits.select("__row.*", *[F.col("__got").getField(c).alias(f"in_{c}") for c in columns])
+
+
 def explain_join(left: StoreMeta, right: StoreMeta, left_fields: Sequence[str], right_fields: Sequence[str]) -> list[str]:
     """What a join can use: whether the right fields are its key, a prefix of it, or break it off."""
     keys = list(right.key_fields)
@@ -124,4 +158,4 @@ def explain_join(left: StoreMeta, right: StoreMeta, left_fields: Sequence[str],
     return [f"{left.name}.{a} = {right.name}.{b}" for a, b in zip(left_fields, right_fields)] + [note]
 
 
-__all__ = ["Relation", "asof", "bridge", "explain_join", "join", "join_type", "on_pairs", "relation_of", "select_join"]
+__all__ = ["Relation", "asof", "bridge", "explain_join", "join", "join_type", "on_pairs", "relation_of", "select_join", "within"]

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one where the setting is absent and all runs in one process (tests). On a cluster without one it raises, as executors would not see each other's files."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="flowstore-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -22,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as parquet below the shared folder and read it back: lineage ends there.
 
-    The files survive the loss of any executor. `drop_cut` removes them.
+    The files survive the loss of any executor; the shuffle files of the query that wrote
+    them, which nothing reads any more, go at once. `drop_cut` removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
     return back

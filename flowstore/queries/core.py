@@ -505,6 +505,15 @@ def join_update_left(spark, sf):
     return Session(cat).join("customer", "rich", ["c_nationkey"], ["s_nationkey"], action="update_left", update_values={"c_mktsegment": "NEAR"})
 
 
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS s, o_orderdate + to_days(CAST(floor(o_totalprice / 5000) AS INTEGER)) AS e FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o.o_orderkey, r.o_orderkey AS in_o_orderkey FROM orders o JOIN r ON o.o_custkey = r.o_custkey AND o.o_orderdate >= r.s AND o.o_orderdate < r.e""")
+def join_within(spark, sf):
+    """Orders that fall into the days for which an urgent order of the same customer runs."""
+    o = _t(spark, sf, "orders")
+    urgent = o.where("o_orderpriority = '1-URGENT'").withColumn("e", F.expr("o_orderdate + make_dt_interval(cast(floor(o_totalprice / 5000) as int))"))
+    return joins.within(o, urgent, ["o_custkey"], "o_orderdate", "o_orderdate", "e", ["o_orderkey"], unit=86400.0).select("o_orderkey", "in_o_orderkey")
+
+
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 def agg_grouping_sets(spark, sf):
     out = aggregates.group(_t(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], {"n": "count(*)", "total": "sum(o_totalprice)"}, sets=[["o_orderstatus"], ["o_orderpriority"], []])

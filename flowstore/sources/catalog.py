@@ -48,6 +48,8 @@ class StoreMeta:
 #: Labels of types in an inferred schema.
 LABELS = {"string": "string", "boolean": "boolean", "timestamp": "datetime", "timestamp_ntz": "datetime", "date": "datetime"}
 
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
 
 def label(dtype: str) -> str:
     if dtype.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) and not dtype.startswith("interval"):
@@ -180,9 +182,12 @@ class Catalog:
         return self.spark.createDataFrame([("current", self.directory), *sorted(self.databases.items())], "database string, directory string")
 
     def inspect(self, name: str) -> DataFrame:
-        """(name, count, is_unique, description, schema: map of column to label) of one store."""
+        """(name, count, is_unique, description, schema: map of column to label) of one store; a text column is labelled by its value in some row."""
         df, m = self.read(name), self.meta(name)
-        schema = F.create_map(*[F.lit(x) for c, t in df.dtypes for x in (c, label(t))])
+        texts = [c for c, t in df.dtypes if t == "string"]
+        one = df.select(*[F.col(f"`{c}`").rlike(UUID).alias(c) for c in texts]).first() if texts else None
+        ids = {c for c in texts if one and one[c]}
+        schema = F.create_map(*[F.lit(x) for c, t in df.dtypes for x in (c, "uuid" if c in ids else label(t))])
         return df.agg(F.count("*").alias("count")).select(F.lit(name).alias("name"), "count", F.lit(m.unique).alias("is_unique"), F.lit(m.description).alias("description"), schema.alias("schema"))
 
 

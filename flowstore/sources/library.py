@@ -1,49 +1,43 @@
-"""Saved models and scripts: JSON by category and name, in a directory."""
+"""Saved models and scripts: JSON by category and name, in a directory of any file system."""
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
-from pathlib import Path
+
+from pyspark.sql import SparkSession
 
 from flowstore.plans.pipeline import check, normalize, parse
+from flowstore.sources import filesystem
 
 
 class Library:
     """save, get, list and delete of JSON values; a save replaces the file in one step."""
 
-    def __init__(self, directory: str):
-        self.directory = Path(directory)
+    def __init__(self, directory: str, spark: SparkSession | None = None):
+        self.directory = directory.rstrip("/")
+        self.spark = spark or SparkSession.active()
 
-    def _path(self, category: str, name: str) -> Path:
+    def _path(self, category: str, name: str) -> str:
         for part in (category, name):
-            if not part or part in (".", "..") or "/" in part or os.sep in part:
+            if not part or part in (".", "..") or any(c in part for c in "/\\:"):
                 raise ValueError(f"no name: {part!r}")
-        return self.directory / category / f"{name}.json"
+        return f"{self.directory}/{category}/{name}.json"
 
     def save(self, category: str, name: str, value: object) -> None:
-        path = self._path(category, name)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        staged = path.with_suffix(".staged")
-        staged.write_text(json.dumps(value, indent=1, default=str))
-        staged.replace(path)
+        filesystem.write_text(self.spark, self._path(category, name), json.dumps(value, indent=1, default=str))
 
     def get(self, category: str, name: str) -> object:
-        path = self._path(category, name)
-        if not path.exists():
+        text = filesystem.read_text(self.spark, self._path(category, name))
+        if text is None:
             raise KeyError(f"{category}/{name}")
-        return json.loads(path.read_text())
+        return json.loads(text)
 
     def list(self, category: str) -> list[str]:
-        folder = self.directory / category
-        return sorted(p.stem for p in folder.glob("*.json")) if folder.is_dir() else []
+        return [n.removesuffix(".json") for n in filesystem.names(self.spark, f"{self.directory}/{category}") if n.endswith(".json")]
 
     def delete(self, category: str, name: str) -> bool:
-        path = self._path(category, name)
-        found = path.exists()
-        path.unlink(missing_ok=True)
-        return found
+        return filesystem.delete(self.spark, self._path(category, name))
 
 
 class Scripts(Library):

@@ -9,8 +9,9 @@ from flowstore.sources.catalog import Catalog
 from flowstore.sources.library import Library, Scripts
 
 
-def test_models_are_saved_listed_and_deleted(tmp_path):
-    lib = Library(str(tmp_path))
+def test_models_are_saved_listed_and_deleted(spark, tmp_path):
+    lib = Library(str(tmp_path), spark)
+    lib.save("nn", "a", {"w": 0})
     lib.save("nn", "a", {"w": [1, 2]})
     assert lib.get("nn", "a") == {"w": [1, 2]} and lib.list("nn") == ["a"] and lib.list("none") == []
     assert lib.delete("nn", "a") and not lib.delete("nn", "a")
@@ -21,7 +22,7 @@ def test_models_are_saved_listed_and_deleted(tmp_path):
 
 
 def test_scripts_are_checked_when_they_change(spark, tmp_path):
-    s = Scripts(str(tmp_path))
+    s = Scripts(str(tmp_path), spark)
     s.put("top", [{"op": "scan", "store": "t", "limit": 5}, {"op": "project", "fields": ["k"]}])
     s.insert("top", 1, {"op": "filter", "condition": {"k": {"$gt": 1}}})
     with pytest.raises(pipeline.ScriptError):
@@ -86,3 +87,9 @@ def test_vector_store_get_count_consolidate_and_migration(spark):
     cats = spark.createDataFrame([("near", [0.0, 0.0]), ("far", [9.0, 9.0])], "category string, vector array<double>")
     got = knowledge.ingest_thoughts(items, cats, spark.createDataFrame([(7, None, "t", [8.0, 8.0])], "id int, category string, text string, vector array<double>"), "vector", "id", "category")
     assert got.where("id = 7").first().category == "far"
+
+
+def test_identifiers_are_labelled(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    cat.register("t", spark.createDataFrame([("3f2504e0-4f89-11d3-9a0c-0305e82c3301", "x", 1)], "id string, name string, n int"))
+    assert cat.inspect("t").first().schema == {"id": "uuid", "name": "string", "n": "number"}

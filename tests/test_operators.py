@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from flowstore.operators import etl, guard, knowledge, search, vector_store
+from flowstore.operators import etl, guard, joins, knowledge, search, vector_store
 from flowstore.streaming import retention, strikes
 
 
@@ -201,3 +201,16 @@ def test_searches_by_category_path_and_fallback(spark):
     assert {r.key: r.search_type for r in got.collect()} == {1: "path", 2: "semantic", 3: "semantic"}
     find = lambda path: [r.id for r in knowledge.search_path(items, cats, "category", "id", path, "vector", [6.0], 1).collect()]
     assert find("tech") == [1] and find("nothing") == [3]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_within_intervals_against_brute_force(spark, how):
+    rng = random.Random(6)
+    points = [(i, rng.choice("ab"), rng.choice([None, *range(-20, 60)])) for i in range(80)]
+    spans = [(j, rng.choice("ab"), s, rng.choice([s, s + 1, s + 3, s + 17, s + 400, s - 2, None])) for j, s in enumerate(rng.choices(range(-30, 60), k=60))]
+    left, right = spark.createDataFrame(points, "i int, k string, x int"), spark.createDataFrame(spans, "i int, k string, s int, e int")
+    got = sorted((r.i, -1 if r.in_i is None else r.in_i) for r in joins.within(left, right, ["k"], "x", "s", "e", ["i"], how).collect())
+    want = [(i, j) for i, k, x in points for j, b, s, e in spans if k == b and x is not None and e is not None and s <= x < e]
+    want += [(i, -1) for i, _, _ in points if how == "left" and i not in {a for a, _ in want}]
+    assert got == sorted(want)
+    assert joins.within(left, right.limit(0), ["k"], "x", "s", "e", ["i"], how).count() == (80 if how == "left" else 0)
