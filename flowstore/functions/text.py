@@ -81,14 +81,17 @@ def embed_by_hashing(df: DataFrame, text: str, out: str, dim: int, stop_words: S
     """df with a bag-of-words vector of length 1: each word adds 1 at its FNV-1a hash modulo dim. Stop words do not count, synonyms stand for each other; a text without words is all zero."""
     stop, same = frozenset(stop_words), dict(synonyms or {})
 
-    def vector(t: str | None) -> list[float] | None:
+    def vector(t: str | None, places: dict[str, int]) -> list[float] | None:
         if t is None:
             return None
         v = [0.0] * dim
         for w in t.lower().split():
-            w = w.strip(".,!?-")
-            if w and w not in stop:
-                v[fnv1a(same.get(w, w).encode()) % dim] += 1.0
+            at = places.get(w)
+            if at is None:
+                bare = w.strip(".,!?-")
+                at = places[w] = fnv1a(same.get(bare, bare).encode()) % dim if bare and bare not in stop else -1
+            if at >= 0:
+                v[at] += 1.0
         size = sum(x * x for x in v) ** 0.5
         return [x / size for x in v] if size else v
 
@@ -96,6 +99,7 @@ def embed_by_hashing(df: DataFrame, text: str, out: str, dim: int, stop_words: S
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{out: b[text].map(vector)})
+            places: dict[str, int] = {}  # each word of a batch is hashed once
+            yield b.assign(**{out: [vector(t, places) for t in b[text]]})
 
     return df.mapInPandas(step, schema)

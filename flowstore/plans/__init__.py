@@ -1 +1 @@
-"""Pipeline compilation and physical-plan helpers (lineage cuts, skew)."""
+"""Pipeline compilation and physical-plan helpers (lineage cuts)."""

@@ -650,12 +650,19 @@ def kb_digest(spark, sf):
     return knowledge.digest(hits, "id", 0.3, 5, 6).select("id", "category", F.round("score", 8).alias("score"))
 
 
-@query()
+@query(f"""WITH items AS (SELECT d.doc_id AS key, label, CAST(embedding AS DOUBLE[]) AS v, text FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+c AS (SELECT label, list(x ORDER BY i) AS v FROM {_MEANS} GROUP BY label), close AS (SELECT label, list_distance(v, {_LIST}) AS d FROM c ORDER BY d, label LIMIT 1),
+near AS (SELECT key, list_distance(v, {_LIST}) - 0.1 * close.d AS score FROM items JOIN close USING (label) ORDER BY score, key LIMIT 10),
+t AS (SELECT t.doc, t.term FROM {_TOKENS} t JOIN items ON t.doc = items.key), len AS (SELECT key AS doc, count(t.term) AS l FROM items LEFT JOIN t ON t.doc = key GROUP BY key),
+g AS (SELECT count(*) AS n, sum(l) / count(*) AS av FROM len), p AS (SELECT term, doc, count(*) AS tf FROM t WHERE term IN ('vector', 'bucket') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+words AS (SELECT doc AS key, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / av))) AS score FROM p JOIN f USING (term) JOIN len USING (doc), g GROUP BY doc ORDER BY score DESC, doc LIMIT 10)
+SELECT key, round(score, 6) AS score, 'semantic' AS search_type FROM near UNION ALL SELECT key, round(score, 6), 'keyword' FROM words WHERE key NOT IN (SELECT key FROM near)""")
 def kb_hybrid(spark, sf):
     e, d = _t(spark, sf, "embeddings"), _t(spark, sf, "documents")
     cats = vector_store.mean_vectors(e, "label", "embedding").select(F.col("label").alias("category"), F.col("vector"))
     items = e.join(d, e.vec_id == d.doc_id).select("doc_id", "label", "embedding", "text")
-    return knowledge.hybrid(items, cats, "doc_id", "label", "embedding", "text", _ONES, "vector bucket")
+    out = knowledge.hybrid(items, cats, "doc_id", "label", "embedding", "text", _ONES, "vector bucket")
+    return out.select("key", F.round("score", 6).alias("score"), "search_type")
 
 
 # functions
@@ -681,9 +688,16 @@ def perceptron_predict(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", vectors.perceptron(_ONES, -0.05, "embedding").alias("fires"))
 
 
-@query()
+_WORDS = "list_filter(list_transform(string_split_regex(lower(title), '\\s+'), lambda w: trim(w, '.,!?-')), lambda w: w <> '' AND NOT list_contains(['" + "', '".join(text.STOP_WORDS) + "'], w))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, hex(encode(unnest({_WORDS}))) AS h FROM documents WHERE title IS NOT NULL),
+b AS (SELECT doc_id, list_reduce(list_prepend(2166136261, list_transform(range(0, len(h) // 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT))), lambda x, y: (xor(x, y) * 16777619) % 4294967296) % 32 AS place FROM w),
+n AS (SELECT doc_id, place, count(*) AS n FROM b GROUP BY ALL)
+SELECT doc_id, CAST(place AS INTEGER) AS at, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS x FROM n""")
 def embed_hash(spark, sf):
-    return text.embed_by_hashing(_t(spark, sf, "documents").select("doc_id", "title"), "title", "vector", 32, text.STOP_WORDS)
+    rows = text.embed_by_hashing(_t(spark, sf, "documents").select("doc_id", "title"), "title", "vector", 32, text.STOP_WORDS)
+    return rows.select("doc_id", F.posexplode("vector").alias("at", "v")).where("v <> 0").select("doc_id", "at", F.round(F.col("v").cast("double"), 6).alias("x"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(coalesce(title, ''), 'cold') THEN ['cold'] ELSE [] END || CASE WHEN regexp_matches(coalesce(title, ''), '[0-9]') THEN ['digit'] ELSE [] END AS labels FROM documents")
