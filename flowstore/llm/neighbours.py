@@ -24,9 +24,9 @@ K, MIN_COSINE = 5, 0.80
 SAMPLE, CELL, SAMPLE_A_CELL = 65_536, 200, 8
 SPILL = 4
 #: Rows of a cell that one task compares with as many; larger cells are split, and every pair of the parts compared.
-BLOCK = 16_000
+BLOCK = 1 << 16
 #: Rows of a cell that are compared with each other; a larger one has cells of its own of about INNER rows, fitted on its rows where it is searched.
-WITHIN, INNER = 4_000, 400
+WITHIN, INNER = 2_000, 200
 #: Deviations of the tables' error within which candidates are reranked; pairs of the sample that it is measured on.
 SLACK, MEASURED = 2.5, 20_000
 #: Weight of the parallel error, entries of a table (4 bits), rows that fit the tables, rounds of fitting.
