@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,18 +97,31 @@ def _side(name: str, sides: Mapping[str, str]) -> str:
     return f"{sides[head]}.{rest}" if rest and head in sides else name
 
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, columns: Sequence[str], strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, columns: Sequence[str], strict: bool = False, span: float | None = None) -> DataFrame:
     """Every left row with `columns` of the last right row of the same `by` at or before it (before it, if strict).
 
     Both sides are put in one order and the last right row is carried on: one shuffle by
-    `by`, no pairs. Of right rows at one time the greatest holds.
+    `by`, no pairs. Of right rows at one time the greatest holds. With span (seconds, or
+    units of a number) a `by` with many rows is divided into spans of that length, which
+    are ordered one by one; what each begins with comes from the last row of each before.
     """
     kept = [c for c in columns]
     l = left.withColumn("__at", quoted(left_at)).withColumn("__side", F.lit(0 if strict else 1))  # noqa: E741
     r = right.select(*[quoted(b) for b in by], quoted(right_at).alias("__at"), F.lit(1 if strict else 0).alias("__side"), F.struct(*[quoted(c) for c in kept]).alias("__got"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*[quoted(b) for b in by]).orderBy("__at", "__side", F.col("__got").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = both.withColumn("__last", F.last("__got", ignorenulls=True).over(w)).where(F.col("__side") == (0 if strict else 1))
+    if span is None:
+        both, own = both.withColumn("__last", F.lit(None).cast(r.schema["__got"].dataType)), [quoted(b) for b in by]
+    else:
+        at = F.col("__at").cast("timestamp").cast("double") if dict(both.dtypes)["__at"].startswith(("date", "timestamp")) else F.col("__at").cast("double")
+        both = both.withColumn("__span", F.floor(at / span))
+        keys = [f"__k{i}" for i in range(len(by))]
+        ends = both.groupBy(*[quoted(b).alias(k) for b, k in zip(by, keys)], F.col("__span").alias("__own")).agg(F.max(F.when(F.col("__got").isNotNull(), F.struct("__at", "__got"))).alias("__end"))
+        before = Window.partitionBy(*keys).orderBy(F.col("__own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "__own", F.last("__end", ignorenulls=True).over(before)["__got"].alias("__last"))  # one row a span
+        same = reduce(lambda a, b: a & b, [*[quoted(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)], F.col("__span").eqNullSafe(F.col("__own"))])
+        both, own = both.join(ends, same, "left"), [*[quoted(b) for b in by], F.col("__span")]
+    w = Window.partitionBy(*own).orderBy("__at", "__side", F.col("__got").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = both.withColumn("__last", F.coalesce(F.last("__got", ignorenulls=True).over(w), "__last")).where(F.col("__side") == (0 if strict else 1))
     return carried.select(*[quoted(c) for c in left.columns], *[F.col("__last").getField(c).alias(f"asof_{c}") for c in kept])
 
 

@@ -356,6 +356,13 @@ def join_asof_nearest(spark, sf):
     return joins.asof(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), ["user_id"], "ts", "ts", ["event_id"]).select("event_id", "asof_event_id")
 
 
+@query("SELECT p.event_id, c.event_id AS asof_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ts) c ON p.ts >= c.ts")
+def join_asof_spans(spark, sf):
+    """The last click of all users before each purchase: one order of all rows, divided into days."""
+    e = _t(spark, sf, "events")
+    return joins.asof(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), [], "ts", "ts", ["event_id"], span=86400.0).select("event_id", "asof_event_id")
+
+
 # sorting and limits
 
 

@@ -214,3 +214,12 @@ def test_joins_within_intervals_against_brute_force(spark, how):
     want += [(i, -1) for i, _, _ in points if how == "left" and i not in {a for a, _ in want}]
     assert got == sorted(want)
     assert joins.within(left, right.limit(0), ["k"], "x", "s", "e", ["i"], how).count() == (80 if how == "left" else 0)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_in_spans_is_asof(spark, strict):
+    rng = random.Random(3)
+    left = spark.createDataFrame([(i, rng.choice(["a", "b", None]), rng.choice([None, *range(100)])) for i in range(150)], "i int, k string, t int")
+    right = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 100, 3)]), j) for j in range(60)], "k string, t int, v int")
+    get = lambda span: sorted((r.i, -1 if r.asof_v is None else r.asof_v) for r in joins.asof(left, right, ["k"], "t", "t", ["v"], strict, span).collect())
+    assert get(None) == get(7.0) == get(1000.0) and len(get(7.0)) == 150
