@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +59,6 @@ def lead_plan(n: int) -> tuple[int, int]:
     return width, LEADS[width]
 
 
-@cache
 def bands_for(rows: int, width: int, leads: int) -> int:
     """Bands of `rows` tokens in a cell, so that MISS of the pairs are missed.
 
@@ -75,9 +73,13 @@ def bands_for(rows: int, width: int, leads: int) -> int:
     return bands
 
 
-def band_plan(m: int, width: int = 1, leads: int = LEADS[1]) -> tuple[int, int]:
-    """Rows a band and bands in a cell of m rows: the least work, where forming a bucket costs about as much as comparing a row with half an unrelated one."""
-    plans = [(rows, bands_for(rows, width, leads)) for rows in (2, 3, 4)]
+def band_plans(width: int, leads: int) -> list[tuple[int, int]]:
+    """Rows and bands that miss as little, of two to four rows. Made on the driver and sent as plain numbers."""
+    return [(rows, bands_for(rows, width, leads)) for rows in (2, 3, 4)]
+
+
+def band_plan(m: int, plans: list[tuple[int, int]]) -> tuple[int, int]:
+    """Rows a band and bands in a cell of m rows: the least work, where forming a bucket costs about as much as comparing a row with an unrelated one."""
     return min(plans, key=lambda p: p[1] * (1 + m / (2 * DIM) ** p[0]))
 
 
@@ -301,7 +303,7 @@ def link_cell(ids: np.ndarray, sets: np.ndarray, picks: np.ndarray, least: int =
     return root, pairs[root[pairs[:, 0]] != root[pairs[:, 1]]], taken < len(picks)
 
 
-def _linked(width: int, leads: int):
+def _linked(plans: list[tuple[int, int]]):
     """(id, dst, sure, cell): the links of each cell; of a cell in parts also the rows that may be linked to rows of other parts, with the cell and no dst."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +315,7 @@ def _linked(width: int, leads: int):
             sets = np.concatenate([np.frombuffer(s, np.uint8).reshape(-1, TOKENS) for _, s in held])
             order = np.argsort(ids, kind="stable")
             ids, sets = ids[order], sets[order]
-            rows, bands = band_plan(len(ids), width, leads)
+            rows, bands = band_plan(len(ids), plans)
             root, loose, open_ = link_cell(ids, sets, band_tokens(rows, bands, at[0] & 0xFFFFFF))
             tied = np.flatnonzero(root != np.arange(len(ids)))
             for src, dst, sure in ((tied, root[tied], True), (loose[:, 0], loose[:, 1], False)):
@@ -338,7 +340,7 @@ def _linked(width: int, leads: int):
 
 def _links(rows: DataFrame, width: int, leads: int, cell: int) -> tuple[DataFrame, list[DataFrame]]:
     """(src, dst, sure) links within all cells of (id, tokens, leads), and the tables that hold them."""
-    more, out, held = width * leads, None, []
+    more, out, held, plans = width * leads, None, [], band_plans(width, leads)
     divided, base = False, rows
     for last in (False, True):
         columns = ["id", "tokens", "leads", "cell"] if divided else ["id", "tokens", "leads"]
@@ -346,7 +348,7 @@ def _links(rows: DataFrame, width: int, leads: int, cell: int) -> tuple[DataFram
         # at most leads * rows / cell of them
         parts = {} if last else {r.cell: -(-r.n // cell) for r in counts.where(F.col("n") > cell).collect()}
         sent = base.select(*columns).mapInArrow(_sent(width, more, divided, parts), "cell long, part long, parts long, ids binary, tokens binary")
-        found = cut(sent.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_linked(width, leads), "id long, dst long, sure boolean, cell long"))
+        found = cut(sent.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_linked(plans), "id long, dst long, sure boolean, cell long"))
         links = found.where("dst is not null").select(F.col("id").alias("src"), "dst", "sure")
         held.append(found)
         out = links if out is None else out.unionByName(links)

@@ -99,7 +99,7 @@ def test_cliques_in_pieces_and_in_blocks_agree(n):
 def test_plans_follow_the_rows():
     assert clusters.lead_plan(1000) == clusters.lead_plan(10**8) == (1, 18)
     assert clusters.lead_plan(10**9)[0] == 2 and clusters.lead_plan(10**12)[0] == 3
-    assert [clusters.band_plan(m)[0] for m in (10, 2000, 500_000)] == [2, 2, 3]
+    assert [clusters.band_plan(m, clusters.band_plans(1, 18))[0] for m in (10, 2000, 500_000)] == [2, 2, 3]
     picks = clusters.band_tokens(3, 163)
     assert picks.shape == (163, 3) and np.bincount(picks.ravel(), minlength=clusters.TOKENS).min() >= 7
     # as many leads of wider cells, and bands of any rows, miss no more
@@ -118,12 +118,12 @@ def pairs_at(cosine, n=4000):
 def test_plans_miss_few_pairs_at_the_threshold(m, width, cosine):
     a, b = pairs_at(cosine)
     leads, t = clusters.LEADS[width], clusters.TOKENS
-    turns = clusters.rotations(t + width * leads)
+    turns, plan = clusters.rotations(t + width * leads), clusters.band_plan(m, clusters.band_plans(width, leads))
     equal = clusters.token_sets(a.astype(np.float32), turns) == clusters.token_sets(b.astype(np.float32), turns)
     hit = np.zeros(len(a), bool)
     for k in range(leads):
         one = np.zeros(len(a), bool)
-        for pick in clusters.band_tokens(*clusters.band_plan(m, width, leads), seed=k):
+        for pick in clusters.band_tokens(*plan, seed=k):
             one |= equal[:, pick].all(1)
         hit |= one & equal[:, t + k * width : t + (k + 1) * width].all(1)
     same = equal[:, :t].sum(1)
