@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowstore.plans.tables import cut
+
 #: Records that fit the model, about (a hash sample); how much likelier a record with a trusted passage is taken; width of the hashed features; rounds.
 SAMPLE, BOOST, WIDTH, ROUNDS = 8_000, 10, 1 << 18, 3
 #: Share of passages expected to be residue before one is seen, weight of the background in the smoothing, log odds from which a passage is residue.
@@ -27,8 +29,8 @@ SPY = 0.9
 #: Effective independence of a passage's features: their log odds are damped by length ** -DAMP.
 DAMP = 0.35
 
-#: Texts scored at once
-TOGETHER = 1000
+#: Texts scored at once; tasks that read the texts of the sample
+TOGETHER, FIT_TASKS = 1000, 16
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*\r?$|\Z)", re.S | re.M)
 _CODE = re.compile(r"`[^`\n]*`")
@@ -79,8 +81,6 @@ TRUSTED = tuple(
 _OPENS = re.compile("|".join(f"(?:{o.pattern})" for o, _ in TRUSTED if o), re.I)
 _INSIDE = re.compile("|".join(f"(?:{i.pattern})" for _, i in TRUSTED if i), re.I)
 _NEEDS = re.compile("|".join(re.escape(x) for x in sorted({x for _, needs, _ in PLACEHOLDERS for x in needs})))
-#: Something that every form of residue anywhere has
-_HINTS = re.compile(r"lorem|durch|<nosc|\(", re.I)
 
 _IDENT = re.compile(r"\b[a-z]+(?:[_.-](?:[a-z]+|\d+))+\b", re.I)
 _HEX = re.compile(r"\b0x[0-9a-f]+\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", re.I)
@@ -122,8 +122,10 @@ def placeholder_marks(passage: str) -> list[str]:
 
 def trusted_forms(passage: str) -> list[int]:
     """The trusted forms that a passage has."""
-    if not _OPENS.match(passage) and not (_HINTS.search(passage) and _INSIDE.search(passage)):
-        return []
+    if not _OPENS.match(passage):
+        low = passage.lower()
+        if not ("(" in low or "lorem" in low or "durch" in low or "<nosc" in low) or not _INSIDE.search(passage):
+            return []
     return [k for k, (opens, inside) in enumerate(TRUSTED) if (opens and opens.match(passage)) or (inside and inside.search(passage))]
 
 
@@ -134,7 +136,7 @@ def trusted(passage: str) -> bool:
 
 #: Parts of words: their ends and beginnings, which foreign and invented words share
 _PARTS = (("e", -2, None), ("f", -3, None), ("b", 0, 3))
-_WORD = re.compile(r"⟦\w+⟧|[^\W\d_]+|\d+|[^\w\s]")
+_WORD = re.compile(r"[^\W\d_]+|\d+|⟦\w+⟧|[^\w\s]")
 _DIGIT = re.compile(r"\d")
 _HELD = {f"⟦{mark}⟧" for mark, _, _ in PLACEHOLDERS}
 
@@ -215,14 +217,8 @@ class Model:
         return self.bias + np.bincount(owner, self.weights[flat], len(many)) * size.astype(float) ** -DAMP
 
 
-def fit(texts: list[str]) -> Model:
-    """Naive Bayes on the passages of the texts, by expectation maximisation from the trusted ones.
-
-    Passages are counted once a text and fold to distinct sets of features. Trusted
-    passages stay positive; the others start as negative and share in both classes by
-    their posterior from then on. The prior stays PRIOR, so that no large group of
-    ordinary passages can drift over.
-    """
+def described(texts: list[str]) -> tuple[list[bytes], list[int], list[bool]]:
+    """The distinct sets of features of the passages of texts, how many texts' passages each stands for, and whether one of these is trusted. Passages are counted once a text."""
     times_of: dict[str, int] = {}
     known: set[str] = set()
     for t in texts:
@@ -241,18 +237,27 @@ def fit(texts: list[str]) -> Model:
             k = f.tobytes()
             count[k] = count.get(k, 0) + times_of[p]
             sure[k] = sure.get(k, False) or p in known
-    if not count:
+    return list(count), list(count.values()), [sure[k] for k in count]
+
+
+def fit(keys: list[bytes], counts: list[int], sure: list[bool]) -> Model:
+    """Naive Bayes on described passages, by expectation maximisation from the trusted ones.
+
+    Trusted passages stay positive; the others start as negative and share in both classes by
+    their posterior from then on. The prior stays PRIOR, so that no large group of
+    ordinary passages can drift over.
+    """
+    if not keys:
         return Model(np.zeros(WIDTH, np.float32), float(np.log(PRIOR / (1 - PRIOR))))
-    keys = list(count)
     rows = [np.frombuffer(k, np.int32) for k in keys]
     size = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
-    n = np.sqrt(np.array([count[k] for k in keys], float))  # repeats of one sentence are weak evidence
-    label = np.array([sure[k] for k in keys])
+    n = np.sqrt(np.array(counts, float))  # repeats of one sentence are weak evidence
+    label = np.array(sure, bool)
     post = label.astype(float)
     bias = float(np.log(PRIOR / (1 - PRIOR)))
     # how common what a passage says is: passages more common than nearly all trusted ones are surely ordinary
-    times = np.bincount(flat, np.array([count[k] for k in keys], float)[owner], WIDTH)
+    times = np.bincount(flat, np.array(counts, float)[owner], WIDTH)
     common = np.bincount(owner, np.log(times[flat] + 1), len(rows)) / size
     ordinary = ~label & (common > (np.quantile(common[label], SPY) if label.any() else 0))
     for _ in range(ROUNDS):
@@ -275,6 +280,12 @@ def _pick(rate: float):
     return step
 
 
+def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in batches:
+        keys, counts, sure = described(list(df["text"]))
+        yield pd.DataFrame({"f": keys, "n": counts, "sure": sure})
+
+
 def judge(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the highest score of a passage, how many are residue, and how many there are. Passages that texts share are scored once."""
     number: dict[str, int] = {}
@@ -307,7 +318,8 @@ def score_residue(rows: DataFrame, key: str, text: str, sample: int = SAMPLE) ->
     judged by what it says; repeated rows and keys come out as often as they go in; an
     empty table gives no rows; other columns are ignored. A text is read whole, in one task.
 
-    The model is fitted on the driver, on a hash sample of about `sample` rows, and of
+    The passages of a sample are described and counted by Spark, and the model is fitted to
+    the counts on the driver. The sample is a hash sample of about `sample` rows, and
     BOOST times as large a share of those with a trusted passage, copies of a text folded
     and never more than three times `sample` in all, the first by hash; the model that is broadcast has WIDTH weights at any size.
     """
@@ -316,8 +328,12 @@ def score_residue(rows: DataFrame, key: str, text: str, sample: int = SAMPLE) ->
     n = whole.count()
     hashed = whole.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30))
     rate = min(1.0, sample / max(n, 1))
-    picked = hashed.where(F.col("h") < min(1.0, BOOST * rate)).mapInPandas(_pick(rate), "h double, text string").distinct().orderBy("h", "text").limit(3 * sample).toPandas()
-    fitted = fit(sorted(picked["text"]))
+    picked = hashed.where(F.col("h") < min(1.0, BOOST * rate)).mapInPandas(_pick(rate), "h double, text string").distinct().orderBy("h", "text").limit(3 * sample)
+    parts = cut(picked.select("text").repartition(FIT_TASKS)).mapInPandas(_describe, "f binary, n long, sure boolean")
+    # one row for each set of features of at most 3 * sample texts, in one order
+    told = parts.groupBy("f").agg(F.sum("n").alias("n"), F.max("sure").alias("sure")).toPandas()
+    order = sorted(range(len(told)), key=lambda i: bytes(told["f"][i]))
+    fitted = fit([bytes(told["f"][i]) for i in order], [int(told["n"][i]) for i in order], [bool(told["sure"][i]) for i in order])
     # plain arrays, so that executors need no class of this package
     model = rows.sparkSession.sparkContext.broadcast((fitted.weights, fitted.bias))
     return whole.mapInPandas(_score(model), f"key {kind}, score double, n_residue int, n_passages int")

@@ -287,7 +287,7 @@ def texts():
 
 
 def test_residue_model_on_held_out_records():
-    model = residue.fit(texts())
+    model = residue.fit(*residue.described(texts()))
     for t in BAD + ["Service unavailable", "Hello ${user},\nThe worker queue of x was idle."]:
         assert residue.judge(model, [t])[0][0] >= residue.LEAST, t
     for t in GOOD + [f.format(5) for f in ORDINARY]:
