@@ -728,6 +728,18 @@ def guard_strikes(spark, sf):
     return out.select("event_id", "strikes", "locked", "decision")
 
 
+@query("""WITH b AS (SELECT event_id, user_id, ts, event_type = 'error' AS v, event_type IN ('error', 'click', 'view') AS i FROM events),
+r AS (SELECT *, sum(CASE WHEN i AND NOT v THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM b),
+c AS (SELECT *, CAST(sum(CASE WHEN i AND v THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS strikes FROM r),
+l AS (SELECT *, bool_or(v AND strikes >= 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS locked FROM c)
+SELECT event_id, strikes, locked, CASE WHEN v OR locked THEN 'block' ELSE 'allow' END AS decision FROM l""")
+def guard_strikes_spans(spark, sf):
+    """The same with sessions divided into days."""
+    e = _t(spark, sf, "events")
+    out = guard.strikes(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type").isin("error", "click", "view"), 3, 86400.0)
+    return out.select("event_id", "strikes", "locked", "decision")
+
+
 @query("SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
 def stm_ttl(spark, sf):
     return retention.retained(_t(spark, sf, "events"), "ts", "2 days")

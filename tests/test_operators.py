@@ -223,3 +223,12 @@ def test_asof_in_spans_is_asof(spark, strict):
     right = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 100, 3)]), j) for j in range(60)], "k string, t int, v int")
     get = lambda span: sorted((r.i, -1 if r.asof_v is None else r.asof_v) for r in joins.asof(left, right, ["k"], "t", "t", ["v"], strict, span).collect())
     assert get(None) == get(7.0) == get(1000.0) and len(get(7.0)) == 150
+
+
+def test_strikes_in_spans_are_strikes(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", None]), None if i == 7 else i // 2, rng.random() < 0.55, rng.random() < 0.8) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, s string, t int, v boolean, inp boolean")
+    get = lambda most, span: [tuple(r) for r in guard.strikes(df, "s", ["t", "i"], F.col("v"), F.col("inp"), most, span).select("i", "strikes", "locked", "decision").orderBy("i").collect()]
+    for most in (3, 6):
+        assert get(most, None) == get(most, 4.0) == get(most, 1000.0)
