@@ -423,8 +423,10 @@ def _space(env: Env, s: Step, a: dict) -> Opened:
 
 
 def _search_space(env: Env, s: Step, a: dict) -> DataFrame:
-    """Hits of a space by path, by vector or by words."""
+    """Hits of a space by path, by vector or by words, among the items that meet a condition if one is given."""
     space = _space(env, s, a)
+    if a.get("condition"):
+        space = Opened(space.name, space.df.where(condition(space.df, a["condition"])))
     key, text = a.get("key", "id"), a.get("text_field", "text")
     if a.get("path"):
         return knowledge.by_path(space.df, a.get("category_field", "category"), a["path"], text, a.get("prefix")).orderBy(key).limit(a.get("limit", 10))

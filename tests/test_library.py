@@ -46,6 +46,9 @@ def test_spaces_in_scripts(spark, tmp_path):
     assert run({"op": "search_space", "space": "s", "query": "dogs"}) == [2]
     assert run({"op": "search_space", "space": "s", "path": "tech"}) == [1]
     assert run({"op": "search_space", "space": "s", "vector": [1.0, 0.0], "limit": 1}) == [2]
+    assert run({"op": "search_space", "space": "s", "vector": [1.0, 0.0], "condition": {"category": "Tech"}}) == [1]
+    assert run({"op": "search_space", "space": "s", "query": "cold warm", "category": "Tech"}) == [1]
+    assert run({"op": "search_space", "space": "s", "query": "dogs", "condition": "id < 2"}) == []
     assert sorted(run({"op": "list_space_categories", "space": "s"})) == ["Law", "Tech"]
     run({"op": "upsert_space_items", "space": "s", "rows": [{"id": 3, "category": "Law", "text": "birds", "vector": [0.0, 1.0]}]})
     run({"op": "vectorize_space", "space": "s", "dim": 8})
@@ -93,3 +96,20 @@ def test_identifiers_are_labelled(spark, tmp_path):
     cat = Catalog(spark, str(tmp_path))
     cat.register("t", spark.createDataFrame([("3f2504e0-4f89-11d3-9a0c-0305e82c3301", "x", 1)], "id string, name string, n int"))
     assert cat.inspect("t").first().schema == {"id": "uuid", "name": "string", "n": "number"}
+
+
+def test_space_categories_in_scripts(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    cat.register("c", spark.createDataFrame([("1", "Tech", [], None)], "id string, name string, parents array<string>, vector array<double>"))
+    cat.register("s", spark.createDataFrame([(1, "2", [1.0, 3.0]), (2, "2", [3.0, 5.0])], "id int, category string, vector array<double>"))
+    pipeline.execute([{"op": "upsert_space_categories", "categories": "c", "rows": [{"id": "2", "name": "Go", "parents": ["tech"]}]}, {"op": "vectorize_space_categories", "space": "s", "categories": "c"}], cat)
+    got = {r.id: (r.parents, r.vector) for r in cat.read("c").collect()}
+    assert got == {"1": ([], None), "2": (["1"], [2.0, 4.0])}
+
+
+def test_phrases_search_a_space_by_pages(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    cat.register("kb", spark.createDataFrame([(i, "Tech/Go" if i < 5 else "Law", f"cold text {i}") for i in range(9)], "id int, category string, text string"))
+    s = Session(cat)
+    assert [r.id for r in s.search("kb", "kb:tech:go/page/2 :llm briefly", page_size=3).collect()] == [3, 4]
+    assert s.search("kb", "cold", page_size=4).count() == 4 and s.search("kb", "cold:page:3", page_size=4).count() == 1
