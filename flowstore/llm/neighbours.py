@@ -70,12 +70,11 @@ def encode(x: np.ndarray, residual: np.ndarray, tables: np.ndarray, rounds: int
     tables: (pairs, ENTRIES, 2). The first pass starts from the nearest entries.
     """
     n, pairs = len(x), len(tables)
-    xs, rs = x.reshape(n, pairs, 2), residual.reshape(n, pairs, 2)
-    plain, along = np.empty((pairs, n, ENTRIES), np.float32), np.empty((pairs, n, ENTRIES), np.float32)
-    for m in range(pairs):
-        e = rs[:, m, None, :] - tables[m]
-        plain[m] = (e * e).sum(2)
-        along[m] = (xs[:, m, None, :] * e).sum(2)
+    xs, rs = (np.ascontiguousarray(a.reshape(n, pairs, 2).transpose(1, 0, 2), np.float32) for a in (x, residual))
+    entries = np.ascontiguousarray(tables.transpose(0, 2, 1))
+    # of |e|^2 what the entry changes, and x.e, for each pair of dimensions, row and entry
+    plain = (tables**2).sum(2)[:, None, :] - 2 * np.matmul(rs, entries)
+    along = (xs * rs).sum(2)[:, :, None] - np.matmul(xs, entries)
     codes = plain.argmin(2).T.copy()
     rows = np.arange(n)
     total = sum(along[m][rows, codes[:, m]] for m in range(pairs))
