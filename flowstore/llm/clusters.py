@@ -25,12 +25,16 @@ from flowstore.llm.vectors import DIM, bytes_matrix, exploded, fixed, packed, ru
 from flowstore.plans.tables import cut, drop_cut
 
 MIN_COSINE = 0.80
-#: Tokens of a vector's set, and the equal ones that two similar sets have at least, a Jaccard similarity of 1/14: 99.94 % of pairs with a cosine of 0.80 have them, and one in 10^5 of unrelated ones that share a bucket of three.
+#: Tokens of a vector's set, and the equal ones that two similar sets have at least, a Jaccard similarity of
+#: 1/14: 99.94 % of pairs with a cosine of 0.80 have them, and one in 10^5 of unrelated ones that share a
+#: bucket of three.
 TOKENS, LEAST_EQUAL = 60, 8
 MIN_JACCARD = LEAST_EQUAL / (2 * TOKENS - LEAST_EQUAL)
-#: Equal tokens from which a row seeks no further hub in a bucket, and from which a link needs no exact cosine: pairs with a cosine of 0.80 have 18, of 0.70 11, of 0.90 32, deviations 3 to 4.
+#: Equal tokens from which a row seeks no further hub in a bucket, and from which a link needs no exact
+#: cosine: pairs with a cosine of 0.80 have 18, of 0.70 11, of 0.90 32, deviations 3 to 4.
 NEAR, SURE = 16, 25
-#: Share of the pairs with a cosine of MIN_COSINE that leads, bands and Jaccard similarity may miss together; their chance of one equal token in 64 dimensions (0.308 in a simulation; 0.37 at 0.85, 0.47 at 0.9).
+#: Share of the pairs with a cosine of MIN_COSINE that leads, bands and Jaccard similarity may miss together;
+#: their chance of one equal token in 64 dimensions (0.308 in a simulation; 0.37 at 0.85, 0.47 at 0.9).
 MISS, AGREE = 0.005, 0.305
 #: Leads if a cell is told by one, two or three tokens: about as few as MISS allows.
 LEADS = {1: 18, 2: 70, 3: 240}
@@ -202,7 +206,9 @@ def _counted(width: int, more: int, divided: bool):
 
 
 def _sent(width: int, more: int, divided: bool, parts: dict[int, int]):
-    """(cell, part, parts, ids, tokens): the rows of a map task that go to one cell, as one row of bytes. Rows of a cell of several parts are dealt by a hash of their id."""
+    """(cell, part, parts, ids, tokens): the rows of a map task that go to one cell, as one row of bytes.
+    Rows of a cell of several parts are dealt by a hash of their id.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.array(sorted(parts), np.int64)
@@ -494,7 +500,9 @@ def _cosine_to(dim: int):
 
 
 def _near(data, least: float) -> Iterator:
-    """For batches (component, id, v, ...): each batch's columns, the chunk's arrays of one component, which rows of the batch are its own, and what is near what."""
+    """For batches (component, id, v, ...): each batch's columns, the chunk's arrays of one component,
+    which rows of the batch are its own, and what is near what.
+    """
     names, ids, raw, *more = data
     x = unit(raw) if len(raw) else raw
 
@@ -556,7 +564,9 @@ def _joined(data, dim: int, least: float):
 
 
 def _in_chunks(rows: DataFrame, chunk_of: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
-    """The results of `make(chunk)` over all rows for every chunk of about CHUNK rows of chunk_of (component, id, v and the columns). Each chunk is broadcast, used and dropped."""
+    """The results of `make(chunk)` over all rows for every chunk of about CHUNK rows of chunk_of
+    (component, id, v and the columns). Each chunk is broadcast, used and dropped.
+    """
     spark, out = rows.sparkSession, None
     blocks = max(1, -(-2 * chunk_of.count() // CHUNK))
     for k in range(blocks):
@@ -570,7 +580,9 @@ def _in_chunks(rows: DataFrame, chunk_of: DataFrame, columns: list[str], make, s
 
 
 def fitting(v: np.ndarray, c: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
-    """The rows similar to one medoid that join its group: in order of c, their cosine to it, each where it fits all before. Those within half the limit's angle fit each other."""
+    """The rows similar to one medoid that join its group: in order of c, their cosine to it, each where it
+    fits all before. Those within half the limit's angle fit each other.
+    """
     order = np.lexsort((ids, -c))
     cone = math.sqrt((1 + least) / 2)
     core = int((c >= cone).sum())

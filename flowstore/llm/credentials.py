@@ -274,7 +274,9 @@ def word_hash(word: str) -> int:
 
 
 def anchor(value: str) -> int | None:
-    """The hash of the longest run of letters and digits of a value, the first of equals: wherever the value stands between other characters, this is a whole word of the text."""
+    """The hash of the longest run of letters and digits of a value, the first of equals: wherever the
+    value stands between other characters, this is a whole word of the text.
+    """
     longest = max(_RUN.findall(value), key=len, default=None)
     return None if longest is None else word_hash(longest)
 

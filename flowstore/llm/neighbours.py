@@ -121,7 +121,9 @@ def fit_tables(x: np.ndarray, residual: np.ndarray, seed: int = 4) -> np.ndarray
 
 
 def table_error(x: np.ndarray, shown: np.ndarray, cell: np.ndarray, least: float) -> float:
-    """The deviation of the tables' scores from the true ones, over pairs of rows of one cell that are nearly as similar as neighbours, or else the most similar of those there are."""
+    """The deviation of the tables' scores from the true ones, over pairs of rows of one cell that are
+    nearly as similar as neighbours, or else the most similar of those there are.
+    """
     order = np.argsort(cell, kind="stable")
     step = 1 + np.random.default_rng(8).integers(0, 8, (len(order), max(1, MEASURED // max(len(order), 1))))
     a = np.repeat(order, step.shape[1])
@@ -176,7 +178,9 @@ def _store(index, dim: int):
     return step
 
 
-def best_within(ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_within(
+    ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float, slack: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, score) of the k best of each row by exact cosine of at least `least`, ties by smaller id.
 
     x: unit rows in float64; shown: what their codes decode to. The tables' scores of all
@@ -225,7 +229,9 @@ def _first(own: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> tup
     return own[top], other[top], score[top]
 
 
-def best_in_cell(ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_in_cell(
+    ids: np.ndarray, x: np.ndarray, shown: np.ndarray, part: np.ndarray, k: int, least: float, slack: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`best_within` of a cell of any size: a large one is divided once, into cells of about INNER rows, and each row compared in its SPILL nearest."""
     n = len(ids)
     if n <= WITHIN:

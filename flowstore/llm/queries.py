@@ -86,7 +86,9 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents packed; whether no container holds too much, every token is in just one, only documents too large are split, and the containers are 98 % full, but for one."""
+    """Documents packed; whether no container holds too much, every token is in just one, only documents
+    too large are split, and the containers are 98 % full, but for one.
+    """
     sized = cut(token_counts(_read(spark, sf, "documents"), ["doc_id"], "text"))
     packed = cut(pack(sized, "doc_id", "n_tokens"))
     boxes = packed.groupBy("container").agg(F.sum("size").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("held"), F.count("*").alias("boxes"))

@@ -218,7 +218,9 @@ class Model:
 
 
 def described(texts: list[str]) -> tuple[list[bytes], list[int], list[bool]]:
-    """The distinct sets of features of the passages of texts, how many texts' passages each stands for, and whether one of these is trusted. Passages are counted once a text."""
+    """The distinct sets of features of the passages of texts, how many texts' passages each stands for,
+    and whether one of these is trusted. Passages are counted once a text.
+    """
     times_of: dict[str, int] = {}
     known: set[str] = set()
     for t in texts:
