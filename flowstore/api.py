@@ -52,8 +52,14 @@ class Session:
     def __init__(self, catalog: Catalog):
         self.catalog = catalog
 
-    def select(self, store: str, fields: object = None, where: object = None, key: object = None, order_by: object = None, limit: int | None = scans.LIMITS["select"], action: str | None = None, values: Mapping[str, object] | None = None, database: str | None = None, **more: object) -> DataFrame:
-        """Rows of a store or of a saved script that match; further arguments are equalities and must name columns. action is update (with values) or delete: the changed store."""
+    def select(
+        self, store: str, fields: object = None, where: object = None, key: object = None, order_by: object = None,
+        limit: int | None = scans.LIMITS["select"], action: str | None = None,
+        values: Mapping[str, object] | None = None, database: str | None = None, **more: object,
+    ) -> DataFrame:
+        """Rows of a store or of a saved script that match; further arguments are equalities and must name
+        columns. action is update (with values) or delete: the changed store.
+        """
         db = self.catalog.database(database)
         df = pipeline.run(db.scripts[store], db) if store in db.scripts else db.read(store)
         meta = db.metas.get(store) or StoreMeta(store, db.meta(store).key if store in db.stores() else ())
@@ -72,8 +78,15 @@ class Session:
         out = out if limit is None else out.limit(limit)
         return project(out, fields) if fields else out
 
-    def join(self, left_store: str, right_store: str, left_fields: Sequence[str] | None = None, right_fields: Sequence[str] | None = None, how: str = "inner", fields: object = None, order_by: object = None, limit: int | None = scans.LIMITS["join"], right_database: str | None = None, action: str | None = None, update_values: Mapping[str, object] | None = None) -> DataFrame:
-        """Two stores on equal fields; without fields on a declared relation. action: the left store without the rows that have a match (delete_left), or with update_values in them (update_left)."""
+    def join(
+        self, left_store: str, right_store: str, left_fields: Sequence[str] | None = None,
+        right_fields: Sequence[str] | None = None, how: str = "inner", fields: object = None, order_by: object = None,
+        limit: int | None = scans.LIMITS["join"], right_database: str | None = None, action: str | None = None,
+        update_values: Mapping[str, object] | None = None,
+    ) -> DataFrame:
+        """Two stores on equal fields; without fields on a declared relation. action: the left store without
+        the rows that have a match (delete_left), or with update_values in them (update_left).
+        """
         other = self.catalog.database(right_database)
         if not left_fields:
             pairs = joins.relation_of(self.catalog.meta(left_store), other.meta(right_store))

@@ -20,7 +20,9 @@ def train_step(weights: list[float], bias: float, rate: float, inputs: Sequence[
 
 
 def train(df: DataFrame, inputs: str, target: str, order: str, rate: float = 0.1, rounds: int = 10) -> tuple[list[float], float]:
-    """Weights and bias after some rounds over the rows in order, or after one without an error. Tables of more than ROWS rows raise: the update is sequential."""
+    """Weights and bias after some rounds over the rows in order, or after one without an error. Tables of
+    more than ROWS rows raise: the update is sequential.
+    """
     rows = df.select(F.col(inputs).alias("x"), F.col(target).cast("double").alias("y")).where("x is not null and y is not null") if order is None else df.orderBy(order).select(F.col(inputs).alias("x"), F.col(target).cast("double").alias("y"))
     got = [r for r in rows.limit(ROWS + 1).collect() if r.x is not None and r.y is not None]
     if len(got) > ROWS:

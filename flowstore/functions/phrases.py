@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Phrase:
-    """What is sought: the words; the category path if they are one (names joined by `/`); the page from 1; the instruction to a language model, which a search ignores."""
+    """What is sought: the words; the category path if they are one (names joined by `/`); the page from 1;
+    the instruction to a language model, which a search ignores.
+    """
 
     text: str
     path: str | None = None

@@ -14,7 +14,9 @@ SIDES = ("left.", "right.", "a.", "b.", "left_", "right_")
 
 
 def fields_of(fields: object) -> list[tuple[str, str | None]]:
-    """(source, alias or None) of a list of names, `name as alias`, maps with field and alias (or as), or src and dst; of `{alias: source}`, by sorted alias; or of a text with commas."""
+    """(source, alias or None) of a list of names, `name as alias`, maps with field and alias (or as), or
+    src and dst; of `{alias: source}`, by sorted alias; or of a text with commas.
+    """
     if isinstance(fields, str):
         fields = [p for p in (x.strip() for x in fields.split(",")) if p]
     if isinstance(fields, Mapping):

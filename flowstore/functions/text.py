@@ -78,7 +78,9 @@ def fnv1a_hash(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def embed_by_hashing(df: DataFrame, text: str, out: str, dim: int, stop_words: Sequence[str] = (), synonyms: Mapping[str, str] | None = None) -> DataFrame:
-    """df with a bag-of-words vector of length 1: each word adds 1 at its FNV-1a hash modulo dim. Stop words do not count, synonyms stand for each other; a text without words is all zero."""
+    """df with a bag-of-words vector of length 1: each word adds 1 at its FNV-1a hash modulo dim. Stop
+    words do not count, synonyms stand for each other; a text without words is all zero.
+    """
     stop, same = frozenset(stop_words), dict(synonyms or {})
 
     def vector(t: str | None, places: dict[str, int]) -> list[float] | None:

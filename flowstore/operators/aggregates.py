@@ -29,8 +29,13 @@ def measures(df: DataFrame, aggregates: Mapping[str, object]) -> list[Column]:
     return out
 
 
-def group(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, object], having: object = None, kind: str = "plain", sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
-    """One row a group (plain), or a subtotal for every subset (cube) or prefix (rollup) of the names, or for each of `sets` of them; `having` filters the result."""
+def group(
+    df: DataFrame, by: Sequence[str], aggregates: Mapping[str, object], having: object = None, kind: str = "plain",
+    sets: Sequence[Sequence[str]] | None = None,
+) -> DataFrame:
+    """One row a group (plain), or a subtotal for every subset (cube) or prefix (rollup) of the names, or
+    for each of `sets` of them; `having` filters the result.
+    """
     cols = {b: quoted(resolve(df.columns, b)).alias(b) for b in by}
     if sets is not None:
         # by plain columns: an alias is not told to be the same in a set

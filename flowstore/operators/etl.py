@@ -11,8 +11,14 @@ from flowstore.functions.text import fnv1a_hash
 from flowstore.sources import files
 
 
-def prepare(rows: DataFrame, name: str, parts: Sequence[str], title: str = "Symptoms", replace: Mapping[str, str] | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """(id, text, description) of items: the name, and its other columns trimmed, underscores as blanks, joined. id is the name in lower case and the FNV-1a hash of name and parts; rows without a name are left out; `extra` rows are appended."""
+def prepare(
+    rows: DataFrame, name: str, parts: Sequence[str], title: str = "Symptoms",
+    replace: Mapping[str, str] | None = None, extra: DataFrame | None = None,
+) -> DataFrame:
+    """(id, text, description) of items: the name, and its other columns trimmed, underscores as blanks,
+    joined. id is the name in lower case and the FNV-1a hash of name and parts; rows without a name are
+    left out; `extra` rows are appended.
+    """
     clean = []
     for p in parts:
         c = F.replace(F.trim(F.col(f"`{p}`").cast("string")), F.lit("_"), F.lit(" "))

@@ -42,7 +42,10 @@ def _equal(a: Column, ta: str, b: Column, tb: str, null_safe: bool) -> Column:
     return a.eqNullSafe(b) if null_safe else a == b
 
 
-def join(left: DataFrame, right: DataFrame, on: object, how: str = "inner", left_name: str | None = None, right_name: str | None = None, null_safe: bool = False) -> DataFrame:
+def join(
+    left: DataFrame, right: DataFrame, on: object, how: str = "inner", left_name: str | None = None,
+    right_name: str | None = None, null_safe: bool = False,
+) -> DataFrame:
     """Columns left.column and right.column of the rows that agree in all pairs of fields.
 
     Columns that carry a store's prefix keep it. Nulls do not match, unless null_safe.
@@ -73,13 +76,20 @@ def relation_of(left: StoreMeta, right: StoreMeta) -> list[tuple[str, str]]:
     raise ValueError(f"no relation between {left.name!r} and {right.name!r}")
 
 
-def bridge(left: DataFrame, link: DataFrame, right: DataFrame, left_key: str, right_key: str, names: tuple[str, str, str], link_fields: tuple[str, str] = ("key", "value"), how: str = "inner") -> DataFrame:
+def bridge(
+    left: DataFrame, link: DataFrame, right: DataFrame, left_key: str, right_key: str, names: tuple[str, str, str],
+    link_fields: tuple[str, str] = ("key", "value"), how: str = "inner",
+) -> DataFrame:
     """Left to right through a store of links (left key, right key)."""
     a = join(left, link, {left_key: link_fields[0]}, how, names[0], names[1])
     return join(a, right, {f"{names[1]}.{link_fields[1]}": right_key}, how, None, names[2])
 
 
-def select_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, left_fields: Sequence[str], right_fields: Sequence[str], how: str = "inner", fields: object = None, order_by: object = None, limit: int | None = 10) -> DataFrame:
+def select_join(
+    left: DataFrame, right: DataFrame, left_name: str, right_name: str, left_fields: Sequence[str],
+    right_fields: Sequence[str], how: str = "inner", fields: object = None, order_by: object = None,
+    limit: int | None = 10,
+) -> DataFrame:
     """The one-call join: fields may name either side; order_by sorts the whole result; the first `limit` rows."""
     names = (left_name, right_name if right_name != left_name else f"{right_name}_2")
     out = join(left, right, list(zip(left_fields, right_fields)), how, *names)
@@ -97,7 +107,10 @@ def _side(name: str, sides: Mapping[str, str]) -> str:
     return f"{sides[head]}.{rest}" if rest and head in sides else name
 
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, columns: Sequence[str], strict: bool = False, span: float | None = None) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, columns: Sequence[str],
+    strict: bool = False, span: float | None = None,
+) -> DataFrame:
     """Every left row with `columns` of the last right row of the same `by` at or before it (before it, if strict).
 
     Both sides are put in one order and the last right row is carried on: one shuffle by
@@ -125,7 +138,10 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, rig
     return carried.select(*[quoted(c) for c in left.columns], *[F.col("__last").getField(c).alias(f"asof_{c}") for c in kept])
 
 
-def within(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, start: str, end: str, columns: Sequence[str], how: str = "inner", unit: float = 1.0) -> DataFrame:
+def within(
+    left: DataFrame, right: DataFrame, by: Sequence[str], at: str, start: str, end: str, columns: Sequence[str],
+    how: str = "inner", unit: float = 1.0,
+) -> DataFrame:
     """Every left row with `columns` of each right row of the same `by` with start <= at < end; how is inner, or left, which keeps rows that are in none.
 
     at, start and end are numbers, dates or timestamps (then unit is seconds). An interval

@@ -53,7 +53,11 @@ def in_category(items: DataFrame, category: str, name: object, vector: str, targ
     return ranked.orderBy("distance", *([tie] if tie else [])).limit(k)
 
 
-def hybrid(items: DataFrame, categories: DataFrame, key: str, category: str, vector: str, text: str, target: Sequence[float], query: str, k: int = 10, category_vector: str = "vector", path: str | None = None, index: words.TextIndex | None = None) -> DataFrame:
+def hybrid(
+    items: DataFrame, categories: DataFrame, key: str, category: str, vector: str, text: str,
+    target: Sequence[float], query: str, k: int = 10, category_vector: str = "vector", path: str | None = None,
+    index: words.TextIndex | None = None,
+) -> DataFrame:
     """(key, score, search_type): each key once, by the first of: items of the path, if one is given (score 0); items near the vector in its closest category, score the distance less CATEGORY_WEIGHT of the category's (least first); hits of the words.
 
     index: the written postings of the items; without one they are made for this search.
@@ -69,7 +73,10 @@ def hybrid(items: DataFrame, categories: DataFrame, key: str, category: str, vec
     return first_by(both, ["key"], [F.asc("p")]).drop("p")
 
 
-def search_path(items: DataFrame, categories: DataFrame, category: str, key: str, path: str, vector: str, target: Sequence[float] | None = None, k: int = 10, prefix: str | None = None, text: str | None = None) -> DataFrame:
+def search_path(
+    items: DataFrame, categories: DataFrame, category: str, key: str, path: str, vector: str,
+    target: Sequence[float] | None = None, k: int = 10, prefix: str | None = None, text: str | None = None,
+) -> DataFrame:
     """The first k items by key of a category path; if there are none and a vector is given, the k nearest of the closest category."""
     hit = by_path(items, category, path, text, prefix).orderBy(F.col(f"`{key}`")).limit(k)
     if target is None or not hit.isEmpty():
@@ -96,7 +103,9 @@ def upsert_categories(categories: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def category_paths(categories: DataFrame, depth: int = 12) -> DataFrame:
-    """(id, path) of each way from a root to a category, names in their one form joined by `/`; a category of several parents has several. Ways of more than `depth` names end there, and so do cycles."""
+    """(id, path) of each way from a root to a category, names in their one form joined by `/`; a category
+    of several parents has several. Ways of more than `depth` names end there, and so do cycles.
+    """
     nodes = categories.select("id", category_name(F.col("name")).alias("name"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
     links = nodes.select(F.col("id").alias("child"), "name", F.explode("parents").alias("parent"))
     now = nodes.where(F.size("parents") == 0).select("id", F.col("name").alias("path"))
@@ -118,7 +127,9 @@ def vectorize_categories(categories: DataFrame, items: DataFrame, category: str,
 
 
 def export_document(name: str, categories: DataFrame, items: DataFrame, category: str, config: dict | None = None) -> DataFrame:
-    """(value): one JSON document for each category, {"config", "category", "items"}, so that no document holds more than one category; items without a known category come under a null one."""
+    """(value): one JSON document for each category, {"config", "category", "items"}, so that no document
+    holds more than one category; items without a known category come under a null one.
+    """
     head = F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(k) for k, v in (config or {}).items()])
     held = items.groupBy(F.col(f"`{category}`").cast("string").alias("__c")).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in items.columns])).alias("items"))
     cats = categories.select(F.col("id").cast("string").alias("__c"), F.struct(*[F.col(f"`{c}`") for c in categories.columns]).alias("category"))
@@ -138,7 +149,10 @@ def relevance(distance) -> object:
 
 
 def digest(hits: DataFrame, key: str, least: float = MIN_SCORE, per_query: int = PER_QUERY, limit: int = PER_QUERY) -> DataFrame:
-    """Hits (query, key, category, text, distance) of several queries merged: the nearest per_query of each with a relevance of at least `least`, each key by its best, the best first, then by category and text; blank texts are left out."""
+    """Hits (query, key, category, text, distance) of several queries merged: the nearest per_query of each
+    with a relevance of at least `least`, each key by its best, the best first, then by category and
+    text; blank texts are left out.
+    """
     best = top_each(hits, "query", per_query, [F.asc("distance"), F.asc(key)])
     scored = best.withColumn("score", relevance(F.col("distance"))).where((F.col("score") >= least) & (F.trim("text") != ""))
     one = first_by(scored, [key], [F.desc("score"), F.asc("query")])

@@ -34,7 +34,9 @@ def add(df: DataFrame, new: DataFrame, key: Sequence[str], unique: bool = True,
 
 
 def upsert(df: DataFrame, new: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
-    """New rows take the place of all of the same key, others are added. Of new rows of one key the last counts, by `order` or as they come; a null key is a key."""
+    """New rows take the place of all of the same key, others are added. Of new rows of one key the last
+    counts, by `order` or as they come; a null key is a key.
+    """
     latest = _one_each(new, key, True, order)
     kept = _without(df, latest, key).select(*[quoted(c) for c in df.columns])
     return kept.unionByName(latest.select(*[quoted(c) for c in df.columns if c in latest.columns]), allowMissingColumns=True).select(*[quoted(c) for c in df.columns])
@@ -49,7 +51,9 @@ def update(df: DataFrame, where: object, values: Mapping[str, object]) -> DataFr
 
 
 def update_from(df: DataFrame, new: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
-    """Values of the new rows merged into the rows of the same key, of repeated keys the last by `order` or as they come; columns that are null there stay. A null key matches nothing."""
+    """Values of the new rows merged into the rows of the same key, of repeated keys the last by `order` or
+    as they come; columns that are null there stay. A null key matches nothing.
+    """
     changed = [c for c in new.columns if c not in key and c != order]
     n = _one_each(new, key, True, order).select(*[quoted(k) for k in key], *[quoted(c).alias(f"__new_{c}") for c in changed])
     out = df.join(n, list(key), "left")

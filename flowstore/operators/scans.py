@@ -20,8 +20,13 @@ def ordered(df: DataFrame, keys: Sequence[str], descending: bool = False, index:
     return df.orderBy(*[(F.desc if f != descending else F.asc)(f"`{k}`") for k, f in zip(keys, flags)])
 
 
-def scan(df: DataFrame, keys: Sequence[str], where: object = None, direction: str = "asc", start_key: object = None, prefix: str | None = None, limit: int | None = LIMITS["scan"], nulls: str = "sql") -> DataFrame:
-    """Matching rows in key order: from start_key on (at or after it; at or before it when descending), with keys of the prefix, the first `limit` matches. limit None is all, in no order."""
+def scan(
+    df: DataFrame, keys: Sequence[str], where: object = None, direction: str = "asc", start_key: object = None,
+    prefix: str | None = None, limit: int | None = LIMITS["scan"], nulls: str = "sql",
+) -> DataFrame:
+    """Matching rows in key order: from start_key on (at or after it; at or before it when descending),
+    with keys of the prefix, the first `limit` matches. limit None is all, in no order.
+    """
     down = direction.lower().startswith("desc")
     out = df
     if start_key is not None:
@@ -97,7 +102,10 @@ def key_range(df: DataFrame, key: str, low: object, high: object, descending: bo
     return ordered(df.where(quoted(key).between(literal(low, t), literal(high, t))), [key], descending)
 
 
-def page(df: DataFrame, keys: Sequence[str], page_offset: int = 0, page_size: int = LIMITS["page"], fetch_count: int | None = None, descending: bool = False) -> DataFrame:
+def page(
+    df: DataFrame, keys: Sequence[str], page_offset: int = 0, page_size: int = LIMITS["page"],
+    fetch_count: int | None = None, descending: bool = False,
+) -> DataFrame:
     """A page in key order: page_offset * page_size rows on, page_size of them (fetch_count, if given)."""
     return ordered(df, keys, descending).offset(page_offset * page_size).limit(fetch_count or page_size)
 

@@ -25,7 +25,9 @@ class TextIndex:
 
 
 def build(docs: DataFrame, key: str, text: str, persist: bool = False, group: str | None = None) -> TextIndex:
-    """The index of a table; a null text is an empty document. group is a column that searches can be limited by. persist writes the tables, so that many searches read them."""
+    """The index of a table; a null text is an empty document. group is a column that searches can be
+    limited by. persist writes the tables, so that many searches read them.
+    """
     rows = docs.select(F.col(f"`{key}`").alias("doc"), (F.col(f"`{group}`") if group else F.lit(None).cast("string")).alias("group"), tokens(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("t"))
     words = rows.select("doc", "group", F.size("t").alias("length"), F.explode("t").alias("term"))
     postings = words.groupBy("term", "doc", "length", "group").agg(F.count("*").alias("tf"))

@@ -23,8 +23,13 @@ PROBES, SAMPLE, ROUNDS, TOLERANCE = 2, 50_000, 20, 1e-5
 BLOCK, SAMPLE_A_CENTROID = 20_000, 8
 
 
-def exact(df: DataFrame, vector: str, query: Sequence[float] | Column, k: int = 10, where: Column | None = None, metric: str = "cosine", tie: str | None = None) -> DataFrame:
-    """The k rows most similar to one vector, with `score` (a cosine, or a distance), ties by the column tie; `where` filters before the ranking. Rows marked as deleted are left out."""
+def exact(
+    df: DataFrame, vector: str, query: Sequence[float] | Column, k: int = 10, where: Column | None = None,
+    metric: str = "cosine", tie: str | None = None,
+) -> DataFrame:
+    """The k rows most similar to one vector, with `score` (a cosine, or a distance), ties by the column
+    tie; `where` filters before the ranking. Rows marked as deleted are left out.
+    """
     df = live(df)
     score = cosine(vector, query) if metric == "cosine" else euclidean(vector, query)
     rows = (df if where is None else df.where(where)).withColumn("score", score)
@@ -33,7 +38,9 @@ def exact(df: DataFrame, vector: str, query: Sequence[float] | Column, k: int =
 
 
 def centroids(df: DataFrame, vector: str, k: int | None = None, seed: int = 7, sample: int = SAMPLE) -> DataFrame:
-    """(centroid_id from 1, vector) by k-means on a hash sample of at most about `sample` rows; k defaults to the root of the rows, as far as the sample has SAMPLE_A_CENTROID rows for each."""
+    """(centroid_id from 1, vector) by k-means on a hash sample of at most about `sample` rows; k defaults
+    to the root of the rows, as far as the sample has SAMPLE_A_CENTROID rows for each.
+    """
     rows = df.select(F.col(f"`{vector}`").alias("v")).where("v is not null")
     n = rows.count()
     if n > sample:
@@ -100,14 +107,19 @@ def assign(df: DataFrame, vector: str, centres: DataFrame, n: int = 1) -> DataFr
 
 
 def reaches(indexed: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
-    """The centroids with `reach`, the largest angle of a row to its centroid (pi where a row has another length), null for one without rows. It holds until rows are added."""
+    """The centroids with `reach`, the largest angle of a row to its centroid (pi where a row has another
+    length), null for one without rows. It holds until rows are added.
+    """
     own = indexed.select("centroid_id", F.col(f"`{vector}`").alias("__v")).join(F.broadcast(centres.select("centroid_id", F.col("vector").alias("__c"))), "centroid_id")
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine("__v", "__c"))))
     far = own.groupBy("centroid_id").agg(F.max(F.when(F.size("__v") == F.size("__c"), angle).otherwise(math.pi)).alias("reach"))
     return centres.drop("reach").join(far, "centroid_id", "left")
 
 
-def query(indexed: DataFrame, vector: str, centres: DataFrame, target: Sequence[float], k: int = 10, probes: int | None = None, where: Column | None = None) -> DataFrame:
+def query(
+    indexed: DataFrame, vector: str, centres: DataFrame, target: Sequence[float], k: int = 10,
+    probes: int | None = None, where: Column | None = None,
+) -> DataFrame:
     """The k best by cosine. indexed has centroid_id, on which it may be partitioned.
 
     The PROBES centroids nearest to the target give a k-th score; then every centroid is
@@ -142,7 +154,9 @@ def drifted(centre: Column | str, n: Column, added: Column | str) -> Column:
 
 
 def split_centroid(df: DataFrame, vector: str, centroid_id: int, centres: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(store, centroids) with one centroid replaced by two, fitted on its rows, which are assigned anew; the second has the next free id. Other rows stay where they are."""
+    """(store, centroids) with one centroid replaced by two, fitted on its rows, which are assigned anew;
+    the second has the next free id. Other rows stay where they are.
+    """
     own = df.where(F.col("centroid_id") == centroid_id)
     two = centroids(live(own), vector, 2, seed)
     top = centres.agg(F.max("centroid_id")).first()[0]

@@ -104,7 +104,9 @@ def normalize(steps: list[Step]) -> list[Step]:
 
 
 def check(steps: list[Step], known: set[str] = frozenset()) -> set[str]:
-    """The variables that are set at the end. Raises for unknown ops, variables used before they are set, steps after a return, and conditions without a meaning."""
+    """The variables that are set at the end. Raises for unknown ops, variables used before they are set,
+    steps after a return, and conditions without a meaning.
+    """
     seen = set(known)
     for i, s in enumerate(steps):
         if s.op not in OPS:
@@ -599,7 +601,9 @@ def _begin(env: Env) -> None:
 
 
 def _commit(env: Env) -> None:
-    """Stores changed since begin_tx are written and become current together, then the open ones read what was written. Without a transaction nothing happens."""
+    """Stores changed since begin_tx are written and become current together, then the open ones read what
+    was written. Without a transaction nothing happens.
+    """
     held, env.transaction = env.transaction, None
     if held is None:
         return
@@ -682,7 +686,9 @@ def execute(script: object, catalog: Catalog, params: Mapping[str, object] | Non
 
 
 def run(script: object, catalog: Catalog, params: Mapping[str, object] | None = None, collapse: bool = False) -> DataFrame:
-    """The table a script gives: a variable output, final_result or result; what it returns; or its last table. With collapse, without prefixes where names stay unique."""
+    """The table a script gives: a variable output, final_result or result; what it returns; or its last
+    table. With collapse, without prefixes where names stay unique.
+    """
     env = execute(script, catalog, params)
     got = next((env.vars[k] for k in ("output", "final_result", "result") if isinstance(env.vars.get(k), (DataFrame, Opened))), None)
     if got is None:

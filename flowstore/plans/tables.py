@@ -13,7 +13,9 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where the setting is absent and all runs in one process (tests). On a cluster without one it raises, as executors would not see each other's files."""
+    """The folder of spark.checkpoint.dir; a temporary one where the setting is absent and all runs in one
+    process (tests). On a cluster without one it raises, as executors would not see each other's files.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")

@@ -32,7 +32,9 @@ def deduplicated(stream: DataFrame, key: str, at: str, age: str) -> DataFrame:
 
 
 def commit(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = EVERY) -> StreamingQuery:
-    """Commits micro-batches through `write(rows, batch_id)`; with every None all that is there, once. A batch comes again under its id after a failure, so that writes can be made once."""
+    """Commits micro-batches through `write(rows, batch_id)`; with every None all that is there, once. A
+    batch comes again under its id after a failure, so that writes can be made once.
+    """
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
